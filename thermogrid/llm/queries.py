@@ -10,12 +10,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _licence_sql() -> str:
+    from .licences import duckdb_sql
+
+    return duckdb_sql()
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import through_archives
+
+    records = through_archives(_table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import licences
+
+    return licences(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact import exact_duplicates
 
@@ -35,9 +54,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2, capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op7_top_k, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_warc, op5_exact_dedup, op7_top_k, op8_packing, op9_licences)}
 
 ORACLE = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+        g AS (SELECT t, min(page_id) AS first, count(*) AS n FROM p WHERE strlen(t) >= 100 GROUP BY t HAVING count(*) > 1)
+        SELECT page_id, strlen(p.t) AS payload_bytes, sha256(p.t) AS payload_digest,
+               CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM p LEFT JOIN g USING (t)""",
+    "op9_licences": _licence_sql(),
     "op5_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)

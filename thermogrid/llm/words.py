@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _U = np.uint64
 #: Odd multipliers of the 64-bit finaliser (splitmix64).
@@ -72,7 +73,7 @@ def slices(column: pa.Array, most_bytes: int = 1 << 22, most_rows: int = 512) ->
     """Row ranges with a bounded number of bytes; one longer text is a range of its own."""
     if not len(column):
         return
-    offsets = np.concatenate([[0], np.cumsum(np.nan_to_num(np.asarray(pa.compute.binary_length(column).to_numpy(zero_copy_only=False), np.float64)))])
+    offsets = np.concatenate([[0], np.cumsum(np.nan_to_num(np.asarray(pc.binary_length(column).to_numpy(zero_copy_only=False), np.float64)))])
     at = 0
     while at < len(column):
         end = int(np.searchsorted(offsets, offsets[at] + most_bytes, side="right")) - 1
@@ -85,7 +86,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pa.compute.fill_null(column, "").cast(pa.large_string())
+    column = pc.fill_null(column, "").cast(pa.large_string())
     n = len(column)
     _, offsets, data = column.buffers()
     o = np.frombuffer(offsets, np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
