@@ -54,7 +54,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2, capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op5_exact_dedup, op7_top_k, op8_packing, op9_licences)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .store import held_out
+    from .toxicity import score_toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, _table(spark, sf_dir, "labels"), threshold=0.5)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op5_exact_dedup, op7_top_k, op8_packing, op9_licences, op10_toxicity)}
 
 ORACLE = {
     "op1_warc": """
