@@ -35,6 +35,15 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+    from .store import held_out
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, _table(spark, sf_dir, "labels"), threshold=0.3)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact import exact_duplicates
 
@@ -63,7 +72,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op5_exact_dedup, op7_top_k, op8_packing, op9_licences, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_warc, op4_quality, op5_exact_dedup, op7_top_k, op8_packing, op9_licences, op10_toxicity)}
 
 ORACLE = {
     "op1_warc": """
