@@ -13,6 +13,7 @@ shuffle, and no state that grows with the input.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -73,33 +74,52 @@ class Packer:
 class CachedTokenizer:
     """Token ids of a text as little-endian unsigned 32-bit bytes, equal to the tokenizer's own.
 
-    The vocabulary drops white space and never merges across it, so a text is encoded word by word and
-    words seen before come from a cache of at most ``CACHE`` words.  Texts with an added token's string
-    or with a separator on which Python and the tokenizer may differ are encoded as a whole.
+    A text is normalised and cut into the same pieces as the tokenizer cuts it; merges never cross them.
+    Pieces seen before come from a cache of at most ``CACHE`` pieces, new ones are encoded in one go with
+    spaces between them and told apart by the mark that ends a piece's last token.  Texts with an added
+    token's string, or with characters on which Python and the tokenizer may differ, are encoded as a whole.
     """
 
     def __init__(self, path: str):
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        spec = json.loads(self.tokenizer.to_str())
+        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        mark = spec["model"]["end_of_word_suffix"]
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(mark)]] = True
 
     def _fill(self, new: list[str]) -> None:
         if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.asarray(e.ids, "<u4").tobytes()
+        for at in range(0, len(new), 4000):
+            part = new[at : at + 4000]
+            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(part):
+                raw, first = ids.tobytes(), 0
+                for w, end in zip(part, (4 * last).tolist(), strict=True):
+                    self.cache[w] = raw[first:end]
+                    first = end
+            else:  # not one end per piece: one by one
+                for w in part:
+                    self.cache[w] = self.whole(w)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if any(s in text for s in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1f\u03a3\u180e"):
             return self.whole(text)
-        out, parts = [], text.split()
+        parts = self.pieces(unicodedata.normalize("NFC", text).lower())
+        out = []
         for at in range(0, len(parts), CACHE // 4):
             some = parts[at : at + CACHE // 4]
             try:
