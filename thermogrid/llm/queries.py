@@ -35,6 +35,18 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences(_table(spark, sf_dir, "documents"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dartminhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), similarity=0.8)
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import substring_report
+
+    return substring_report(_table(spark, sf_dir, "documents"), size=50)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import score_quality
     from .store import held_out
@@ -50,6 +62,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_codec import encode_documents
+
+    return encode_documents(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
@@ -72,7 +90,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op4_quality, op5_exact_dedup, op7_top_k, op8_packing, op9_licences, op10_toxicity)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_near_dedup, op3_substring_dedup, op4_quality, op5_exact_dedup, op6_pieces, op7_top_k, op8_packing, op9_licences, op10_toxicity, pipeline)}
 
 ORACLE = {
     "op1_warc": """
