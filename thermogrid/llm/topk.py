@@ -28,7 +28,7 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """vec_id, q (array of floor(scale * x)), dim; rows without a vector or with a null or non-finite part are left out."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     good = F.col("embedding").isNotNull() & F.coalesce(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf"))), F.lit(False))
-    kept = vectors.filter(good & F.col("vec_id").isNotNull())
+    kept = vectors.filter(good & F.col("vec_id").isNotNull() & (F.size("embedding") > 0))
     return kept.select("vec_id", F.transform(x, lambda v: F.floor(v * scale).cast("long")).alias("q"), F.size("embedding").alias("dim"))
 
 
