@@ -98,6 +98,56 @@ def test_near(docs, none):
     assert near_duplicates(docs).count() == docs.count() and near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [(128, 256), (3, 5)])
+def test_near_chains_and_links_away_from_the_centre(spark, monkeypatch, sizes):
+    """Families in which many linked pairs do not link to the most frequent member of their buckets."""
+    from thermogrid.llm import dartminhash as D
+
+    monkeypatch.setattr(D, "OUTER", sizes[0])
+    monkeypatch.setattr(D, "INNER", sizes[1])
+    rng, texts = random.Random(11), []
+    for _ in range(12):
+        base = words(rng, 120)
+        family = [base]
+        for _ in range(9):  # each a small change of some earlier member
+            t = list(rng.choice(family[-3:]))
+            for _ in range(rng.choice((2, 2, 3))):
+                t[rng.randrange(len(t))] = f"new{rng.random()}"
+            family.append(t)
+        texts += [" ".join(t) for t in family]
+    rows = list(enumerate(texts))
+    root = {i: i for i, _ in rows}
+    for i, t in rows:
+        for j, u in rows[:i]:
+            if root[i] != root[j] and similarity(t, u) >= 0.8:
+                lo, hi = sorted((root[i], root[j]))
+                root = {k: lo if v == hi else v for k, v in root.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in D.near_duplicates(df).collect()}
+    assert got == root and len(set(root.values())) > 12
+
+
+def test_open_buckets_lose_no_pair(spark, monkeypatch):
+    from thermogrid.llm import dartminhash as D
+
+    monkeypatch.setattr(D, "OUTER", 3)
+    monkeypatch.setattr(D, "INNER", 5)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, 120)
+    sketch = {i: np.where(rng.random(120) < 0.12, rng.integers(0, 256, 120), base).astype(np.uint8) for i in range(40)}
+    root = {i: 0 if i < 25 else 25 if i < 35 else i for i in range(40)}
+    bands = {7: range(40), 8: range(20), 9: range(30, 40), 10: [3, 36]}
+    members = spark.createDataFrame([(b, i) for b, m in bands.items() for i in m], "band long, rep long")
+    texts = spark.createDataFrame([(i, 100 + i, bytearray(sketch[i].tobytes())) for i in sketch], "rep long, n long, sketch binary")
+    roots = spark.createDataFrame(list(root.items()), "node long, root long")
+    least = 96 - D.DEVIATIONS * (120 * 0.16) ** 0.5
+    agree = lambda a, b: (sketch[a] == sketch[b]).sum()
+    want = {(a, b) for a in sketch for b in sketch if a < b and root[a] != root[b] and agree(a, b) >= least and 100 + a >= 0.8 * (100 + b)}
+    assert want and {tuple(r) for r in D._open_pairs(members, texts, roots, 0.8, False).collect()} == want
+    some = {tuple(r) for r in D._open_pairs(members, texts, roots, 0.8, True).collect()}
+    assert some < want and {i for p in some for i in p} >= {b for _, b in want if b >= 35}
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     from thermogrid.llm.dartminhash import dart_minhash
 

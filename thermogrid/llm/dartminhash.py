@@ -7,9 +7,12 @@ at which k ln k + 2k of them are expected, and of those the earliest for each of
 agree in a coordinate with the probability of their weighted Jaccard similarity.  Only darts below the limit are
 made, so a signature takes time in proportion to the length of the text plus k ln k.
 
-Bands of coordinates that agree make candidates.  Within a band's bucket every text is compared only with the
+Bands of coordinates that agree make candidates.  Within a band's bucket every text is first compared with the
 bucket's centre, the text with the most company over all its bands, so a group of copies makes as many pairs
 as it has members.  Pairs are verified by their exact similarity, and classes are the connected components.
+Buckets that still hold several classes are then searched whole: texts outside the bucket's largest class
+meet all its other members, in blocks of bounded size, by signature bytes; only pairs of different classes that may
+reach the similarity become rows and are verified, first the closest of each text, then all that are left.
 """
 
 from __future__ import annotations
@@ -26,6 +29,10 @@ from .store import Workspace, row_key
 
 BANDS, ROWS = 24, 5
 SIMILARITY = 0.8
+#: Signature coordinates of a verified pair that agree, as deviations below their expected number.
+DEVIATIONS = 4.1
+#: Texts outside the largest class, and members they meet, in one block of a bucket.
+OUTER, INNER = 128, 256
 _RANK, _COORDINATE, _WEIGHT = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
@@ -77,15 +84,15 @@ def dart_minhash(elements: np.ndarray, owner: np.ndarray, n_sets: int, k: int, w
     return out
 
 
-def band_keys(column: pa.Array, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(keys of the bands, number of shingles) of each text; texts without words have no meaning here."""
+def band_keys(column: pa.Array, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys of the bands, number of shingles, a byte per coordinate) of each text; texts without words have no meaning here."""
     n = len(column)
     strip, owner = W.strips(*W.shingles(W.split(column)))
     sign = dart_minhash(strip, owner, n, bands * rows).reshape(n, bands, rows)
     keys = np.zeros((n, bands), np.uint64) + np.arange(bands, dtype=np.uint64)
     for r in range(rows):
         keys = W.mix(keys + W.GOLDEN) ^ sign[:, :, r]
-    return W.mix(keys).view(np.int64), np.bincount(owner, minlength=n)
+    return W.mix(keys).view(np.int64), np.bincount(owner, minlength=n), (sign.reshape(n, -1) >> np.uint64(40)).astype(np.uint8)
 
 
 def similarities(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -124,6 +131,75 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
             return now
 
 
+def _across(similarity: float, closest: bool):
+    """A function for mapInArrow over rows sorted by block: pairs of different classes that may be similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([rest, rows]).combine_chunks() if rest is not None else rows
+            whole, a, b = _compare(rows, similarity, closest, False)
+            rest = rows.slice(whole)
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+        if rest is not None:
+            _, a, b = _compare(rest, similarity, closest, True)
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+
+    return run
+
+
+def _compare(rows: pa.Table, similarity: float, closest: bool, last: bool) -> tuple[int, pa.Array, pa.Array]:
+    """(rows of blocks known to be whole, smaller ids, larger ids) of the pairs in those blocks."""
+    if not len(rows):
+        return 0, pa.array([], pa.int64()), pa.array([], pa.int64())
+    band, i, j, rep, root, n = (rows.column(c).to_numpy() for c in ("band", "i", "j", "rep", "root", "n"))
+    outer, asks = (rows.column(c).to_numpy().astype(bool) for c in ("outer", "asks"))
+    new = np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+    edges = np.concatenate([[0], new, [len(rows)] if last else []]).astype(np.int64)
+    whole = int(edges[-1])
+    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(rows), -1)
+    k = sketch.shape[1]
+    least = k * similarity - DEVIATIONS * np.sqrt(k * similarity * (1 - similarity))
+    left, right = [], []
+    for a, b in zip(edges, edges[1:], strict=False):
+        x, y = a + np.flatnonzero(asks[a:b]), a + np.flatnonzero(~asks[a:b])
+        if not len(x) or not len(y):
+            continue
+        agree = (sketch[x][:, None, :] == sketch[y][None, :, :]).sum(2)
+        nx, ny = n[x][:, None], n[y][None, :]
+        good = (agree >= least) & (root[x][:, None] != root[y][None, :]) & (np.minimum(nx, ny) >= similarity * np.maximum(nx, ny))
+        good &= ~outer[y][None, :] | (rep[x][:, None] < rep[y][None, :])  # two outer texts meet twice
+        if closest:
+            best = np.where(good, agree, -1).argmax(1)
+            good &= np.arange(len(y))[None, :] == best[:, None]
+        at, to = np.nonzero(good)
+        left.append(rep[x[at]])
+        right.append(rep[y[to]])
+    p, q = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
+    return whole, pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))
+
+
+def _open_pairs(members: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float, closest: bool) -> DataFrame:
+    """Pairs (a, b) of different classes that share a bucket and may be similar enough.
+
+    Texts outside a bucket's largest class ask all its members.  Both are dealt to blocks, so a bucket of m members
+    of which r are outside makes m * ceil(r / OUTER) + r * ceil(m / INNER) rows, and no task holds a whole bucket.
+    """
+    known = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
+    shares = known.groupBy("band", "root").agg(F.count("*").alias("share"))
+    top = shares.groupBy("band").agg(F.max(F.struct("share", "root")).alias("top"), F.sum("share").alias("all"), F.count("*").alias("classes")).filter("classes > 1")
+    top = top.select("band", F.col("top.root").alias("largest"), F.ceil(F.col("all") / INNER).cast("int").alias("inners"), F.ceil((F.col("all") - F.col("top.share")) / OUTER).cast("int").alias("outers"))
+    held = known.join(top, "band").join(texts.select("rep", "n", "sketch"), "rep").withColumn("outer", F.col("root") != F.col("largest"))
+    deal = lambda parts: F.pmod(F.xxhash64("rep"), F.col(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    columns = ["band", "i", "j", "rep", "root", "n", "sketch", "outer", "asks"]
+    asking = held.filter("outer").withColumns({"i": deal("outers"), "asks": F.lit(True)}).withColumn("j", each("inners")).select(*columns)
+    asked = held.withColumns({"j": deal("inners"), "asks": F.lit(False)}).withColumn("i", each("outers")).select(*columns)
+    blocks = asking.unionByName(asked).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return blocks.mapInArrow(_across(similarity, closest), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id, class_size, kept for every row of ``docs``.
 
@@ -138,13 +214,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in W.slices(batch.column(2), 1 << 21, 1024):
-                keys, n = band_keys(batch.column(2)[a:b], bands, rows)
+                keys, n, sketch = band_keys(batch.column(2)[a:b], bands, rows)
                 lists = pa.ListArray.from_arrays(np.arange(0, (b - a + 1) * bands, bands, dtype=np.int32), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], lists, pa.array(n.astype(np.int64))], names=["doc_id", "text_sha", "bands", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], lists, pa.array(n.astype(np.int64)), pa.array([x.tobytes() for x in sketch], pa.binary())], names=["doc_id", "text_sha", "bands", "n", "sketch"])
 
-    signed = work.keep(keyed.mapInArrow(sign, "doc_id long, text_sha string, bands array<long>, n long"), "signed")
+    signed = work.keep(keyed.mapInArrow(sign, "doc_id long, text_sha string, bands array<long>, n long, sketch binary"), "signed")
     # one text of each group of copies goes on; its rep is the smallest id among them
-    texts = signed.groupBy("text_sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("bands").alias("bands"), F.max("n").alias("n"))
+    texts = signed.groupBy("text_sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("bands").alias("bands"), F.max("n").alias("n"), F.min("sketch").alias("sketch"))
     texts = work.keep(texts, "texts")
     each = texts.filter("n > 0 AND rep IS NOT NULL").select("rep", F.explode("bands").alias("band"))
     full = work.keep(each.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1"), "full")
@@ -157,7 +233,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     wanted = company.select("rep").join(texts.select("rep", "text_sha"), "rep")
     bodies = keyed.join(wanted.select(F.col("rep").alias("doc_id"), "text_sha"), ["doc_id", "text_sha"]).select("doc_id", "text")
     bodies = work.keep(bodies, "bodies")
-    work.drop("members", "full", "centres")
+    work.drop("full", "centres")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,10 +242,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
                 good = pa.array(similarities(part.column(2), part.column(3)) >= similarity)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(good), part.column(1).filter(good)], names=["a", "b"])
 
-    first = pairs.join(bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    second = first.join(bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    edges = work.keep(second.mapInArrow(verify, "a long, b long"), "edges")
-    roots = components(edges, work)
+    def verified(candidates: DataFrame, tag: str) -> DataFrame:
+        first = candidates.join(bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+        second = first.join(bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+        return work.keep(second.mapInArrow(verify, "a long, b long"), tag)
+
+    edges = verified(pairs, "edges")
+    roots = components(edges, Workspace(docs.sparkSession, "near-0"))
+    for turn, closest in enumerate((True, False), 1):
+        more = _open_pairs(members, texts, roots, similarity, closest).join(pairs, ["a", "b"], "left_anti")
+        more = work.keep(more, f"pairs-{turn}")
+        pairs = pairs.unionByName(more)
+        edges = edges.unionByName(verified(more, f"edges-{turn}"))
+        roots = components(edges, Workspace(docs.sparkSession, f"near-{turn}"))
+    work.drop("members")
     classes = texts.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("text_sha", "copies", F.coalesce("root", "rep").alias("class_id"))
     classes = work.keep(classes, "classes")
     sizes = work.keep(classes.filter("class_id IS NOT NULL").groupBy("class_id").agg(F.sum("copies").alias("class_size")), "sizes")
