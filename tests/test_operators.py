@@ -83,3 +83,11 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert os.path.isdir(SF)
+
+
+def test_equity_weights_without_a_positive_mean_are_one(spark):
+    from thermogrid.operators import stats
+
+    g = spark.createDataFrame([(0, -1.0, 20.0), (1, 0.0, 20.0), (2, None, None)], "row int, population double, lst double")
+    rows = stats.priority_score(stats.equity_weights(g)).orderBy("row").collect()
+    assert [r["weight"] for r in rows] == [1.0, 1.0, 1.0] and [r["priority"] for r in rows] == [0.0, 0.0, None]

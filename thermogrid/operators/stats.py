@@ -100,3 +100,23 @@ def metric_panel(rows: DataFrame, truth: str = "y_true", guess: str = "y_pred",
     kge = 1 - F.sqrt((r - 1) ** 2 + (some(F.sqrt("vp"), F.sqrt("vt")) - 1) ** 2 + (some(F.col("mp"), F.col("mt")) - 1) ** 2)
     ccc = some(2 * F.col("c"), F.col("vt") + F.col("vp") + (F.col("mt") - F.col("mp")) ** 2)
     return a.select(*(by or []), "n", F.sqrt("mse").alias("rmse"), "mae", "bias", F.sqrt(F.greatest(F.col("mse") - F.col("bias") ** 2, F.lit(0.0))).alias("ubrmse"), nse.alias("r2"), nse.alias("nse"), ccc.alias("ccc"), kge.alias("kge"))
+
+
+def equity_weights(grid: DataFrame, population: str | None = "population", vulnerability: str | None = None, out: str = "weight") -> DataFrame:
+    """Population times vulnerability, negatives as 0, over its mean; a missing layer counts as 1 and a gap has weight 0.
+
+    All weights are 1 where the mean is not above 0.
+    """
+    parts = [F.greatest(F.col(c), F.lit(0.0)) if c else F.lit(1.0) for c in (population, vulnerability)]
+    product = F.when(parts[0].isNotNull() & parts[1].isNotNull(), parts[0] * parts[1])
+    x = with_scalars(grid.withColumn("_w", product), F.avg("_w").alias("_m"))
+    value = F.when(F.col("_m") > 0, F.coalesce(F.col("_w") / F.col("_m"), F.lit(0.0))).otherwise(1.0)
+    return x.withColumn(out, value).drop("_w", "_m")
+
+
+def priority_score(grid: DataFrame, layer: str = "lst", weight: str = "weight", out: str = "priority") -> DataFrame:
+    """The weight times the layer's place between its 5th and 95th percentiles, cut to 0 and 1; gaps stay gaps."""
+    x = with_scalars(grid, F.percentile(layer, F.array(F.lit(0.05), F.lit(0.95))).alias("_p"))
+    lo, hi = F.col("_p")[0], F.col("_p")[1]
+    heat = F.when(hi > lo, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(layer) - lo) / (hi - lo)))).otherwise(0.0)
+    return x.withColumn(out, F.when(F.col(layer).isNotNull(), heat * F.col(weight))).drop("_p")

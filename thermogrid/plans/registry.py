@@ -148,6 +148,7 @@ QUERIES = {f"fn_{n}": _scalar(x) for n, x in SCALARS.items()} | {
     "lst_percentile": _cells(lambda g: _rounded(stats.percentile_rank(g, "lst", "p").select("row", "col", "p"), "p")),
     "lst_minmax": _cells(lambda g: _rounded(stats.minmax(g, "lst", "m").select("row", "col", "m"), "m")),
     "lst_quintiles": _cells(lambda g: stats.quintiles(g, "lst", "q").select("row", "col", "q")),
+    "priority_score": _cells(lambda g: _rounded(stats.priority_score(stats.equity_weights(g)).select("row", "col", "weight", "priority"), "weight", "priority")),
     "surface_uhi": _cells(lambda g: _rounded(stats.surface_uhi(g).select("row", "col", "suhii"), "suhii")),
     "surface_uhi_median": _cells(lambda g: _rounded(stats.surface_uhi(g, lcz=None).select("row", "col", "suhii"), "suhii")),
     "utfvi": _cells(lambda g: _rounded(stats.utfvi(g).select("row", "col", "utfvi", "eei"), "utfvi", digits=7)),
@@ -195,6 +196,7 @@ ORACLE = {f"fn_{n}": f"WITH {_CELLS} SELECT row, col, round(CAST({exact(x)} AS D
     "lst_percentile": f"WITH {_CELLS}, {_RANK} SELECT c.row, c.col, round(p, 5) AS p FROM cells c LEFT JOIN ranked USING (row, col)",
     "lst_minmax": f"WITH {_CELLS} SELECT row, col, round((lst - lo) / (hi - lo), 5) AS m FROM cells CROSS JOIN (SELECT min(lst) AS lo, max(lst) AS hi FROM cells)",
     "lst_quintiles": f"WITH {_CELLS}, q AS (SELECT quantile_cont(lst, [0.2, 0.4, 0.6, 0.8]) AS e FROM cells) SELECT row, col, CASE WHEN lst IS NULL THEN 0 ELSE 1 + (lst > e[1])::INT + (lst > e[2])::INT + (lst > e[3])::INT + (lst > e[4])::INT END AS q FROM cells CROSS JOIN q",
+    "priority_score": f"WITH {_CELLS}, p AS (SELECT avg(greatest(population, 0)) AS m, quantile_cont(lst, [0.05, 0.95]) AS q FROM cells) SELECT row, col, round(greatest(population, 0) / m, 5) AS weight, round(CASE WHEN lst IS NOT NULL THEN greatest(0, least(1, (lst - q[1]) / (q[2] - q[1]))) * greatest(population, 0) / m END, 5) AS priority FROM cells CROSS JOIN p",
     "surface_uhi": f"WITH {_CELLS}, r AS (SELECT coalesce(median(lst) FILTER (lcz = 14), median(lst) FILTER (lcz >= 11), median(lst)) AS ref, median(lst) FILTER (lcz BETWEEN 1 AND 10) AS urban, quantile_cont(lst, 0.25) AS q1 FROM cells) SELECT row, col, round(lst - CASE WHEN ref > urban THEN least(ref, q1) ELSE ref END, 5) AS suhii FROM cells CROSS JOIN r",
     "surface_uhi_median": f"WITH {_CELLS} SELECT row, col, round(lst - r, 5) AS suhii FROM cells CROSS JOIN (SELECT median(lst) AS r FROM cells)",
     "utfvi": f"WITH {_CELLS}, u AS (SELECT row, col, (lst + 273.15e0 - m) / m AS utfvi FROM cells CROSS JOIN (SELECT avg(lst) + 273.15e0 AS m FROM cells)) SELECT row, col, round(utfvi, 7) AS utfvi, {exact(M.eei_class('utfvi'))} AS eei FROM u",
