@@ -11,8 +11,9 @@ Bands of coordinates that agree make candidates.  Within a band's bucket every t
 bucket's centre, the text with the most company over all its bands, so a group of copies makes as many pairs
 as it has members.  Pairs are verified by their exact similarity, and classes are the connected components.
 Buckets that still hold several classes are then searched whole: texts outside the bucket's largest class
-meet all its other members, in blocks of bounded size, by signature bytes; only pairs of different classes that may
-reach the similarity become rows and are verified, first the closest of each text, then all that are left.
+meet all its other members, in blocks of bounded size, by the bytes of a second, longer signature that only the texts
+of such buckets get; only pairs of different classes that may reach the similarity become rows and are verified,
+first the closest of each text, then all that are left.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ from .store import Workspace, row_key
 
 BANDS, ROWS = 24, 5
 SIMILARITY = 0.8
+#: Coordinates of the signature that texts of buckets with several classes are compared by, and those of a first look.
+FINE, GLANCE = 1024, 128
 #: Signature coordinates of a verified pair that agree, as deviations below their expected number.
 DEVIATIONS = 4.1
 #: Texts outside the largest class, and members they meet, in one block of a bucket.
-OUTER, INNER = 128, 256
+OUTER, INNER = 512, 1024
 _RANK, _COORDINATE, _WEIGHT = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
@@ -84,15 +87,23 @@ def dart_minhash(elements: np.ndarray, owner: np.ndarray, n_sets: int, k: int, w
     return out
 
 
-def band_keys(column: pa.Array, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys of the bands, number of shingles, a byte per coordinate) of each text; texts without words have no meaning here."""
+def band_keys(column: pa.Array, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of the bands, number of shingles) of each text; texts without words have no meaning here."""
     n = len(column)
     strip, owner = W.strips(*W.shingles(W.split(column)))
     sign = dart_minhash(strip, owner, n, bands * rows).reshape(n, bands, rows)
     keys = np.zeros((n, bands), np.uint64) + np.arange(bands, dtype=np.uint64)
     for r in range(rows):
         keys = W.mix(keys + W.GOLDEN) ^ sign[:, :, r]
-    return W.mix(keys).view(np.int64), np.bincount(owner, minlength=n), (sign.reshape(n, -1) >> np.uint64(40)).astype(np.uint8)
+    return W.mix(keys).view(np.int64), np.bincount(owner, minlength=n)
+
+
+def sketches(column: pa.Array, coordinates: int = FINE) -> tuple[np.ndarray, np.ndarray]:
+    """(number of shingles, a byte per coordinate of a longer signature) of each text."""
+    n = len(column)
+    strip, owner = W.strips(*W.shingles(W.split(column)))
+    sign = dart_minhash(strip, owner, n, coordinates)
+    return np.bincount(owner, minlength=n), (sign >> np.uint64(40)).astype(np.uint8)
 
 
 def similarities(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -159,38 +170,53 @@ def _compare(rows: pa.Table, similarity: float, closest: bool, last: bool) -> tu
     edges = np.concatenate([[0], new, [len(rows)] if last else []]).astype(np.int64)
     whole = int(edges[-1])
     sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(rows), -1)
-    k = sketch.shape[1]
-    least = k * similarity - DEVIATIONS * np.sqrt(k * similarity * (1 - similarity))
+    glance = np.ascontiguousarray(sketch[:, :GLANCE])
+    low, least = (k * similarity - DEVIATIONS * np.sqrt(k * similarity * (1 - similarity)) for k in (glance.shape[1], sketch.shape[1]))
     left, right = [], []
     for a, b in zip(edges, edges[1:], strict=False):
-        x, y = a + np.flatnonzero(asks[a:b]), a + np.flatnonzero(~asks[a:b])
-        if not len(x) or not len(y):
-            continue
-        agree = (sketch[x][:, None, :] == sketch[y][None, :, :]).sum(2)
-        nx, ny = n[x][:, None], n[y][None, :]
-        good = (agree >= least) & (root[x][:, None] != root[y][None, :]) & (np.minimum(nx, ny) >= similarity * np.maximum(nx, ny))
-        good &= ~outer[y][None, :] | (rep[x][:, None] < rep[y][None, :])  # two outer texts meet twice
-        if closest:
-            best = np.where(good, agree, -1).argmax(1)
-            good &= np.arange(len(y))[None, :] == best[:, None]
-        at, to = np.nonzero(good)
-        left.append(rep[x[at]])
-        right.append(rep[y[to]])
+        asking, y = a + np.flatnonzero(asks[a:b]), a + np.flatnonzero(~asks[a:b])
+        for at in range(0, len(asking) if len(y) else 0, 32):
+            x = asking[at : at + 32]
+            nx, ny = n[x][:, None], n[y][None, :]
+            good = (root[x][:, None] != root[y][None, :]) & (np.minimum(nx, ny) >= similarity * np.maximum(nx, ny))
+            good &= ~outer[y][None, :] | (rep[x][:, None] < rep[y][None, :])  # two outer texts meet twice
+            u, v = np.nonzero(good)
+            agree = np.zeros(len(u), np.int64)
+            for c in range(0, len(u), 4096):
+                d = slice(c, c + 4096)
+                agree[d] = (glance[x[u[d]]] == glance[y[v[d]]]).sum(1)
+            u, v = u[agree >= low], v[agree >= low]
+            agree = np.zeros(len(u), np.int64)
+            for c in range(0, len(u), 4096):
+                d = slice(c, c + 4096)
+                agree[d] = (sketch[x[u[d]]] == sketch[y[v[d]]]).sum(1)
+            u, v, agree = u[agree >= least], v[agree >= least], agree[agree >= least]
+            if closest and len(u):
+                order = np.lexsort((v, -agree, u))
+                first = order[np.concatenate([[True], np.diff(u[order]) > 0])]
+                u, v = u[first], v[first]
+            left.append(rep[x[u]])
+            right.append(rep[y[v]])
     p, q = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
     return whole, pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))
 
 
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of buckets that hold several classes, with the bucket's largest class and its numbers of blocks."""
+    known = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
+    shares = known.groupBy("band", "root").agg(F.count("*").alias("share"))
+    top = shares.groupBy("band").agg(F.max(F.struct("share", "root")).alias("top"), F.sum("share").alias("all"), F.count("*").alias("classes")).filter("classes > 1")
+    top = top.select("band", F.col("top.root").alias("largest"), F.ceil(F.col("all") / INNER).cast("int").alias("inners"), F.ceil((F.col("all") - F.col("top.share")) / OUTER).cast("int").alias("outers"))
+    return known.join(top, "band")
+
+
 def _open_pairs(members: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float, closest: bool) -> DataFrame:
     """Pairs (a, b) of different classes that share a bucket and may be similar enough.
 
     Texts outside a bucket's largest class ask all its members.  Both are dealt to blocks, so a bucket of m members
     of which r are outside makes m * ceil(r / OUTER) + r * ceil(m / INNER) rows, and no task holds a whole bucket.
     """
-    known = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
-    shares = known.groupBy("band", "root").agg(F.count("*").alias("share"))
-    top = shares.groupBy("band").agg(F.max(F.struct("share", "root")).alias("top"), F.sum("share").alias("all"), F.count("*").alias("classes")).filter("classes > 1")
-    top = top.select("band", F.col("top.root").alias("largest"), F.ceil(F.col("all") / INNER).cast("int").alias("inners"), F.ceil((F.col("all") - F.col("top.share")) / OUTER).cast("int").alias("outers"))
-    held = known.join(top, "band").join(texts.select("rep", "n", "sketch"), "rep").withColumn("outer", F.col("root") != F.col("largest"))
+    held = _open(members, roots).join(texts.select("rep", "n", "sketch"), "rep").withColumn("outer", F.col("root") != F.col("largest"))
     deal = lambda parts: F.pmod(F.xxhash64("rep"), F.col(parts)).cast("int")
     each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
     columns = ["band", "i", "j", "rep", "root", "n", "sketch", "outer", "asks"]
@@ -214,13 +240,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in W.slices(batch.column(2), 1 << 21, 1024):
-                keys, n, sketch = band_keys(batch.column(2)[a:b], bands, rows)
+                keys, n = band_keys(batch.column(2)[a:b], bands, rows)
                 lists = pa.ListArray.from_arrays(np.arange(0, (b - a + 1) * bands, bands, dtype=np.int32), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], lists, pa.array(n.astype(np.int64)), pa.array([x.tobytes() for x in sketch], pa.binary())], names=["doc_id", "text_sha", "bands", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], lists, pa.array(n.astype(np.int64))], names=["doc_id", "text_sha", "bands", "n"])
 
-    signed = work.keep(keyed.mapInArrow(sign, "doc_id long, text_sha string, bands array<long>, n long, sketch binary"), "signed")
+    signed = work.keep(keyed.mapInArrow(sign, "doc_id long, text_sha string, bands array<long>, n long"), "signed")
     # one text of each group of copies goes on; its rep is the smallest id among them
-    texts = signed.groupBy("text_sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("bands").alias("bands"), F.max("n").alias("n"), F.min("sketch").alias("sketch"))
+    texts = signed.groupBy("text_sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("bands").alias("bands"), F.max("n").alias("n"))
     texts = work.keep(texts, "texts")
     each = texts.filter("n > 0 AND rep IS NOT NULL").select("rep", F.explode("bands").alias("band"))
     full = work.keep(each.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1"), "full")
@@ -249,13 +275,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
     edges = verified(pairs, "edges")
     roots = components(edges, Workspace(docs.sparkSession, "near-0"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in W.slices(batch.column(1), 1 << 20, 128):
+                n, made = sketches(batch.column(1)[x:y])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[x:y], pa.array(n.astype(np.int64)), pa.array([m.tobytes() for m in made], pa.binary())], names=["rep", "n", "sketch"])
+
+    opened = bodies.join(_open(members, roots).select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("rep"), "text")
+    fine = work.keep(opened.mapInArrow(sketch, "rep long, n long, sketch binary"), "fine")
     for turn, closest in enumerate((True, False), 1):
-        more = _open_pairs(members, texts, roots, similarity, closest).join(pairs, ["a", "b"], "left_anti")
+        more = _open_pairs(members, fine, roots, similarity, closest).join(pairs, ["a", "b"], "left_anti")
         more = work.keep(more, f"pairs-{turn}")
         pairs = pairs.unionByName(more)
         edges = edges.unionByName(verified(more, f"edges-{turn}"))
         roots = components(edges, Workspace(docs.sparkSession, f"near-{turn}"))
-    work.drop("members")
+    work.drop("members", "fine", "bodies")
     classes = texts.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("text_sha", "copies", F.coalesce("root", "rep").alias("class_id"))
     classes = work.keep(classes, "classes")
     sizes = work.keep(classes.filter("class_id IS NOT NULL").groupBy("class_id").agg(F.sum("copies").alias("class_size")), "sizes")
