@@ -64,7 +64,7 @@ def test_windowed_composite(spark, tmp_path):
     assert [(r["mean"], r["n"]) for r in spark.table("out").collect()] == [(3.0, 2)]
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith("fn_")] + ["fn_heat_index", "fn_seb_residual"])
+@pytest.mark.parametrize("name", [n for n in ORACLE if not n.startswith("fn_")] + ["fn_heat_index", "fn_seb_residual"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("orders", "events"):

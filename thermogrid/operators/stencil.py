@@ -36,6 +36,31 @@ def neighbour_sums(grid: DataFrame, offsets: list[tuple[int, int, float]], **sum
     return grid.join(parts.groupBy("row", "col").agg(*[F.sum(n).alias(n) for n in sums]), ["row", "col"], "left")
 
 
+def gaussian_blur(grid: DataFrame, layer: str, sigma: float, out: str = "blurred", truncate: float = 4.0) -> DataFrame:
+    """Adds ``out``: a Gaussian mean of standard deviation ``sigma`` cells, cut at ``truncate`` deviations.
+
+    The grid's edge repeats itself; a gap within reach makes a gap.  The kernel is separable: each pass sends a value
+    to the 2 r + 1 cells along one axis, an edge cell with the weights of all cells beyond it.
+    """
+    if sigma <= 0:
+        return grid.withColumn(out, F.col(layer).cast("double"))
+    r = int(truncate * sigma + 0.5)
+    raw = [math.exp(-0.5 * (o / sigma) ** 2) for o in range(-r, r + 1)]
+    w = [x / sum(raw) for x in raw]
+    below = [sum(w[: k + 1]) for k in range(2 * r + 1)]
+    table = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    x = grid.select("row", "col", F.col(layer).cast("double").alias("_v"))
+    for axis, other in (("row", "col"), ("col", "row")):
+        x = with_scalars(x, F.min(axis).alias("_lo"), F.max(axis).alias("_hi"))
+        x = x.withColumn("_to", F.explode(F.sequence(F.greatest(F.col(axis) - r, "_lo"), F.least(F.col(axis) + r, "_hi"))))
+        k = F.col(axis) - F.col("_to") + r  # place of the source in the kernel of its target
+        low, high = F.col(axis) == F.col("_lo"), F.col(axis) == F.col("_hi")
+        weight = F.when(low & high, 1.0).when(low, table(below)[k]).when(high, table(below)[2 * r - k]).otherwise(table(w)[k])
+        x = x.withColumn("_w", weight).groupBy(F.col("_to").alias(axis), other).agg(F.sum(F.col("_v") * F.col("_w")).alias("_v"), F.sum(F.when(F.col("_v").isNotNull(), F.col("_w"))).alias("_w"))
+        x = x.select("row", "col", F.when(F.col("_w") > 1 - 1e-9, F.col("_v")).alias("_v"))
+    return grid.join(x.withColumnRenamed("_v", out), ["row", "col"], "left")
+
+
 def square_sums(grid: DataFrame, k: int, **sums) -> DataFrame:
     """The same for a full square of half-width ``k``, by two sliding windows."""
     along_row = Window.partitionBy("row").orderBy("col").rangeBetween(-k, k)
