@@ -395,6 +395,14 @@ def test_licence_headers_as_they_are_written(spark):
     assert {n: " ".join(sorted(got[i].split())) for i, n in enumerate(names)} == {n: n for n in names}
 
 
+def test_licence_sentence_with_much_padding(spark):
+    from thermogrid.llm.licences import licences
+
+    text = "Released" + " " * 300 + "under the" + "\t" * 200 + "MIT License." + "\n" + " " * 500 + "All rights reserved."
+    row = licences(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["sentence_ids"] == "mit-ref all-rights" and row["licences"] == "MIT"
+
+
 def labelled(spark):
     rng = random.Random(2)
     rows, labels = [], []
