@@ -53,6 +53,19 @@ def test_composite_rejects_unknown_reducer(spark):
         fusion.composite(grid(spark), ["row"], "lst", "col", "mode")
 
 
+def test_whole_composites_take_every_event(spark):
+    rows = [r for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id", "event_type", "ts", "value").collect()]
+    outside = [r for r in rows if not "2024-01-05" <= str(r["ts"]) < "2024-01-25"]
+    assert outside
+    groups = {}
+    for r in rows:
+        groups.setdefault((r["user_id"], r["event_type"]), []).append((r["ts"], r["value"]))
+    want = {"min": lambda g: min(v for _, v in g), "max": lambda g: max(v for _, v in g), "mosaic": lambda g: max(g)[1], "mean": lambda g: sum(v for _, v in g) / len(g)}
+    for name, f in want.items():
+        got = {(r["user_id"], r["event_type"]): r["value"] for r in QUERIES[f"whole_composite_{name}"](spark, SF).collect()}
+        assert got.keys() == groups.keys() and all(abs(got[k] - f(g)) < 2e-5 for k, g in groups.items())
+
+
 def test_windowed_composite(spark, tmp_path):
     from thermogrid.streaming.composites import windowed_composite
 

@@ -57,8 +57,8 @@ def reconcile(grid: DataFrame, layer: str, reference: str, out: str) -> DataFram
 
 
 def composite(scenes: DataFrame, keys: list[str], value: str, time: str, reducer: str = "median") -> DataFrame:
-    """Temporal composite of a scene table: median, mean, min, max, or mosaic (the last value that is no gap)."""
-    last = F.max_by(value, F.when(F.col(value).isNotNull(), F.col(time)))
+    """Temporal composite of a scene table: median, mean, min, max, or mosaic (the last value that is no gap, the largest of one moment)."""
+    last = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(time, value)))
     how = {"median": F.median(value), "mean": F.avg(value), "min": F.min(value), "max": F.max(value), "mosaic": last}
     if reducer not in how:
         raise ValueError(f"unknown reducer {reducer!r}; use one of {sorted(how)}")

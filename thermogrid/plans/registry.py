@@ -133,6 +133,10 @@ def _events(run):
     return query
 
 
+def _whole_composite(reducer: str):
+    return _events(lambda e: _rounded(fusion.composite(e, ["user_id", "event_type"], "value", "ts", reducer), "value"))
+
+
 def _composite(reducer: str):
     return _events(lambda e: _rounded(fusion.composite(fusion.scene_filter(e, "2024-01-05", "2024-01-25"), ["user_id", "event_type"], "value", "ts", reducer), "value"))
 
@@ -164,6 +168,7 @@ QUERIES = decisions.QUERIES | {f"fn_{n}": _scalar(x) for n, x in SCALARS.items()
     "triple_collocation": _cells(lambda g: _rounded(fusion.triple_collocation(g.selectExpr("lst AS a", "lst + air_temp * 0.1 AS b", "lst + dewpoint * 0.2 AS c"), "a", "b", "c"), "var_a", "var_b", "var_c", "weight_a", "weight_b", "weight_c")),
     "reconcile_sensors": _cells(lambda g: _rounded(fusion.reconcile(g, "air_temp", "lst", "matched").select("row", "col", "matched"), "matched")),
     **{f"composite_{r}": _composite(r) for r in ("median", "mean", "min", "max")},
+    **{f"whole_composite_{r}": _whole_composite(r) for r in ("median", "mean", "min", "max", "mosaic")},
     "deaccumulate": _events(lambda e: _rounded(fusion.deaccumulate(e.groupBy("user_id", F.date_trunc("hour", "ts").alias("ts")).agg(F.sum("value").alias("acc")), ["user_id"], "acc", "ts", "rate").select("user_id", "ts", "rate"), "rate", digits=7)),
 }
 
@@ -189,6 +194,9 @@ _SUMS = "count(*) AS n, avg((p - t) * (p - t)) AS mse, avg(abs(p - t)) AS mae, a
 _EST = "e AS (" + " UNION ALL ".join(f"SELECT row, col, {n} AS value, {s} AS sigma FROM cells" for n, s in _LONG.items()) + ")"
 _OFFSETS = ", ".join(f"({r}, {c}, {w!r}e0)" for r, c, w in stencil.decay_kernel(1.0))
 _COMPOSITE = "SELECT user_id, event_type, round({f}(value), 5) AS value FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25' GROUP BY user_id, event_type"
+_WHOLE = "SELECT user_id, event_type, round({f}, 5) AS value FROM events GROUP BY user_id, event_type"
+_REDUCE = {"median": "median(value)", "mean": "avg(value)", "min": "min(value)", "max": "max(value)", "mosaic": "max(value) FILTER (ts = last)"}
+_LAST = "(SELECT *, max(ts) FILTER (value IS NOT NULL) OVER (PARTITION BY user_id, event_type) AS last FROM events)"
 
 ORACLE = decisions.ORACLE | {f"fn_{n}": f"WITH {_CELLS} SELECT row, col, round(CAST({exact(x)} AS DOUBLE) + {TIE!r}, 5) AS value FROM cells" for n, x in SCALARS.items()} | {
     "surface_hotspots": f"{_HOT} SELECT * FROM hot",
@@ -219,5 +227,6 @@ ORACLE = decisions.ORACLE | {f"fn_{n}": f"WITH {_CELLS} SELECT row, col, round(C
         SELECT n, round(va, 5) AS var_a, round(vb, 5) AS var_b, round(vc, 5) AS var_c, round(1 / va / (1 / va + 1 / vb + 1 / vc), 5) AS weight_a, round(1 / vb / (1 / va + 1 / vb + 1 / vc), 5) AS weight_b, round(1 / vc / (1 / va + 1 / vb + 1 / vc), 5) AS weight_c FROM v""",
     "reconcile_sensors": f"WITH {_CELLS}, s AS (SELECT avg(air_temp) AS ml, stddev_pop(air_temp) AS sl, avg(lst) AS mr, stddev_pop(lst) AS sr FROM cells) SELECT row, col, round((air_temp - ml) * sr / sl + mr, 5) AS matched FROM cells CROSS JOIN s",
     **{f"composite_{r}": _COMPOSITE.format(f={"mean": "avg"}.get(r, r)) for r in ("median", "mean", "min", "max")},
+    **{f"whole_composite_{r}": _WHOLE.format(f=f).replace("events", _LAST if r == "mosaic" else "events") for r, f in _REDUCE.items()},
     "deaccumulate": "WITH h AS (SELECT user_id, date_trunc('hour', ts) AS ts, sum(value) AS acc FROM events GROUP BY ALL) SELECT user_id, ts, round(CASE WHEN hour(ts) = 1 THEN acc ELSE acc - lag(acc) OVER (PARTITION BY user_id ORDER BY ts) END / 3600e0, 7) AS rate FROM h",
 }
