@@ -433,6 +433,18 @@ def test_classifiers(spark, which):
     assert score(docs, labels.limit(0)).count() == docs.count() and score(docs.limit(0), labels).count() == 0
 
 
+def test_symbols_count_for_their_own_text():
+    from thermogrid.llm import words as W
+    from thermogrid.llm.toxicity import patterns
+
+    texts = ["calm words here", "$$$ %% one two", None, "", "###", "end #", "!!"]
+    each = [patterns(W.split(pa.array([t], pa.string()), W.NOT_WORD), 1)[0].tolist() for t in texts]
+    assert [p[1] for p in each] == [0, 2.5, 0, 0, 3, 1, 2]
+    assert patterns(W.split(pa.array(texts), W.NOT_WORD), len(texts)).tolist() == each
+    back = patterns(W.split(pa.array(["x", *texts[::-1]]).slice(1), W.NOT_WORD), len(texts))
+    assert back.tolist() == each[::-1]
+
+
 def test_slices_cover_every_row():
     from thermogrid.llm.words import slices
 

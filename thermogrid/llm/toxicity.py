@@ -51,18 +51,16 @@ _LOWERED = W._BYTE[W.LOWER]
 
 
 def patterns(words: W.Words, texts: int) -> np.ndarray:
-    """Per text: share of words in capitals, symbols to words, share of words equal to the one before, more than 0 words."""
+    """Per text: share of words in capitals, symbols to words (or to one), share of words equal to the one before, more than 0 words."""
     owner, n = words.owner(), np.maximum(words.counts, 1)
     out = np.zeros((texts, PATTERNS))
-    if not len(words.starts):
-        return out
     lead, last = words.data[words.starts], words.data[words.ends - 1]
     capital = lambda b: (b >= 65) & (b <= 90)
     loud = capital(lead) & capital(last) & (words.ends - words.starts > 2)
     out[:, 0] = np.bincount(owner[loud], minlength=texts) / n
     symbol = np.isin(words.data, np.frombuffer(b"#$%&*|!<>{}", np.uint8))
-    at = np.searchsorted(words.starts, np.flatnonzero(symbol), side="right") - 1
-    out[:, 1] = np.minimum(np.bincount(owner[np.maximum(at, 0)], minlength=texts) / n, 3)
+    at = np.searchsorted(words.offsets, np.flatnonzero(symbol), side="right") - 1
+    out[:, 1] = np.minimum(np.bincount(at, minlength=texts) / n, 3)
     h = words.hashes(_LOWERED)
     same = np.flatnonzero((h[1:] == h[:-1]) & (owner[1:] == owner[:-1])) + 1
     out[:, 2] = np.bincount(owner[same], minlength=texts) / n

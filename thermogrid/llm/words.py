@@ -50,6 +50,7 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray  # len(texts) + 1
+    offsets: np.ndarray | None = None  # of the texts in data; len(texts) + 1
 
     @property
     def counts(self) -> np.ndarray:
@@ -100,7 +101,7 @@ def split(column: pa.Array, gap: np.ndarray = SPACE) -> Words:
     data, offsets = flat(column)
     n = len(data)
     if not n:
-        return Words(data, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64))
+        return Words(data, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64), offsets)
     out = gap[data]
     before, after = np.empty(n, bool), np.empty(n, bool)
     before[0], before[1:] = True, out[:-1]
@@ -110,7 +111,7 @@ def split(column: pa.Array, gap: np.ndarray = SPACE) -> Words:
     after[offsets[1:][np.diff(offsets) > 0] - 1] = True
     starts = np.flatnonzero(before & ~out)
     ends = np.flatnonzero(after & ~out) + 1
-    return Words(data, starts, ends, np.searchsorted(starts, offsets))
+    return Words(data, starts, ends, np.searchsorted(starts, offsets), offsets)
 
 
 def windows(h: np.ndarray, size: int) -> np.ndarray:
