@@ -6,21 +6,20 @@ Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thermogrid.llm.dartminhash import near_duplicates
-from thermogrid.llm.exact import exact_duplicates
+from thermogrid.llm.exact import exact_duplicates, normalised
 from thermogrid.llm.packing import pack_documents
 from thermogrid.llm.store import Workspace
 from thermogrid.llm.substring import remove_repeats
 from thermogrid.llm.toxicity import score_toxicity
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is among ``ids``; null matches null."""
-    ids = ids.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi")
+def _key(sha: Column) -> Column:
+    """A text's digest and the id it stands under, null apart from every id."""
+    return F.concat_ws(":", sha, F.col("doc_id").cast("string"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +28,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, exact_duplicates(docs).filter("kept"))
+    """One row of each text: that with the largest doc_id, and of rows that repeat it the first by their columns."""
+    kept = exact_duplicates(docs).filter("kept").select(_key(F.col("text_sha256")).alias("_key")).distinct()
+    rows = docs.withColumn("_key", _key(F.sha2(normalised(F.col("text")).cast("binary"), 256))).join(kept, "_key")
+    turn = F.row_number().over(Window.partitionBy("_key").orderBy(*[F.col(f"`{c}`") for c in docs.columns]))
+    return rows.withColumn("_turn", turn).filter("_turn = 1").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, near_duplicates(docs).filter("kept"))
+    """One row of each class of near copies: that with the smallest doc_id, nulls last.
+
+    Rows are told apart by a number of their own, so that texts under one id, or under none, do not share a fate.
+    """
+    work = Workspace(spark, "near-rows")
+    rows = work.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    near = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "class_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
+    kept = near.join(rows.select("_row", "doc_id"), "_row").groupBy("class_id").agg(F.min_by("_row", order).alias("_row")).select("_row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
