@@ -115,3 +115,23 @@ def test_stages_against_plain_python(spark, folder):
         assert collections.Counter(got) == collections.Counter(want), name
         if name == "exact_dedup":  # repeated rows count once
             assert stage(spark, given.union(given), folder).count() == len(want)
+
+
+def test_run_against_plain_python(spark, folder):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    want = planted()
+    for plain in PLAIN.values():
+        before, want = want, plain(want)
+        assert collections.Counter(before) != collections.Counter(want)
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    pieces, tokens = collections.Counter(), collections.Counter()
+    for r in corpus_pipeline.run(spark, folder).collect():
+        pieces[r["doc_id"], r["doc_tokens"]] += r["length"]
+    for i, x in want:
+        n = len(t.encode(x or "", add_special_tokens=False).ids) + 1
+        tokens[i, n] += n
+    assert pieces == tokens
