@@ -193,36 +193,55 @@ def test_substring(docs, none, group):
     assert repeated_spans
 
 
-def test_packing(docs, none):
+def test_packing(spark, docs, none):
     from tokenizers import Tokenizer
 
-    from thermogrid.llm.packing import cuts, pack_documents
+    from thermogrid.llm.packing import pack_documents
 
     path = P.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    rows = pack_documents(docs, path).collect()
-    texts = collections.defaultdict(list)
-    for i, x in corpus():
-        texts[i].append(np.asarray([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4").tobytes())
-    pieces = collections.Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in rows)
+    rng = random.Random(2)
+    extra = [(1000 + k, " ".join(words(rng, rng.choice((3, 40, 300, 900, 2000))))) for k in range(60)] + [(2000, "word, " * 60_000)]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string")).coalesce(2)
+    rows = pack_documents(df, path).collect()
     want = collections.Counter()
-    for i, all_ids in texts.items():
-        for ids in all_ids:
-            at = 0
-            for n in cuts(len(ids) // 4):
-                want[i, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), len(ids) // 4] += 1
-                at += n
-            assert at == len(ids) // 4
-    assert pieces == want
+    for i, x in [*corpus(), *extra]:
+        want[i, np.asarray([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4").tobytes()] += 1
+    pieces = collections.defaultdict(list)
+    for r in rows:
+        pieces[r["doc_id"], r["doc_tokens"]].append((r["start"], r["length"], r["ids_crc32"]))
+    for (i, ids), times in want.items():
+        n, at = len(ids) // 4, 0
+        same = [k for k in want if k[0] == i and len(k[1]) == len(ids)]
+        for start, length, crc in sorted(pieces[i, n]) if times == 1 and len(same) == 1 else []:
+            assert start == at and crc == zlib.crc32(ids[4 * at : 4 * (at + length)])
+            at += length
+        assert at in (0, n) and sum(x[1] for x in pieces[i, n]) == sum(want[k] for k in same) * n
+    assert sum(r["length"] for r in rows) == sum(n * len(ids) // 4 for (_, ids), n in want.items())
     for _, own in sequences(rows).items():
         at = 0
         for offset, length in sorted(own):
-            assert offset == at
+            assert offset == at and length > 0
             at += length
         assert at <= 4096 and at & (at - 1) == 0
+    assert len(rows) < 2.2 * df.count()
     assert pack_documents(none, path).count() == 0
 
 
+def test_bins_take_a_fixed_number_of_documents():
+    from thermogrid.llm.packing import Packer
+
+    packer = Packer(0, 100)
+    for k in range(40):
+        packer.add(k, bytes(4 * 30))
+    length, sequence = packer.out[2], packer.out[5]
+    full = collections.Counter(sequence)
+    assert full and min(full.values()) == 4  # three whole documents of class 3 and a head; the tails go to smaller classes
+    assert all(sum(n for n, s in zip(length, sequence, strict=True) if s == q) == 100 for q in full)
+    packer.close()
+    assert sum(packer.out[2]) == 40 * 30
+
+
 def sequences(rows):
     out = collections.defaultdict(list)
     for r in rows:
@@ -230,12 +249,20 @@ def sequences(rows):
     return out
 
 
-def test_cached_tokens_equal_the_tokenizer():
-    from thermogrid.llm.packing import CachedTokenizer
+def test_word_encoder_equals_the_tokenizer(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from thermogrid.llm import packing
 
-    c = CachedTokenizer(P.path("word_bpe_49k.json"))
-    for x in ["Don't STOP, it's 3rd!!", "é É ß Σας ΟΔΟΣ", "a b c\x1fd", "<|endoftext|> x", "''s 'S ''''re", "日本語 テスト", "", "🙂🙂 ok"]:
-        assert c.encode(x) == c.whole(x)
+    path = P.path("word_bpe_49k.json")
+    t, e = Tokenizer.from_file(path), packing.WordEncoder(path)
+    texts = ["Don't STOP, it's 3rd!!", "é É ß Σας ΟΔΟΣ", "a b c\x1fd", "<|endoftext|> x<|startoftext|>y", "''s 'S ''''re 'select", "日本語 テスト", "", None, "🙂🙂 ok", "İi ²³½ ªº1²3 é x y z", " \t\n"]
+    texts += [f"a{chr(c)}B{chr(c)} {chr(c)}" for c in range(1, 0x3000)]
+    for most in (packing.CACHE, 50):
+        monkeypatch.setattr(packing, "CACHE", most)
+        for _ in range(2):
+            ids, at = e.encode(pa.array(texts))
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [x.ids for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 def test_pieces(docs, none):
