@@ -161,7 +161,7 @@ def test_dart_signatures_estimate_weighted_similarity():
     assert abs((sign[0] == sign[1]).mean() - 150 / 400) < 0.06
 
 
-@pytest.mark.parametrize("group", [1000, 2])
+@pytest.mark.parametrize("group", [1000, 8, 2])
 def test_substring(docs, none, group):
     from thermogrid.llm.substring import remove_repeats, repeated_spans, substring_report, without_repeats
 
@@ -342,6 +342,21 @@ def test_warc(spark, tmp_path):
             warc.parse(bad)
 
 
+def test_frames_of_a_large_archive_are_found_by_their_blocks():
+    import zstandard
+
+    from thermogrid.llm import warc
+
+    rng = random.Random(4)
+    payloads = [rng.randbytes(rng.choice((0, 1, 500, 3000))) for _ in range(3000)] + [b"a" * 3_000_000, rng.randbytes(400_000)]
+    plain = [warc.record("response", k, "u", x, hashlib.sha256(x).hexdigest(), None) for k, x in enumerate(payloads)]
+    for packer in (zstandard.ZstdCompressor(write_checksum=True), zstandard.ZstdCompressor(write_content_size=False)):
+        archive = b"".join(packer.compress(x) for x in plain)
+        assert list(warc.frames(archive)) == plain
+        with pytest.raises(warc.WarcError):
+            list(warc.frames(archive[:-1]))
+
+
 def words_for(k):
     return (f"<html><body class='page'>{k} " + " ".join(words(random.Random(k), 60))).encode()
 

@@ -145,18 +145,20 @@ def fit(docs: DataFrame, labels: DataFrame, work: Workspace, sample: int = SAMPL
     return Model(weights, axes, unit(z @ axes), y.astype(np.float32), votes.astype(np.float32))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``docs`` plus score (0 to 1, higher is better) and predicted (1 from ``threshold``), for every row and whole text.
 
     At most ``sample`` labelled rows of either label, none held out, are used for fitting; of several labels of
     a document the largest counts.  Without labels of both kinds every score is the share of label 1 (0.5 if
-    there are none).  Null and empty texts get the score of a text without words.  All columns are kept.
+    there are none).  Null and empty texts get the score of a text without words.  A text is scored whole, however
+    long it is.  Columns are kept but for those called like the two new ones, which are replaced; ``names`` gives the
+    new ones other names.
     """
     work = Workspace(docs.sparkSession, "quality")
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, work, sample))
-    fields = [c for c in docs.columns if c not in ("score", "predicted")]
+    fields = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
     base = docs.select(*[F.col(f"`{c}`") for c in fields])
-    schema = T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    schema = T.StructType([*base.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,6 +167,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
                 known = model.value
                 score = np.full(b - a, known) if isinstance(known, float) else known.score(text[a:b]).astype(float)
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*part.schema.names, *names])
 
     return base.mapInArrow(run, schema)

@@ -53,6 +53,17 @@ class Workspace:
             fs.delete(path, True)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names`` with underscores before those that ``columns`` have, in any case; for columns made on the way."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def row_key() -> list:
     """Columns that tell rows of ``documents`` apart: its id and the digest of its text.
 

@@ -1,15 +1,16 @@
-"""Removal of long repeated passages by prefix-partitioned suffix trees.
+"""Removal of long repeated passages by prefix-partitioned suffix groups.
 
 Each window of ``SIZE`` words belongs to one suffix, the one that starts at the window's smallest hashed
-prefix of ``PREFIX`` words; a passage that repeats has the same suffixes at the same places in both
+prefix of a given length; a passage that repeats has the same suffixes at the same places in both
 copies, so only these sparse suffixes are kept.  They are partitioned by prefix:
 
 * a prefix that occurs in one document only has no repeated window and goes no further;
-* a prefix of at most ``GROUP`` suffixes makes a group that fits in memory.  Its subtree, cut off at depth
-  ``SIZE``, is built by prefix doubling over the words: windows that get the same rank pass through the same
-  node of that depth, and each such node keeps its smallest document;
-* a prefix with more suffixes is lengthened to the whole window, whose groups hold equal windows only
-  and are reduced to their smallest document before the shuffle, however many there are.
+* a prefix of at most ``GROUP`` suffixes, counted with their repeats inside a document, makes a group that fits in
+  memory.  In it the windows are named by prefix doubling over the words: windows that get the same name pass
+  through the same node of depth ``SIZE`` of the group's suffix tree, and each such node keeps its smallest document;
+* a prefix with more suffixes is lengthened (``PREFIXES``), and its windows are dealt anew by their smallest hashed
+  prefix of the new length.  What is still too large at the last length goes by whole windows, whose groups hold
+  equal windows only and are reduced to their smallest document before the shuffle, however many there are.
 """
 
 from __future__ import annotations
@@ -23,33 +24,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import Workspace, row_key
+from .store import Workspace, fresh, row_key
 
 SIZE = 50
-PREFIX = 16
+PREFIXES = (16, 32)
 GROUP = 1000
 _LAST = (1 << 63) - 1
 _PLACE = np.uint64((1 << 26) - 1)
 
 
-def anchors(h: np.ndarray, size: int = SIZE, prefix: int = PREFIX) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first window, number of windows, place) of each run of windows with the same smallest prefix, in one text."""
+def anchors(h: np.ndarray, size: int = SIZE, prefix: int = PREFIXES[0]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place) of the smallest hashed prefix in each window of one text."""
     keys, span = W.windows(h, prefix), size - prefix + 1
     if len(h) < size:
-        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     best, width = (W.mix(keys) & ~_PLACE) | (np.arange(len(keys), dtype=np.uint64) & _PLACE), 1
     while width * 2 <= span:
         best = np.minimum(best[: len(best) - width], best[width:])
         width *= 2
     best = np.minimum(best[: len(keys) - span + 1], best[span - width :][: len(keys) - span + 1])
-    new = np.ones(len(best), bool)
-    new[1:] = best[1:] != best[:-1]
-    first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(best)))
-    base = first & ~int(_PLACE)
-    place = base + (best[first] & _PLACE).astype(np.int64)
+    first = np.arange(len(best))
+    place = (first & ~int(_PLACE)) + (best & _PLACE).astype(np.int64)
     place = np.where(place < first, place + int(_PLACE) + 1, place)
-    return keys[place], first, count, place
+    return W.mix(keys[place] + np.uint64(prefix)), place
+
+
+def runs(key: np.ndarray, place: np.ndarray, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first window, number of windows) of each run of windows that share a suffix, among the windows marked."""
+    at = np.arange(len(key)) if among is None else np.flatnonzero(among)
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.ones(len(at), bool)
+    new[1:] = (place[at[1:]] != place[at[:-1]]) | (at[1:] != at[:-1] + 1)
+    begin = np.flatnonzero(new)
+    return key[at[begin]], at[begin], np.diff(np.append(begin, len(at)))
 
 
 def same_windows(h: np.ndarray, size: int = SIZE) -> np.ndarray:
@@ -68,66 +76,106 @@ def digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def repeated_spans(docs: DataFrame, work: Workspace, size: int = SIZE, prefix: int = PREFIX, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+def _long(column: pa.Array, i: int) -> np.ndarray:
+    return np.asarray(column[i].values, np.int64).view(np.uint64)
+
+
+def _hot(own: np.ndarray, batch: pa.RecordBatch, i: int, size: int, prefixes: tuple) -> np.ndarray:
+    """Windows of a text whose prefixes of all lengths so far (columns long0, long1, ...) have too many suffixes."""
+    out = np.ones(max(0, len(own) - size + 1), bool)
+    for level, prefix in enumerate(prefixes):
+        out &= np.isin(anchors(own, size, prefix)[0], _long(batch.column(batch.schema.get_field_index(f"long{level}")), i))
+    return out
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, W.Words, int, np.ndarray]]:
+    """(batch, row, words of some rows, first word of this row, hashes of its words) for each row with rid and text."""
+    for batch in batches:
+        text = batch.column(batch.schema.get_field_index("text"))
+        for a, b in W.slices(text):
+            words = W.split(text[a:b])
+            h = words.hashes()
+            for i in range(b - a):
+                yield batch, a + i, words, int(words.first[i]), h[words.first[i] : words.first[i + 1]]
+
+
+def repeated_spans(docs: DataFrame, work: Workspace, size: int = SIZE, prefixes: tuple = PREFIXES, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """(all, hit): doc_id, text_sha, n_words, kept_sha256 of every text, and of those with repeats text and spans.
 
     A span is the first and the number of windows that also start in a document with a smaller doc_id.
     """
     keyed = docs.select(*row_key(), "text")
+    prefixes = tuple(p for p in prefixes if p < size) or (max(1, size // 3),)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in W.slices(batch.column(2)):
                 column = batch.column(2)[a:b]
                 words = W.split(column)
-                h, out, n = words.hashes(), [], words.counts
+                h, keys, times, n = words.hashes(), [], [], words.counts
                 for i in range(b - a):
-                    out.append(np.unique(anchors(h[words.first[i] : words.first[i + 1]], size, prefix)[0]).view(np.int64))
+                    k, c = np.unique(runs(*anchors(h[words.first[i] : words.first[i + 1]], size, prefixes[0]))[0], return_counts=True)
+                    keys.append(k.view(np.int64))
+                    times.append(c)
                 shas = [digest((t or "").encode().split()) for t in column.to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n.astype(np.int64)), pa.array(shas), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "text_sha", "n_words", "kept_sha256", "keys"])
-
-    scanned = work.keep(keyed.mapInArrow(scan, "doc_id long, text_sha string, n_words long, kept_sha256 string, keys array<long>"), "scanned")
-    each = scanned.select("doc_id", "text_sha", F.explode("keys").alias("key"))
-    order = F.coalesce("doc_id", F.lit(_LAST))
-    shared = each.groupBy("key").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    shared = work.keep(shared.select("key", (F.col("n") > group).alias("long")), "shared")
-    hits = each.join(shared, "key").groupBy("doc_id", "text_sha").agg(F.collect_set(F.when(~F.col("long"), F.col("key"))).alias("short"), F.collect_set(F.when(F.col("long"), F.col("key"))).alias("long"))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n.astype(np.int64)), pa.array(shas), pa.array(keys, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
+                    names=["doc_id", "text_sha", "n_words", "kept_sha256", "keys", "times"],
+                )
+
+    scanned = work.keep(keyed.mapInArrow(scan, "doc_id long, text_sha string, n_words long, kept_sha256 string, keys array<long>, times array<long>"), "scanned")
+    place = F.coalesce("doc_id", F.lit(_LAST))
+
+    def sorted_out(each: DataFrame, by: list[str], level: int) -> DataFrame:
+        """The keys of each text that other documents have too: in groups that fit in memory, and in larger ones."""
+        shared = each.groupBy("key").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.sum("times").alias("n")).filter("lo < hi")
+        shared = work.keep(shared.select("key", (F.col("n") > group).alias("large")), f"shared-{level}")
+        lists = [F.collect_set(F.when(F.col("large") == large, F.col("key"))).alias(name) for large, name in ((False, "short"), (True, f"long{level}"))]
+        return each.join(shared, "key").groupBy(*by).agg(*lists)
+
+    each = scanned.select("doc_id", "text_sha", place.alias("place"), F.explode(F.arrays_zip("keys", "times")).alias("x")).select("doc_id", "text_sha", "place", "x.keys", "x.times")
+    hits = sorted_out(each.withColumnRenamed("keys", "key"), ["doc_id", "text_sha"], 0).withColumnsRenamed({"doc_id": "h_id", "text_sha": "h_sha"})
     on = keyed.doc_id.eqNullSafe(F.col("h_id")) & (keyed.text_sha == F.col("h_sha"))
-    hits = hits.select(F.col("doc_id").alias("h_id"), F.col("text_sha").alias("h_sha"), "short", "long")
-    found = work.keep(keyed.join(hits, on).select("doc_id", "text_sha", "text", "short", "long"), "found")
+    found = keyed.join(hits, on).select(F.monotonically_increasing_id().alias("rid"), place.alias("place"), "doc_id", "text_sha", "text", "short", "long0")
+    found = work.keep(found, "found")
+
+    def lengthened(level: int):
+        """Keys of the next length, with their numbers, of the windows in too large groups."""
 
-    def pieces(whole: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for a, b in W.slices(batch.column(2)):
-                    words = W.split(batch.column(2)[a:b])
-                    h = words.hashes()
-                    for i in range(b - a):
-                        want = np.asarray(batch.column(3)[a + i].values, np.int64).view(np.uint64)
-                        if not len(want):
-                            continue
-                        lo = int(words.first[i])
-                        own = h[lo : int(words.first[i + 1])]
-                        key, first, count, _ = anchors(own, size, prefix)
-                        at = np.flatnonzero(np.isin(key, want))
-                        ident = [batch.column(0)[a + i].as_py(), batch.column(1)[a + i].as_py()]
-                        if whole:
-                            places = np.concatenate([np.arange(first[j], first[j] + count[j]) for j in at])
-                            one = W.windows(own, size)[places]
-                            two = W.windows(W.mix(own ^ W.GOLDEN), size)[places]
-                            cols = [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(places)]
-                            names = ["one", "two", "start"]
-                        else:
-                            texts = [words.data[words.starts[lo + first[j]] : words.ends[lo + first[j] + count[j] + size - 2]].tobytes().decode() for j in at]
-                            cols = [pa.array(key[at].view(np.int64)), pa.array(first[at]), pa.array(texts)]
-                            names = ["key", "start", "words"]
-                        m = len(cols[0])
-                        yield pa.RecordBatch.from_arrays([pa.array([ident[0]] * m, pa.int64()), pa.array([ident[1]] * m), *cols], names=["doc_id", "text_sha", *names])
+            for batch, i, _, _, own in _texts(batches):
+                k, c = np.unique(runs(*anchors(own, size, prefixes[level]), _hot(own, batch, i, size, prefixes[:level]))[0], return_counts=True)
+                rid, at = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), rid)), pa.array(np.full(len(k), at)), pa.array(k.view(np.int64)), pa.array(c)], names=["rid", "place", "key", "times"])
 
         return run
 
+    def pieces(level: int):
+        """The suffixes in groups that fit in memory, each with the words that its windows cover."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, i, words, lo, own in _texts(batches):
+                want = _long(batch.column(batch.schema.get_field_index("short")), i)
+                if not len(want):
+                    continue
+                key, first, count = runs(*anchors(own, size, prefixes[level]), _hot(own, batch, i, size, prefixes[:level]) if level else None)
+                at = np.flatnonzero(np.isin(key, want))
+                texts = [words.data[words.starts[lo + first[j]] : words.ends[lo + first[j] + count[j] + size - 2]].tobytes().decode() for j in at]
+                ident = [pa.array(np.full(len(at), batch.column(k)[i].as_py())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ident, pa.array(key[at].view(np.int64)), pa.array(first[at]), pa.array(texts, pa.string())], names=["rid", "place", "key", "start", "words"])
+
+        return run
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Two hashes of each window that is in too large groups at every length."""
+        for batch, i, _, _, own in _texts(batches):
+            at = np.flatnonzero(_hot(own, batch, i, size, prefixes))
+            one, two = (W.windows(x, size)[at].view(np.int64) for x in (own, W.mix(own ^ W.GOLDEN)))
+            ident = [pa.array(np.full(len(at), batch.column(k)[i].as_py())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*ident, pa.array(one), pa.array(two), pa.array(at)], names=["rid", "place", "one", "two", "start"])
+
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Subtrees of the groups in a sorted partition, several groups at a time."""
+        """The groups in a sorted partition, several at a time."""
         kept: list[pa.RecordBatch] = []
         held = 0
         for batch in batches:
@@ -153,7 +201,7 @@ def repeated_spans(docs: DataFrame, work: Workspace, size: int = SIZE, prefix: i
         rank = same_windows(W.mix(words.hashes() ^ W.mix(key)[row]), size)  # words count only within their group
         at = np.flatnonzero(row[: len(rank)] == row[size - 1 :][: len(rank)])
         node, owner = rank[at], row[at]
-        doc = np.asarray(table.column("doc_id").fill_null(_LAST))[owner]
+        doc = np.asarray(table.column("place"))[owner]
         least = np.full(int(rank.max()) + 1, _LAST)
         np.minimum.at(least, node, doc)
         hit = doc > least[node]
@@ -164,30 +212,37 @@ def repeated_spans(docs: DataFrame, work: Workspace, size: int = SIZE, prefix: i
         new = np.ones(len(o), bool)
         new[1:] = (o[1:] != o[:-1]) | (s[1:] != s[:-1] + 1)
         begin = np.flatnonzero(new)
-        take = pa.array(o[begin])
-        yield pa.RecordBatch.from_arrays([table.column(n).combine_chunks().take(take) for n in ("doc_id", "text_sha")] + [pa.array(s[begin]), pa.array(np.diff(np.append(begin, len(o))))], names=["doc_id", "text_sha", "start", "windows"])
-
-    span = "doc_id long, text_sha string, start long, windows long"
-    small = found.select("doc_id", "text_sha", "text", "short").mapInArrow(pieces(False), "doc_id long, text_sha string, key long, start long, words string")
-    small = small.repartition("key").sortWithinPartitions("key").mapInArrow(trees, span)
+        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(table.column("rid"))[o[begin]]), pa.array(s[begin]), pa.array(np.diff(np.append(begin, len(o))))], names=["rid", "start", "windows"])
+
+    piece, level, now, small = "rid long, place long, key long, start long, words string", 0, found, None
+    while True:
+        more = now.filter(F.size("short") > 0).select("rid", "place", "text", "short", *[f"long{k}" for k in range(level)]).mapInArrow(pieces(level), piece)
+        small = more if small is None else small.unionByName(more)
+        hot = now.filter(F.size(f"long{level}") > 0).drop("short")
+        level += 1
+        if not hot.limit(1).count() or level == len(prefixes):
+            break
+        lists = [f"long{k}" for k in range(level)]
+        each = work.keep(hot.select("rid", "place", "text", *lists).mapInArrow(lengthened(level), "rid long, place long, key long, times long"), f"keys-{level}")
+        now = work.keep(hot.join(sorted_out(each, ["rid"], level), "rid"), f"found-{level}")
+    small = small.repartition("key").sortWithinPartitions("key").mapInArrow(trees, "rid long, start long, windows long")
     spans = work.keep(small, "spans-trees")
-    if shared.filter("long").limit(1).count():
-        big = found.select("doc_id", "text_sha", "text", "long").mapInArrow(pieces(True), "doc_id long, text_sha string, one long, two long, start long")
-        big = work.keep(big, "windows")
-        least = big.groupBy("one", "two").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).filter("lo < hi")
+    if level == len(prefixes):
+        lists = [f"long{k}" for k in range(level)]
+        big = work.keep(hot.select("rid", "place", "text", *lists).mapInArrow(windows, "rid long, place long, one long, two long, start long"), "windows")
+        least = big.groupBy("one", "two").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).filter("lo < hi")
         least = work.keep(least.select("one", "two", "lo"), "least")
-        later = big.join(least, ["one", "two"]).filter(order > F.col("lo")).select("doc_id", "text_sha", "start", F.lit(1).cast("long").alias("windows"))
+        later = big.join(least, ["one", "two"]).filter("place > lo").select("rid", "start", F.lit(1).cast("long").alias("windows"))
         spans = spans.unionByName(later)
-    by_text = spans.groupBy(F.col("doc_id").alias("s_id"), F.col("text_sha").alias("s_sha")).agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
-    texts = found.select("doc_id", "text_sha", "text")
-    hit = texts.join(by_text, texts.doc_id.eqNullSafe(F.col("s_id")) & (texts.text_sha == F.col("s_sha"))).select("doc_id", "text_sha", "text", "spans")
+    by_text = spans.groupBy("rid").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
+    hit = found.select("rid", "doc_id", "text_sha", "text").join(by_text, "rid").select("doc_id", "text_sha", "text", "spans")
     return scanned.select("doc_id", "text_sha", "n_words", "kept_sha256"), hit
 
 
-def without_repeats(docs: DataFrame, size: int = SIZE, prefix: int = PREFIX, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+def without_repeats(docs: DataFrame, size: int = SIZE, prefixes: tuple = PREFIXES, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """(all texts, texts that lose words): the second has doc_id, text_sha, kept_text, n_removed, kept_sha256."""
     work = Workspace(docs.sparkSession, "substring")
-    every, hit = repeated_spans(docs, work, size, prefix, group)
+    every, hit = repeated_spans(docs, work, size, prefixes, group)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,10 +280,16 @@ def substring_report(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("l_kept", "kept_sha256").alias("kept_sha256"))
 
 
-def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """``docs`` with the remaining words, one space between them, as text where words go; other texts stay as they are."""
+def remove_repeats(docs: DataFrame, size: int = SIZE, changed: str | None = None) -> DataFrame:
+    """``docs`` with the remaining words, one space between them, as text where words go; other texts stay as they are.
+
+    All columns are kept; ``changed`` names a further one that tells whether words went.  Null and empty texts have
+    no words, null ids count as larger than any other, repeated rows fare alike, an empty table stays empty.
+    """
     _, lost = without_repeats(docs, size)
-    lost = lost.select(F.col("doc_id").alias("_l_id"), F.col("text_sha").alias("_l_sha"), F.col("kept_text").alias("_l_text"))
-    keyed = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    out = keyed.join(lost, keyed.doc_id.eqNullSafe(F.col("_l_id")) & (F.col("_sha") == F.col("_l_sha")), "left")
-    return out.select(*[F.coalesce("_l_text", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    sha, l_id, l_sha, l_text = fresh(docs.columns, "text_sha", "lost_id", "lost_sha", "lost_text")
+    lost = lost.select(F.col("doc_id").alias(l_id), F.col("text_sha").alias(l_sha), F.col("kept_text").alias(l_text))
+    keyed = docs.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")), 256))
+    out = keyed.join(lost, F.col("doc_id").eqNullSafe(F.col(l_id)) & (F.col(sha) == F.col(l_sha)), "left")
+    more = [F.col(l_text).isNotNull().alias(changed)] if changed else []
+    return out.select(*[F.coalesce(l_text, "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], *more)

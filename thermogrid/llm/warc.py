@@ -70,9 +70,32 @@ def start(trained: bytes) -> bytes:
     return struct.pack("<II", DICTIONARY_MAGIC, len(trained)) + trained if trained else b""
 
 
+def frame_end(view: memoryview, at: int) -> int:
+    """Where the frame that starts at ``at`` ends, by the sizes in its block headers; nothing is decompressed."""
+    try:
+        head = view[at : at + 18]
+        checksum = zstd.get_frame_parameters(head).has_checksum
+        at += zstd.frame_header_size(head)
+    except zstd.ZstdError as x:
+        raise WarcError(str(x)) from x
+    last = False
+    while not last:
+        if at + 3 > len(view):
+            raise WarcError("a record's frame is cut short")
+        block = int.from_bytes(view[at : at + 3], "little")
+        last, kind = bool(block & 1), block >> 1 & 3
+        if kind == 3:
+            raise WarcError("a block of no known type")
+        at += 3 + (1 if kind == 1 else block >> 3)  # a repeated byte stands for its whole block
+    at += 4 * checksum
+    if at > len(view):
+        raise WarcError("a record's frame is cut short")
+    return at
+
+
 def frames(data: bytes) -> Iterator[bytes]:
-    """The decoded frame of each record; reads the dictionary first."""
-    at, trained = 0, None
+    """The decoded frame of each record, in time linear in the archive; reads the dictionary first."""
+    at, unpacker = 0, zstd.ZstdDecompressor()
     view = memoryview(data)
     if len(data) >= 8 and struct.unpack_from("<I", data)[0] == DICTIONARY_MAGIC:
         size = struct.unpack_from("<I", data, 4)[0]
@@ -80,8 +103,8 @@ def frames(data: bytes) -> Iterator[bytes]:
             raise WarcError("the dictionary frame is cut short")
         raw = bytes(view[8 : 8 + size])
         if raw[:4] == zstd.FRAME_HEADER:  # the dictionary may be compressed itself
-            raw = zstd.ZstdDecompressor().decompressobj().decompress(raw)
-        trained, at = zstd.ZstdCompressionDict(raw), 8 + size
+            raw = unpacker.decompressobj().decompress(raw)
+        unpacker, at = zstd.ZstdDecompressor(dict_data=zstd.ZstdCompressionDict(raw)), 8 + size
     while at < len(data):
         if len(data) - at < 8:
             raise WarcError("bytes are left that are no frame")
@@ -93,14 +116,14 @@ def frames(data: bytes) -> Iterator[bytes]:
             continue
         if bytes(view[at : at + 4]) != zstd.FRAME_HEADER:
             raise WarcError("no frame starts here")
-        one = zstd.ZstdDecompressor(dict_data=trained).decompressobj() if trained else zstd.ZstdDecompressor().decompressobj()
+        end, one = frame_end(view, at), unpacker.decompressobj()
         try:
-            plain = one.decompress(view[at:])
+            plain = one.decompress(view[at:end])
         except zstd.ZstdError as x:
             raise WarcError(str(x)) from x
         if not one.eof:
             raise WarcError("a record's frame is cut short")
-        at = len(data) - len(one.unused_data)
+        at = end
         yield plain
 
 
@@ -177,7 +200,8 @@ def write_archives(pages: DataFrame, path: str, work: Workspace | None = None, s
 
     Of equal payloads of at least ``smallest`` bytes the one with the smallest page_id is a response and the
     others revisit it; a row that repeats that id is a response too.  A null id is no candidate; null html
-    is an empty payload.
+    is an empty payload.  A page is one record, however long it is; extra columns are ignored, and an empty
+    table gives no archive.
     """
     work = work or Workspace(pages.sparkSession, "warc")
     sample = pages.filter(F.col("html").isNotNull()).select(F.substring("html", 1, SAMPLE_CHARS).alias("s")).limit(SAMPLE_ROWS)
@@ -209,7 +233,10 @@ def write_archives(pages: DataFrame, path: str, work: Workspace | None = None, s
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """page_id, url, record_type, refers_to, payload, payload_bytes, payload_digest of every record, all checked."""
+    """page_id, url, record_type, refers_to, payload, payload_bytes, payload_digest of every record, all checked.
+
+    A broken frame, header, length or digest raises ``WarcError``; an archive without records gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("page_id", "url", "kind", "refers_to", "payload", "payload_bytes", "digest")
@@ -236,7 +263,10 @@ def read_archives(spark, path: str) -> DataFrame:
 
 
 def through_archives(pages: DataFrame, smallest: int = SMALLEST) -> DataFrame:
-    """Write ``pages`` to archives and read them back; an empty table gives no records."""
+    """Write ``pages`` to archives and read them back, one row per row of ``pages``; see ``write_archives``.
+
+    An empty table gives no records.
+    """
     work = Workspace(pages.sparkSession, "warc")
     write_archives(pages, work.path("archives"), work, smallest)
     return read_archives(pages.sparkSession, work.path("archives"))
