@@ -310,11 +310,29 @@ def test_top_k(spark):
         if q % 50 == 0:
             found = sorted((-sum(x * y for x, y in zip(e, f, strict=True)), i) for i, f in good if i != q and len(e) == len(f))
             want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(found[:5])}
-    for block in (2048, 16):
-        assert set(map(tuple, top_k(v, v.filter("vec_id % 50 = 0"), block=block, group=2).collect())) == want
+    for block in (256, 16, 3):
+        assert set(map(tuple, top_k(v, v.filter("vec_id % 50 = 0"), block=block).collect())) == want
     assert top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_bounds_leave_out_blocks_of_other_directions():
+    from thermogrid.llm.topk import Shelf
+
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((20, 16)) * 100
+    block = np.repeat(np.arange(20), 50)
+    rows = np.floor(centres[block] + rng.standard_normal((1000, 16)) * 10).astype(np.int64)
+    ids = rng.permutation(1000)
+    shelf = Shelf(ids, rows, block)
+    at = np.arange(0, 1000, 25)
+    i, found, score = shelf.search(rows[at], ids[at], np.full(len(at), -(1 << 62)), 5)
+    all_scores = rows[at] @ rows.T
+    for q in range(len(at)):
+        want = sorted((-all_scores[q, j], ids[j]) for j in range(1000) if j != at[q])[:5]
+        assert [(-s, d) for s, d in zip(score[i == q].tolist(), found[i == q].tolist(), strict=True)] == want
+    assert shelf.scored < 0.5 * shelf.pairs
+
+
 def test_warc(spark, tmp_path):
     from thermogrid.llm import warc
 

@@ -1,10 +1,14 @@
 """Exact top-k search by inner product, block at a time.
 
-Rows are dealt into blocks by a coarse code of their vectors, so that a block holds similar ones.  A
-block is its own forward index (the matrix of its quantised vectors) with the largest and smallest value
-of every dimension.  For a query, the summed products with these extremes bound every score in a block.
-Each group of queries first scores the blocks with its largest bounds; the k-th best score then found
-leaves only blocks whose bound reaches it, and those are scored in a second pass.
+Rows are ordered by a coarse code of their vectors and cut into blocks, so that a block holds similar ones; several
+blocks share a shelf, which one task can hold.  A block is its own forward index (the matrix of its quantised
+vectors) with the largest and smallest value of every dimension: a query's summed products with these extremes bound
+every score in the block.  A query first searches the shelf of its own code, which gives it a k-th best score; then
+all other shelves, where blocks are taken in order of their bounds and left out, query by query, as soon as the bound
+is below the k-th best score so far.
+
+Queries travel to shelves, never blocks to queries: a shelf's rows come first in its partition, and the queries
+stream past them.
 """
 
 from __future__ import annotations
@@ -18,10 +22,11 @@ from pyspark.sql import functions as F
 
 from .store import Workspace
 
-BLOCK = 2048
-QUERIES = 256
-FIRST = 2
-_HITS = "query_id long, dim int, vec_id long, score long"
+BLOCK = 256
+#: Rows of a shelf: at most this many, and at most so many vector components.
+SHELF, COMPONENTS = 65_536, 1 << 22
+QUERIES = 512
+_HITS = "query_id long, vec_id long, score long"
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -32,19 +37,6 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     return kept.select("vec_id", F.transform(x, lambda v: F.floor(v * scale).cast("long")).alias("q"), F.size("embedding").alias("dim"))
 
 
-def blocked(rows: DataFrame, size: int) -> DataFrame:
-    """One row per block: block, dim, ids and the matrix as bytes, with the extremes of each dimension."""
-
-    def build(key: tuple, table: pa.Table) -> pa.Table:
-        m = matrix(table.column("q"), key[1].as_py())
-        ids = np.asarray(table.column("vec_id"), np.int64)
-        top, low = (m.max(0), m.min(0)) if m.size else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return pa.table({"block": [key[0].as_py()], "dim": pa.array([key[1].as_py()], pa.int32()), "ids": [ids.tobytes()], "m": [m.tobytes()], "top": [top.tolist()], "low": [low.tolist()]}, schema=schema)
-
-    schema = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("m", pa.binary()), ("top", pa.list_(pa.int64())), ("low", pa.list_(pa.int64()))])
-    return rows.groupBy("block", "dim").applyInArrow(build, "block long, dim int, ids binary, m binary, top array<long>, low array<long>")
-
-
 def matrix(column, dim: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(column.flatten(), np.int64).reshape(-1, dim)
@@ -63,79 +55,76 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(wide, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(query, places of its k best), larger scores first, then smaller ids; a query's own row is left out."""
-    order = np.argsort(ids, kind="stable")
-    for i in range(len(scores)):
-        s = scores[i][order]
-        if len(s) > 4 * k:
-            cut = np.partition(s, len(s) - k - 1)[len(s) - k - 1]
-            at = np.flatnonzero(s >= cut)
-        else:
-            at = np.arange(len(s))
-        at = at[ids[order[at]] != own[i]]
-        if len(at) < k and len(s) > 4 * k:  # several rows carry the query's own id
-            at = np.flatnonzero(ids[order] != own[i])
-        yield i, order[at[np.argsort(-s[at], kind="stable")[:k]]]
-
-
-def scored(pairs: DataFrame, k: int) -> DataFrame:
-    """The k best of each query in each joined row of query group and block."""
+class Shelf:
+    """Blocks of similar rows with their extremes; ``scored`` and ``pairs`` count query-block pairs scored and met."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, block: np.ndarray):
+        order = np.lexsort((ids, block))
+        self.ids, self.rows = ids[order], rows[order]
+        first = np.flatnonzero(np.diff(block[order], prepend=-1))
+        self.edges = np.append(first, len(ids))
+        self.top = np.maximum.reduceat(self.rows, first, axis=0).astype(np.float64)
+        self.low = np.minimum.reduceat(self.rows, first, axis=0).astype(np.float64)
+        self.scored = self.pairs = 0
+
+    def search(self, q: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the query, vec_id, score) of each query's k best here that reach its floor, ties to smaller ids."""
+        wide = q.astype(np.float64)
+        bound = np.maximum(wide, 0) @ self.top.T + np.minimum(wide, 0) @ self.low.T
+        bound += np.abs(bound) * 1e-12  # a bound may only err upwards
+        self.pairs += bound.size
+        least, none = floor.astype(np.float64), np.zeros(0, np.int64)
+        held = (none, none, none)
+        for b in np.argsort(-bound.max(0), kind="stable"):
+            ask = np.flatnonzero(bound[:, b] >= least)
+            if not len(ask):
+                continue
+            self.scored += len(ask)
+            lo, hi = self.edges[b], self.edges[b + 1]
+            s = products(q[ask], self.rows[lo:hi])
+            u, v = np.nonzero((s >= least[ask][:, None]) & (self.ids[lo:hi][None, :] != own[ask][:, None]))
+            held = tuple(np.concatenate(x) for x in zip(held, (ask[u], self.ids[lo + v], s[u, v]), strict=True))
+            order = np.lexsort((held[1], -held[2], held[0]))
+            held = tuple(x[order] for x in held)
+            rank = np.arange(len(held[0])) - np.searchsorted(held[0], held[0])
+            held = tuple(x[rank < k] for x in held)
+            last = rank[rank < k] == k - 1
+            least[held[0][last]] = np.maximum(least[held[0][last]], held[2][last].astype(np.float64))
+        return held
+
+
+def searched(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each shelf for each query sent there; both have shelf, dim, block, vec_id, q, and floor."""
+    columns = ["shelf", "dim", "asks", "block", "vec_id", "q", "floor"]
+    both = rows.withColumns({"asks": F.lit(False), "floor": F.lit(None).cast("long")}).select(*columns)
+    both = both.unionByName(asked.withColumns({"asks": F.lit(True), "block": F.lit(0).cast("long")}).select(*columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, shelf = None, [], None
         for batch in batches:
-            for r in range(batch.num_rows):
-                row = {n: batch.column(n)[r].as_py() for n in batch.schema.names}
-                dim = row["dim"]
-                if not dim:
+            place, dim, asks = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("shelf", "dim", "asks"))
+            new = np.flatnonzero((place[1:] != place[:-1]) | (dim[1:] != dim[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for a, b in zip([0, *new], [*new, len(place)], strict=True):
+                part = batch.slice(a, b - a)
+                ids, q = np.asarray(part.column(4), np.int64), matrix(part.column(5), int(dim[a]))
+                if (place[a], dim[a]) != key:
+                    key, parts, shelf = (place[a], dim[a]), [], None
+                if not asks[a]:
+                    parts.append((ids, q, np.asarray(part.column(3), np.int64)))
                     continue
-                q = np.frombuffer(row["qm"], np.int64).reshape(-1, dim)
-                own = np.frombuffer(row["qids"], np.int64)
-                if row["wanted"] is not None:
-                    wanted = np.asarray(row["wanted"], np.int64)
-                    q, own = q[wanted], own[wanted]
-                ids = np.frombuffer(row["ids"], np.int64)
-                s = products(q, np.frombuffer(row["m"], np.int64).reshape(-1, dim))
-                out = [(own[i], ids[at], s[i][at]) for i, at in best(s, ids, own, k)]
-                n = [len(x[1]) for x in out]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([x[0] for x in out], n).astype(np.int64)), pa.array(np.full(sum(n), dim, np.int32)), pa.array(np.concatenate([x[1] for x in out])), pa.array(np.concatenate([x[2] for x in out]))],
-                    names=["query_id", "dim", "vec_id", "score"],
-                )
-
-    return pairs.mapInArrow(run, _HITS)
-
-
-def reached(pairs: DataFrame, spec: str) -> DataFrame:
-    """Which queries of a group have a bound in a block that is at least their floor: (qblock, block, dim, most, wanted)."""
+                if shelf is None and parts:
+                    shelf, parts = Shelf(*(np.concatenate(x) for x in zip(*parts, strict=True))), []
+                floor = np.asarray(part.column(6).fill_null(-(1 << 62)), np.int64)
+                for at in range(0, len(ids) if shelf is not None else 0, QUERIES):
+                    own = ids[at : at + QUERIES]
+                    i, found, score = shelf.search(q[at : at + QUERIES], own, floor[at : at + QUERIES], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in range(batch.num_rows):
-                row = {n: batch.column(n)[r].as_py() for n in batch.schema.names}
-                if not row["dim"]:
-                    continue
-                q = np.frombuffer(row["qm"], np.int64).reshape(-1, row["dim"]).astype(np.float64)
-                top, low = np.asarray(row["top"], np.float64), np.asarray(row["low"], np.float64)
-                bound = np.maximum(q, 0) @ top + np.minimum(q, 0) @ low
-                bound = bound + np.abs(bound) * 1e-12  # a bound may only err upwards
-                floors = row.get("floors")
-                if floors is None:
-                    wanted = np.arange(len(q))
-                else:
-                    floor = np.array([-np.inf if f is None else f for f in floors], np.float64)
-                    wanted = np.flatnonzero(bound >= floor)
-                if len(wanted):
-                    out.append((row["qblock"], row["block"], row["dim"], float(bound.max()), wanted.tolist()))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["qblock", "block", "dim", "most", "wanted"])
-
-    return pairs.mapInArrow(run, spec)
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, block: int = BLOCK, group: int = QUERIES, first: int = FIRST) -> DataFrame:
+    sort = ["shelf", "dim", "asks"]
+    return both.repartition("shelf", "dim").sortWithinPartitions(*sort).mapInArrow(run, _HITS)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` best rows of ``vectors`` for each row of ``queries``.
 
     Both have vec_id and embedding.  Components become floor(scale * x); the score is the integer inner
@@ -147,45 +136,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     work = Workspace(vectors.sparkSession, "topk")
     rows, asked = quantised(vectors, scale), quantised(queries, scale)
     asked = asked.groupBy("vec_id").agg(F.min(F.struct("q", "dim")).alias("x")).select("vec_id", "x.*")
-    n, n_asked = rows.count(), asked.count()
-    parts, q_parts = max(1, -(-n // block)), max(1, -(-n_asked // group))
+    n, widest = rows.agg(F.count("*"), F.max("dim")).first()
+    size = block * max(1, min(SHELF, COMPONENTS // (widest or 1), n // 64) // block)
     # similar vectors share a block: the signs of the first dimensions order them coarsely
-    signs = F.aggregate(F.slice("q", 1, 12), F.lit(0).cast("long"), lambda a, v: a * 2 + (v >= 0).cast("long"))
-    coarse = rows.withColumn("code", signs)
-    cells = coarse.groupBy("dim", "code").agg(F.count("*").alias("n"))
-    cells = cells.withColumn("before", F.sum("n").over(Window.partitionBy("dim").orderBy("code").rowsBetween(Window.unboundedPreceding, -1)))
-    cells = cells.select("dim", "code", F.coalesce("before", F.lit(0)).alias("before"), F.col("n").alias("in_cell"))
-    spread = F.floor((F.col("before") + F.pmod(F.xxhash64("vec_id", "q"), F.col("in_cell"))) / F.lit(block))
-    coarse = coarse.join(F.broadcast(cells), ["dim", "code"]).withColumn("block", F.when(F.col("in_cell") > 0, spread).cast("long"))  # at most 4096 cells of a length
-    table = work.keep(blocked(coarse.select("vec_id", "q", "dim", "block"), block), "blocks")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(q_parts)))
-    groups = blocked(asked, group).select(F.col("block").alias("qblock"), "dim", F.col("ids").alias("qids"), F.col("m").alias("qm"))
-    groups = work.keep(groups, "queries")
-    spec = "qblock long, block long, dim int, most double, wanted array<int>"
-
-    def joined(pairs: DataFrame) -> DataFrame:
-        return pairs.join(groups, ["qblock", "dim"]).join(table.select("block", "dim", "ids", "m"), ["block", "dim"])
-
-    # the extremes of all blocks against the query groups: blocks against blocks, not rows against rows
-    bounds = groups.join(table.select("block", "dim", "top", "low"), "dim")
-    bounds = work.keep(reached(bounds, spec), "bounds")
-    rank = F.row_number().over(Window.partitionBy("qblock", "dim").orderBy(F.desc("most"), "block"))
-    ordered = work.keep(bounds.select("qblock", "block", "dim", "wanted", rank.alias("turn")), "ordered")
-    hits = work.keep(scored(joined(ordered.filter(F.col("turn") <= first)), k), "hits-1")
+    code = F.aggregate(F.slice("q", 1, 12), F.lit(0).cast("long"), lambda a, v: a * 2 + (v >= 0).cast("long"))
+    coarse = rows.withColumn("code", code)
+    cells = coarse.groupBy("dim", "code").agg(F.count("*").alias("in_cell"))
+    before = F.sum("in_cell").over(Window.partitionBy("dim").orderBy("code").rowsBetween(Window.unboundedPreceding, -1))
+    cells = work.keep(cells.withColumn("before", F.coalesce(before, F.lit(0))), "cells")  # at most 4096 a length
+    slot = F.col("before") + F.pmod(F.xxhash64("vec_id", "q"), F.col("in_cell"))
+    table = coarse.join(F.broadcast(cells), ["dim", "code"]).select("dim", "vec_id", "q", F.floor(slot / size).alias("shelf"), F.floor(slot / block).alias("block"))
+    table = work.keep(table, "rows")
+    lengths = cells.groupBy("dim").agg(F.ceil(F.sum("in_cell") / size).alias("shelves"))  # one row for each length of vectors
+    home = asked.withColumn("code", code).join(F.broadcast(cells), ["dim", "code"], "left")
+    home = work.keep(home.select("dim", "vec_id", "q", F.coalesce(F.floor(F.col("before") / size), F.lit(0)).cast("long").alias("shelf")), "asked")
+    hits = work.keep(searched(table, home.withColumn("floor", F.lit(None).cast("long")), k), "hits-home")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    floors = hits.withColumn("r", F.row_number().over(order)).filter(F.col("r") == k).select("query_id", F.col("score").alias("floor"))
-
-    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                ids = np.frombuffer(b.column("qids")[r].as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), b.column("qblock")[r].as_py())), pa.array(np.full(len(ids), b.column("dim")[r].as_py(), np.int32)), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids)], names=["qblock", "dim", "place", "query_id"])
-
-    places = groups.select("qblock", "dim", "qids").mapInArrow(spelled, "qblock long, dim int, place int, query_id long")
-    floors = places.join(floors, "query_id", "left").groupBy("qblock", "dim").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "floor"))), lambda x: x["floor"]).alias("floors"))
-    left = ordered.filter(F.col("turn") > first).select("qblock", "block", "dim")
-    left = left.join(floors, ["qblock", "dim"]).join(groups.select("qblock", "dim", "qm"), ["qblock", "dim"]).join(table.select("block", "dim", "top", "low"), ["block", "dim"])
-    second = work.keep(reached(left, spec), "second").select("qblock", "block", "dim", "wanted")
-    hits = hits.unionByName(scored(joined(second), k))
+    floors = hits.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").alias("floor"), F.count("*").alias("n")).filter(F.col("n") >= k)
+    away = home.withColumnRenamed("shelf", "home").join(floors, "vec_id", "left").join(F.broadcast(lengths), "dim")
+    away = away.withColumn("shelf", F.explode(F.sequence(F.lit(0), F.col("shelves") - 1))).filter("shelf <> home")
+    hits = hits.unionByName(searched(table, away, k))
     out = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
