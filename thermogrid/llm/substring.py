@@ -9,8 +9,9 @@ copies, so only these sparse suffixes are kept.  They are partitioned by prefix:
   memory.  In it the windows are named by prefix doubling over the words: windows that get the same name pass
   through the same node of depth ``SIZE`` of the group's suffix tree, and each such node keeps its smallest document;
 * a prefix with more suffixes is lengthened (``PREFIXES``), and its windows are dealt anew by their smallest hashed
-  prefix of the new length.  What is still too large at the last length goes by whole windows, whose groups hold
-  equal windows only and are reduced to their smallest document before the shuffle, however many there are.
+  prefix of the new length.  What is still too large at the last length goes by whole runs of such windows: equal
+  runs are reduced to their smallest document before the shuffle, however many there are, and only the runs of those
+  documents are compared window by window.
 """
 
 from __future__ import annotations
@@ -166,10 +167,26 @@ def repeated_spans(docs: DataFrame, work: Workspace, size: int = SIZE, prefixes:
 
         return run
 
+    def hot_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of windows that are in too large groups at every length, each with two hashes of all its words."""
+        for batch, i, _, _, own in _texts(batches):
+            hot = _hot(own, batch, i, size, prefixes)
+            _, first, count = runs(np.zeros(len(hot), np.uint64), np.zeros(len(hot), np.int64), hot)
+            at = np.flatnonzero(hot)
+            inside = (np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64) * W.GOLDEN
+            names = []
+            for h in (own, W.mix(own ^ W.GOLDEN)) if len(at) else ():
+                names.append(np.add.reduceat(W.mix(W.windows(h, size)[at] + inside), np.cumsum(count) - count).view(np.int64))
+            if len(at):
+                ident = [pa.array(np.full(len(first), batch.column(k)[i].as_py())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ident, pa.array(first), pa.array(count), *map(pa.array, names)], names=["rid", "place", "start", "windows", "one", "two"])
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Two hashes of each window that is in too large groups at every length."""
+        """Two hashes of each window of the runs listed (column runs)."""
         for batch, i, _, _, own in _texts(batches):
-            at = np.flatnonzero(_hot(own, batch, i, size, prefixes))
+            listed = batch.column(batch.schema.get_field_index("runs"))[i].values
+            start, count = (np.asarray(listed.field(k), np.int64) for k in ("start", "windows"))
+            at = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
             one, two = (W.windows(x, size)[at].view(np.int64) for x in (own, W.mix(own ^ W.GOLDEN)))
             ident = [pa.array(np.full(len(at), batch.column(k)[i].as_py())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*ident, pa.array(one), pa.array(two), pa.array(at)], names=["rid", "place", "one", "two", "start"])
@@ -229,7 +246,12 @@ def repeated_spans(docs: DataFrame, work: Workspace, size: int = SIZE, prefixes:
     spans = work.keep(small, "spans-trees")
     if level == len(prefixes):
         lists = [f"long{k}" for k in range(level)]
-        big = work.keep(hot.select("rid", "place", "text", *lists).mapInArrow(windows, "rid long, place long, one long, two long, start long"), "windows")
+        named = work.keep(hot.select("rid", "place", "text", *lists).mapInArrow(hot_runs, "rid long, place long, start long, windows long, one long, two long"), "runs")
+        firsts = named.groupBy("one", "two", "windows").agg(F.min("place").alias("first"))
+        named = work.keep(named.join(firsts, ["one", "two", "windows"]).select("rid", "place", "start", "windows", (F.col("place") > F.col("first")).alias("later")), "runs-named")
+        spans = spans.unionByName(named.filter("later").select("rid", "start", "windows"))  # all of the run is in an earlier document
+        ahead = named.filter("NOT later").groupBy("rid").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
+        big = work.keep(hot.select("rid", "place", "text").join(ahead, "rid").mapInArrow(windows, "rid long, place long, one long, two long, start long"), "windows")
         least = big.groupBy("one", "two").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).filter("lo < hi")
         least = work.keep(least.select("one", "two", "lo"), "least")
         later = big.join(least, ["one", "two"]).filter("place > lo").select("rid", "start", F.lit(1).cast("long").alias("windows"))
