@@ -127,6 +127,19 @@ def test_near_chains_and_links_away_from_the_centre(spark, monkeypatch, sizes):
     assert got == root and len(set(root.values())) > 12
 
 
+def test_near_repeated_rows_and_null_ids(spark):
+    from thermogrid.llm.dartminhash import near_duplicates
+
+    rng = random.Random(8)
+    base = words(rng, 100)
+    near = " ".join([*base[:50], "changed", *base[51:]])
+    rows = [(None, " ".join(base)), (None, near), (None, near), (3, "alone " + " ".join(words(rng, 20)))] + [(7, near + " more")] * 20
+    got = near_duplicates(spark.createDataFrame(rows[:4], "doc_id long, text string")).collect()
+    assert sorted((r["class_id"] or 0, r["class_size"], r["kept"]) for r in got) == [(0, 3, True)] * 3 + [(3, 1, True)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in got) == {(None, 7, 23): 3, (3, 3, 1): 1, (7, 7, 23): 20}
+
+
 def test_open_buckets_lose_no_pair(spark, monkeypatch):
     from thermogrid.llm import dartminhash as D
 
@@ -143,8 +156,11 @@ def test_open_buckets_lose_no_pair(spark, monkeypatch):
     least = 96 - D.DEVIATIONS * (120 * 0.16) ** 0.5
     agree = lambda a, b: (sketch[a] == sketch[b]).sum()
     want = {(a, b) for a in sketch for b in sketch if a < b and root[a] != root[b] and agree(a, b) >= least and 100 + a >= 0.8 * (100 + b)}
-    assert want and {tuple(r) for r in D._open_pairs(members, texts, roots, 0.8, False).collect()} == want
-    some = {tuple(r) for r in D._open_pairs(members, texts, roots, 0.8, True).collect()}
+    got = D._open_pairs(members, texts, roots, 0.8, 1000).collect()
+    assert want and {(r["a"], r["b"]) for r in got} == want and not any(r["cut"] for r in got)
+    got = D._open_pairs(members, texts, roots, 0.8, 1).collect()
+    some = {(r["a"], r["b"]) for r in got}
+    assert any(r["cut"] for r in got)
     assert some < want and {i for p in some for i in p} >= {b for _, b in want if b >= 35}
 
 

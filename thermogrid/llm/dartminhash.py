@@ -12,8 +12,9 @@ bucket's centre, the text with the most company over all its bands, so a group o
 as it has members.  Pairs are verified by their exact similarity, and classes are the connected components.
 Buckets that still hold several classes are then searched whole: texts outside the bucket's largest class
 meet all its other members, in blocks of bounded size, by the bytes of a second, longer signature that only the texts
-of such buckets get; only pairs of different classes that may reach the similarity become rows and are verified,
-first the closest of each text, then all that are left.
+of such buckets get; of the pairs of different classes that may reach the similarity, each text's closest with every
+class become rows and are verified, and classes merge.  Where a text had more of them, more of its pairs become rows
+in the next turn, until none is left.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SIMILARITY = 0.8
 FINE, GLANCE = 1024, 128
 #: Signature coordinates of a verified pair that agree, as deviations below their expected number.
 DEVIATIONS = 4.1
+#: Each turn looks at this many times more pairs of a text and a class.
+WIDER = 16
 #: Texts outside the largest class, and members they meet, in one block of a bucket.
 OUTER, INNER = 512, 1024
 _RANK, _COORDINATE, _WEIGHT = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
@@ -142,28 +145,30 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
             return now
 
 
-def _across(similarity: float, closest: bool):
-    """A function for mapInArrow over rows sorted by block: pairs of different classes that may be similar enough."""
+def _across(similarity: float, most: int):
+    """A function for mapInArrow over rows sorted by block: the closest pairs of different classes that may be similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             rows = pa.concat_tables([rest, rows]).combine_chunks() if rest is not None else rows
-            whole, a, b = _compare(rows, similarity, closest, False)
+            whole, *columns = _compare(rows, similarity, most, False)
             rest = rows.slice(whole)
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "cut"])
         if rest is not None:
-            _, a, b = _compare(rest, similarity, closest, True)
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([*_compare(rest, similarity, most, True)[1:]], names=["a", "b", "cut"])
 
     return run
 
 
-def _compare(rows: pa.Table, similarity: float, closest: bool, last: bool) -> tuple[int, pa.Array, pa.Array]:
-    """(rows of blocks known to be whole, smaller ids, larger ids) of the pairs in those blocks."""
+def _compare(rows: pa.Table, similarity: float, most: int, last: bool) -> tuple[int, pa.Array, pa.Array, pa.Array]:
+    """(rows of blocks known to be whole, smaller ids, larger ids, whether more were left out) of the pairs in those blocks.
+
+    Of each text's pairs with a class, the ``most`` that agree best are returned.
+    """
     if not len(rows):
-        return 0, pa.array([], pa.int64()), pa.array([], pa.int64())
+        return 0, pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.bool_())
     band, i, j, rep, root, n = (rows.column(c).to_numpy() for c in ("band", "i", "j", "rep", "root", "n"))
     outer, asks = (rows.column(c).to_numpy().astype(bool) for c in ("outer", "asks"))
     new = np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
@@ -172,7 +177,7 @@ def _compare(rows: pa.Table, similarity: float, closest: bool, last: bool) -> tu
     sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(rows), -1)
     glance = np.ascontiguousarray(sketch[:, :GLANCE])
     low, least = (k * similarity - DEVIATIONS * np.sqrt(k * similarity * (1 - similarity)) for k in (glance.shape[1], sketch.shape[1]))
-    left, right = [], []
+    left, right, more = [], [], []
     for a, b in zip(edges, edges[1:], strict=False):
         asking, y = a + np.flatnonzero(asks[a:b]), a + np.flatnonzero(~asks[a:b])
         for at in range(0, len(asking) if len(y) else 0, 32):
@@ -181,24 +186,26 @@ def _compare(rows: pa.Table, similarity: float, closest: bool, last: bool) -> tu
             good = (root[x][:, None] != root[y][None, :]) & (np.minimum(nx, ny) >= similarity * np.maximum(nx, ny))
             good &= ~outer[y][None, :] | (rep[x][:, None] < rep[y][None, :])  # two outer texts meet twice
             u, v = np.nonzero(good)
-            agree = np.zeros(len(u), np.int64)
-            for c in range(0, len(u), 4096):
-                d = slice(c, c + 4096)
-                agree[d] = (glance[x[u[d]]] == glance[y[v[d]]]).sum(1)
-            u, v = u[agree >= low], v[agree >= low]
-            agree = np.zeros(len(u), np.int64)
-            for c in range(0, len(u), 4096):
-                d = slice(c, c + 4096)
-                agree[d] = (sketch[x[u[d]]] == sketch[y[v[d]]]).sum(1)
-            u, v, agree = u[agree >= least], v[agree >= least], agree[agree >= least]
-            if closest and len(u):
-                order = np.lexsort((v, -agree, u))
-                first = order[np.concatenate([[True], np.diff(u[order]) > 0])]
-                u, v = u[first], v[first]
-            left.append(rep[x[u]])
-            right.append(rep[y[v]])
+            for part, bound in ((glance, low), (sketch, least)):
+                agree = np.zeros(len(u), np.int64)
+                for c in range(0, len(u), 4096):
+                    d = slice(c, c + 4096)
+                    agree[d] = (part[x[u[d]]] == part[y[v[d]]]).sum(1)
+                u, v, agree = u[agree >= bound], v[agree >= bound], agree[agree >= bound]
+            if len(u):
+                group = root[y[v]]
+                order = np.lexsort((v, -agree, group, u))
+                u, v, group = u[order], v[order], group[order]
+                begins = np.concatenate([[True], (np.diff(u) > 0) | (np.diff(group) != 0)])
+                first = np.flatnonzero(begins)
+                size = np.diff(np.append(first, len(u)))
+                rank = np.arange(len(u)) - np.repeat(first, size)
+                keep = rank < most
+                more.append((np.repeat(size, size) > most)[keep])
+                left.append(rep[x[u[keep]]])
+                right.append(rep[y[v[keep]]])
     p, q = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
-    return whole, pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))
+    return whole, pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(np.concatenate(more) if more else np.zeros(0, bool))
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -210,8 +217,8 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     return known.join(top, "band")
 
 
-def _open_pairs(members: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float, closest: bool) -> DataFrame:
-    """Pairs (a, b) of different classes that share a bucket and may be similar enough.
+def _open_pairs(members: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float, most: int) -> DataFrame:
+    """Pairs (a, b) of different classes that share a bucket and may be similar enough; cut where a text and a class have over ``most``.
 
     Texts outside a bucket's largest class ask all its members.  Both are dealt to blocks, so a bucket of m members
     of which r are outside makes m * ceil(r / OUTER) + r * ceil(m / INNER) rows, and no task holds a whole bucket.
@@ -223,7 +230,8 @@ def _open_pairs(members: DataFrame, texts: DataFrame, roots: DataFrame, similari
     asking = held.filter("outer").withColumns({"i": deal("outers"), "asks": F.lit(True)}).withColumn("j", each("inners")).select(*columns)
     asked = held.withColumns({"j": deal("inners"), "asks": F.lit(False)}).withColumn("i", each("outers")).select(*columns)
     blocks = asking.unionByName(asked).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return blocks.mapInArrow(_across(similarity, closest), "a long, b long").distinct()
+    found = blocks.mapInArrow(_across(similarity, most), "a long, b long, cut boolean")
+    return found.groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -232,7 +240,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     A class holds the texts that links of at least ``similarity`` connect, and all their copies; class_id is its
     smallest doc_id, and the row with that id is kept.  Texts of fewer than five words are one shingle;
     texts without words (also null) are classes of their own text only.  Repeated rows share a class, and
-    a null doc_id has class_id null if its class has no other id.  Extra columns are ignored.
+    a null doc_id has class_id null if its class has no other id; such texts are compared like others.  Texts are
+    read whole, extra columns are ignored, an empty table gives an empty result.
     """
     work = Workspace(docs.sparkSession, "near")
     keyed = docs.select(*row_key(), "text")
@@ -245,10 +254,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], lists, pa.array(n.astype(np.int64))], names=["doc_id", "text_sha", "bands", "n"])
 
     signed = work.keep(keyed.mapInArrow(sign, "doc_id long, text_sha string, bands array<long>, n long"), "signed")
-    # one text of each group of copies goes on; its rep is the smallest id among them
-    texts = signed.groupBy("text_sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("bands").alias("bands"), F.max("n").alias("n"))
-    texts = work.keep(texts, "texts")
-    each = texts.filter("n > 0 AND rep IS NOT NULL").select("rep", F.explode("bands").alias("band"))
+    # one text of each group of copies goes on, under a number of its own
+    texts = signed.groupBy("text_sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("bands").alias("bands"), F.max("n").alias("n"))
+    texts = work.keep(texts.withColumn("rep", F.monotonically_increasing_id()), "texts")
+    each = texts.filter("n > 0").select("rep", F.explode("bands").alias("band"))
     full = work.keep(each.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1"), "full")
     members = work.keep(each.join(full, "band"), "members")
     company = work.keep(members.groupBy("rep").agg(F.sum("members").alias("company")), "company")
@@ -256,9 +265,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     centres = work.keep(centres.select("band", (-F.col("c.minus")).alias("centre")), "centres")
     pairs = members.join(centres, "band").filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
     pairs = work.keep(pairs, "pairs")
-    wanted = company.select("rep").join(texts.select("rep", "text_sha"), "rep")
-    bodies = keyed.join(wanted.select(F.col("rep").alias("doc_id"), "text_sha"), ["doc_id", "text_sha"]).select("doc_id", "text")
-    bodies = work.keep(bodies, "bodies")
+    key = lambda doc: F.concat_ws(":", "text_sha", F.col(doc).cast("string")).alias("key")
+    wanted = company.select("rep").join(texts.select("rep", "text_sha", "least"), "rep").select("rep", key("least"))
+    bodies = keyed.select(key("doc_id"), "text").join(wanted, "key").groupBy("key").agg(F.first("rep").alias("rep"), F.first("text").alias("text"))
+    bodies = work.keep(bodies.drop("key"), "bodies")
     work.drop("full", "centres")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,8 +279,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(good), part.column(1).filter(good)], names=["a", "b"])
 
     def verified(candidates: DataFrame, tag: str) -> DataFrame:
-        first = candidates.join(bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-        second = first.join(bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+        first = candidates.join(bodies.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
+        second = first.join(bodies.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
         return work.keep(second.mapInArrow(verify, "a long, b long"), tag)
 
     edges = verified(pairs, "edges")
@@ -282,18 +292,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
                 n, made = sketches(batch.column(1)[x:y])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[x:y], pa.array(n.astype(np.int64)), pa.array([m.tobytes() for m in made], pa.binary())], names=["rep", "n", "sketch"])
 
-    opened = bodies.join(_open(members, roots).select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("rep"), "text")
+    opened = bodies.join(_open(members, roots).select("rep").distinct(), "rep").select("rep", "text")
     fine = work.keep(opened.mapInArrow(sketch, "rep long, n long, sketch binary"), "fine")
-    for turn, closest in enumerate((True, False), 1):
-        more = _open_pairs(members, fine, roots, similarity, closest).join(pairs, ["a", "b"], "left_anti")
-        more = work.keep(more, f"pairs-{turn}")
+    most, turn, cut = 1, 0, True
+    while cut:
+        turn += 1
+        found = work.keep(_open_pairs(members, fine, roots, similarity, most), f"found-{turn}")
+        cut = found.filter("cut").limit(1).count() > 0
+        more = work.keep(found.select("a", "b").join(pairs, ["a", "b"], "left_anti"), f"pairs-{turn}")
         pairs = pairs.unionByName(more)
         edges = edges.unionByName(verified(more, f"edges-{turn}"))
         roots = components(edges, Workspace(docs.sparkSession, f"near-{turn}"))
+        most *= WIDER
     work.drop("members", "fine", "bodies")
-    classes = texts.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("text_sha", "copies", F.coalesce("root", "rep").alias("class_id"))
+    classes = texts.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("text_sha", "copies", "least", F.coalesce("root", "rep").alias("class"))
     classes = work.keep(classes, "classes")
-    sizes = work.keep(classes.filter("class_id IS NOT NULL").groupBy("class_id").agg(F.sum("copies").alias("class_size")), "sizes")
-    classes = work.keep(classes.join(sizes, "class_id", "left").select("text_sha", "class_id", F.coalesce("class_size", "copies").alias("class_size")), "sized")
+    sizes = work.keep(classes.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size")), "sizes")
+    classes = work.keep(classes.join(sizes, "class").select("text_sha", "class_id", "class_size"), "sized")
     out = signed.select("doc_id", "text_sha").join(classes, "text_sha")
     return out.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
