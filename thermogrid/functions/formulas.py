@@ -108,19 +108,22 @@ def discomfort_index(t, rh):
 
 
 def net_effective_temperature(t, rh, wind):
-    return f"(37.0 - (37.0 - ({t})) / (0.68 - 0.0014 * ({rh}) + 1.0 / (1.76 + 1.4 * power(({wind}), 0.75))) - 0.29 * ({t}) * (1.0 - 0.01 * ({rh})))"
+    return f"(37.0 - (37.0 - ({t})) / (0.68 - 0.0014 * ({rh}) + 1.0 / (1.76 + 1.4 * power({clip(wind, 0.0)}, 0.75))) - 0.29 * ({t}) * (1.0 - 0.01 * ({rh})))"
 
 
-def mean_radiant_temperature(t, solar=None, wind="0.5", svf="1.0", albedo="0.0"):
+def mean_radiant_temperature(t, solar=None, wind=None, svf="1.0", albedo="0.2"):
+    """Without wind there is no convective term; wind below 0 counts as none, the sky view is cut to 0 and 1."""
     if solar is None:
         return f"({t})"
-    return f"(({t}) + 0.7 * (1.0 - ({albedo})) * ({solar}) * ({svf}) / (6.0 + 4.0 * sqrt(({wind}))))"
+    convection = f"4.0 * sqrt({clip(wind, 0.0)})" if wind else "0.0"
+    return f"(({t}) + 0.7 * (1.0 - ({albedo})) * ({solar}) * {clip(svf, 0.0, 1.0)} / (6.0 + {convection}))"
 
 
 def utci(t, rh, wind="0.5", tmrt=None):
     d = f"(({tmrt}) - ({t}))" if tmrt else "0.0"
     pa = f"({vapour_pressure_from_rh(t, rh)} / 10.0)"
-    return f"(({t}) + 0.607 * {d} - 1.5 * ln(1.0 + ({wind})) + 0.020 * {d} * ({wind}) + 0.20 * ({pa} - 1.0))"
+    w = clip(wind, 0.0)
+    return f"(({t}) + 0.607 * {d} - 1.5 * ln(1.0 + {w}) + 0.020 * {d} * {w} + 0.20 * ({pa} - 1.0))"
 
 
 def utci_category(u):
@@ -370,8 +373,11 @@ def shade_index(tree):
 
 
 def crop_coefficient(tree, green, water, imperv):
-    rest = f"greatest({green} - {tree}, 0.0)"
-    return ratio(f"1.0 * ({tree}) + 1.05 * ({water}) + 0.2 * ({imperv}) + 0.2 * {rest}", f"({tree}) + ({water}) + ({imperv}) + {rest}")
+    """Plants 1, water 1.05, sealed and bare ground 0.2, by their shares; the larger of trees and green is the plants'."""
+    veg, sealed = clip(f"greatest(({tree}), ({green}))", 0.0, 1.0), clip(imperv, 0.0, 1.0)
+    bare = clip(f"1.0 - {veg} - ({water}) - {sealed}", 0.0, 1.0)
+    total = f"({veg} + ({water}) + {sealed} + {bare})"
+    return f"(({veg} + 1.05 * ({water}) + 0.2 * {sealed} + 0.2 * {bare}) / CASE WHEN {total} > 1e-6 THEN {total} ELSE 1.0 END)"
 
 
 def cooling_capacity(shade, albedo, eti):

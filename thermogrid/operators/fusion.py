@@ -18,8 +18,9 @@ def long_form(grid: DataFrame, layers: list[str], sigmas: dict[str, float] | Non
 
 
 def inverse_variance(estimates: DataFrame) -> DataFrame:
-    """Weighted mean and its sigma per cell; gaps take no part, a cell of gaps stays one."""
-    w = F.when(F.col("value").isNotNull(), 1.0 / (F.col("sigma") * F.col("sigma")))
+    """Weighted mean and its sigma per cell; gaps, and sigmas that are not above 0 and finite, take no part."""
+    good = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")) & (F.col("sigma") > 0) & ~F.isnan("sigma") & (F.col("sigma") < float("inf"))
+    w = F.when(good, 1.0 / F.nullif(F.col("sigma") * F.col("sigma"), F.lit(0.0)))
     g = estimates.groupBy(*CELL).agg(F.sum(w * F.col("value")).alias("_v"), F.sum(w).alias("_w"))
     return g.select(*CELL, (F.col("_v") / F.nullif("_w", F.lit(0.0))).alias("fused"), F.sqrt(1.0 / F.nullif("_w", F.lit(0.0))).alias("fused_sigma"))
 

@@ -5,6 +5,8 @@ Global scalars come from one aggregate that is cross-joined as a single row.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,15 +32,72 @@ def minmax(grid: DataFrame, layer: str, out: str) -> DataFrame:
     return x.withColumn(out, value).drop("_lo", "_hi")
 
 
-def percentile_rank(grid: DataFrame, layer: str, out: str, buckets: int = 1024) -> DataFrame:
+def quantiles(grid: DataFrame, layer: str, shares: list[float], where: Column | None = None, small: int = 100_000, buckets: int = 512) -> list[float | None]:
+    """Exact quantiles by linear interpolation, gaps left out; None without values.
+
+    The values' range is cut into buckets that are counted, and each bucket that holds a wanted rank is cut again,
+    until it has at most ``small`` values or only one distinct value.  Only the values of such buckets are sorted, so
+    no task and no driver ever holds a layer, however its values are spread.
+    """
+    x = F.col(layer).cast("double")
+    known = grid.filter(x.isNotNull() & (where if where is not None else F.lit(True))).select(x.alias("v"))
+    s = known.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    if not s["n"]:
+        return [None] * len(shares)
+    ranks = sorted({r for q in shares for r in (math.floor(q * (s["n"] - 1)), math.ceil(q * (s["n"] - 1)))})
+    found: dict[int, float] = {}
+    # (low, high, values below low, values inside) of ranges that still hold wanted ranks
+    ranges = [(s["lo"], s["hi"], 0, s["n"])]
+    while ranges:
+        done = [g for g in ranges if g[3] <= small or g[0] == g[1]]
+        for lo, hi, before, inside in done:
+            mine = [r for r in ranks if before <= r < before + inside]
+            if lo == hi:
+                found |= {r: lo for r in mine}
+            else:
+                values = sorted(r[0] for r in known.filter(F.col("v").between(lo, hi)).collect())  # at most ``small``
+                found |= {r: values[r - before] for r in mine}
+        ranges = [g for g in ranges if g not in done]
+        if not ranges:
+            break
+        cases, place = F.lit(None).cast("int"), F.lit(None).cast("int")
+        for k, (lo, hi, _, _) in enumerate(ranges):
+            inside = F.col("v").between(lo, hi)
+            cases = F.when(inside, k).otherwise(cases)
+            step = F.least(F.lit(buckets - 1), F.floor((F.col("v") / 2 - lo / 2) / (hi / 2 - lo / 2) * buckets).cast("int"))
+            place = F.when(inside, step).otherwise(place)
+        counted = known.select("v", cases.alias("k"), place.alias("b")).filter("k IS NOT NULL").groupBy("k", "b").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        parts: dict[int, list] = {}
+        for r in counted.orderBy("k", "b").collect():  # one row for each bucket
+            parts.setdefault(r["k"], []).append(r)
+        nexts = []
+        for k, (_, _, before, _) in enumerate(ranges):
+            at = before
+            for r in parts.get(k, []):
+                if any(at <= q < at + r["n"] for q in ranks):
+                    nexts.append((r["lo"], r["hi"], at, r["n"]))
+                at += r["n"]
+        ranges = nexts
+    out = []
+    for q in shares:
+        at = q * (s["n"] - 1)
+        a, b = found[math.floor(at)], found[math.ceil(at)]
+        out.append(a + (b - a) * (at - math.floor(at)))
+    return out
+
+
+def percentile_rank(grid: DataFrame, layer: str, out: str, buckets: int = 128) -> DataFrame:
     """100 times the share of values at or below each value; gaps stay gaps.
 
-    The counts of distinct values are summed up bucket by bucket of the value range, so that no window
-    spans all values: only one row per bucket meets in one place.
+    The counts of distinct values are summed up bucket by bucket, so that no window spans all values: only one row per
+    bucket meets in one place.  Buckets follow approximate quantiles, so that outliers do not fill one of them.
     """
-    known = grid.filter(F.col(layer).isNotNull())
-    counts = with_scalars(known, F.min(layer).alias("_lo"), F.max(layer).alias("_hi"))
-    bucket = F.coalesce(F.floor((F.col(layer) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * buckets).cast("int"), F.lit(0))
+    counts = grid.filter(F.col(layer).isNotNull())
+    edges = counts.agg(F.percentile_approx(F.col(layer).cast("double"), [k / buckets for k in range(1, buckets)], 10 * buckets)).first()[0]
+    bucket = F.lit(0)
+    if edges:
+        listed = F.array(*[F.lit(e) for e in sorted(set(edges))])
+        bucket = F.size(F.filter(listed, lambda e: e < F.col(layer)))
     counts = counts.groupBy(bucket.alias("_b"), F.col(layer).alias("_v")).agg(F.count("*").alias("_n"))
     sums = counts.groupBy("_b").agg(F.sum("_n").alias("_in"))
     before = sums.select("_b", (F.sum("_in").over(Window.orderBy("_b")) - F.col("_in")).alias("_before"), F.sum("_in").over(Window.partitionBy()).alias("_all"))
@@ -59,18 +118,17 @@ def surface_uhi(grid: DataFrame, layer: str = "lst", lcz: str | None = "lcz", gu
         urban, low, other = F.lit(False), F.lit(False), F.lit(False)
     else:
         urban, low, other = F.col(lcz).between(1, 10), F.col(lcz) == 14, F.col(lcz) >= 11
-    s = with_scalars(
-        grid,
-        F.median(F.when(low, x)).alias("_low"),
-        F.median(F.when(other, x)).alias("_other"),
-        F.median(F.when(urban, x)).alias("_urban"),
-        F.median(x).alias("_all"),
-        F.percentile(x, 0.25).alias("_q1"),
-    )
-    ref = F.coalesce("_low", "_other", "_all")
-    if guard:
-        ref = F.when(ref > F.col("_urban"), F.least(ref, "_q1")).otherwise(ref)
-    return s.withColumn("suhii", x - ref).drop("_low", "_other", "_urban", "_all", "_q1")
+    median = lambda where: quantiles(grid, layer, [0.5], where)[0]
+    ref = None
+    for where in (low, other) if lcz is not None else ():
+        ref = median(where) if ref is None else ref
+    if ref is None:
+        ref = median(None)
+    if guard and lcz is not None and ref is not None:
+        high = median(urban)
+        if high is not None and ref > high:
+            ref = min(ref, quantiles(grid, layer, [0.25])[0])
+    return grid.withColumn("suhii", x - F.lit(ref).cast("double"))
 
 
 def utfvi(grid: DataFrame, layer: str = "lst") -> DataFrame:
@@ -81,9 +139,9 @@ def utfvi(grid: DataFrame, layer: str = "lst") -> DataFrame:
 
 def quintiles(grid: DataFrame, layer: str, out: str) -> DataFrame:
     """1 plus the number of inner quintile edges a value lies above; 0 for a gap."""
-    s = with_scalars(grid, F.percentile(layer, F.array(*[F.lit(q) for q in (0.2, 0.4, 0.6, 0.8)])).alias("_q"))
-    over = sum((F.col(layer) > F.col("_q")[k]).cast("int") for k in range(4))
-    return s.withColumn(out, F.when(F.col(layer).isNull(), 0).otherwise(1 + over)).drop("_q")
+    edges = quantiles(grid, layer, [0.2, 0.4, 0.6, 0.8])
+    over = sum((F.col(layer) > F.lit(e)).cast("int") for e in edges)
+    return grid.withColumn(out, F.when(F.col(layer).isNull(), 0).otherwise(1 + over))
 
 
 def metric_panel(rows: DataFrame, truth: str = "y_true", guess: str = "y_pred", by: list[str] | None = None) -> DataFrame:
@@ -116,7 +174,6 @@ def equity_weights(grid: DataFrame, population: str | None = "population", vulne
 
 def priority_score(grid: DataFrame, layer: str = "lst", weight: str = "weight", out: str = "priority") -> DataFrame:
     """The weight times the layer's place between its 5th and 95th percentiles, cut to 0 and 1; gaps stay gaps."""
-    x = with_scalars(grid, F.percentile(layer, F.array(F.lit(0.05), F.lit(0.95))).alias("_p"))
-    lo, hi = F.col("_p")[0], F.col("_p")[1]
+    lo, hi = (F.lit(q).cast("double") for q in quantiles(grid, layer, [0.05, 0.95]))
     heat = F.when(hi > lo, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(layer) - lo) / (hi - lo)))).otherwise(0.0)
-    return x.withColumn(out, F.when(F.col(layer).isNotNull(), heat * F.col(weight))).drop("_p")
+    return grid.withColumn(out, F.when(F.col(layer).isNotNull(), heat * F.col(weight)))

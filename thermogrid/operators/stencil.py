@@ -12,7 +12,6 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import with_scalars
 
 
 def kernel(k: int = 1, contiguity: str = "queen", include_self: bool = True) -> list[tuple[int, int, float]]:
@@ -50,8 +49,9 @@ def gaussian_blur(grid: DataFrame, layer: str, sigma: float, out: str = "blurred
     below = [sum(w[: k + 1]) for k in range(2 * r + 1)]
     table = lambda v: F.array(*[F.lit(float(x)) for x in v])
     x = grid.select("row", "col", F.col(layer).cast("double").alias("_v"))
+    ends = grid.agg(*[f(a).alias(f"{n}_{a}") for a in ("row", "col") for n, f in (("lo", F.min), ("hi", F.max))]).first()
     for axis, other in (("row", "col"), ("col", "row")):
-        x = with_scalars(x, F.min(axis).alias("_lo"), F.max(axis).alias("_hi"))
+        x = x.withColumns({"_lo": F.lit(ends[f"lo_{axis}"]), "_hi": F.lit(ends[f"hi_{axis}"])})
         x = x.withColumn("_to", F.explode(F.sequence(F.greatest(F.col(axis) - r, "_lo"), F.least(F.col(axis) + r, "_hi"))))
         k = F.col(axis) - F.col("_to") + r  # place of the source in the kernel of its target
         low, high = F.col(axis) == F.col("_lo"), F.col(axis) == F.col("_hi")
@@ -85,10 +85,16 @@ def getis_ord(grid: DataFrame, layer: str = "lst", out: str = "gistar_z", k: int
 def local_moran(grid: DataFrame, layer: str = "lst", k: int = 1, contiguity: str = "queen") -> DataFrame:
     """Adds moran_i and moran_local: 0 not significant, 1 high-high, 2 low-low, 3 high-low, 4 low-high."""
     x = F.col(layer)
-    g = grid.agg(F.count(layer).alias("_n"), F.avg(layer).alias("_m"))
-    d = grid.crossJoin(F.broadcast(g)).withColumn("_d", x - F.col("_m"))
-    d = neighbour_sums(d, kernel(k, contiguity, include_self=False), _lag=F.col("_d"), _w=F.when(x.isNotNull(), 1.0))
-    d = with_scalars(d, F.avg(F.col("_d") ** 2).alias("_m2"), F.avg(F.col("_d") ** 4).alias("_m4"))
+    s = grid.agg(F.count(layer), F.avg(layer)).first()
+    about = x - F.lit(s[1]).cast("double")
+    m = grid.agg(F.avg(about**2), F.avg(about**4)).first()  # both depend on the layer alone
+    scalars = zip(("_n", "_m2", "_m4"), (F.lit(s[0]), *(F.lit(v).cast("double") for v in m)), strict=True)
+    d = grid.withColumn("_d", about).withColumns(dict(scalars))
+    sums = {"_lag": F.col("_d"), "_w": F.when(x.isNotNull(), 1.0)}
+    if contiguity == "queen":  # a full square less its centre
+        d = square_sums(d, k, **sums).withColumns({"_lag": F.col("_lag") - F.coalesce("_d", F.lit(0.0)), "_w": F.col("_w") - F.when(x.isNotNull(), 1.0).otherwise(0.0)})
+    else:
+        d = neighbour_sums(d, kernel(k, contiguity, include_self=False), **sums)
     mean = F.col("_lag") / F.nullif("_w", F.lit(0.0))
     i = F.col("_d") * mean / F.nullif("_m2", F.lit(0.0))
     n, e = F.col("_n"), -1.0 / F.nullif(F.col("_n") - 1, F.lit(0))
@@ -98,7 +104,7 @@ def local_moran(grid: DataFrame, layer: str = "lst", k: int = 1, contiguity: str
     high, near = F.col("_d") > 0, mean > 0
     code = F.when(high & near, 1).when(~high & ~near, 2).when(high & ~near, 3).otherwise(4)
     d = d.withColumn("moran_i", F.when(x.isNotNull(), i)).withColumn("moran_local", F.when(x.isNotNull() & (F.abs(z) >= 1.96), code).otherwise(0))
-    return d.drop("_n", "_m", "_d", "_lag", "_w", "_m2", "_m4")
+    return d.drop("_n", "_d", "_lag", "_w", "_m2", "_m4")
 
 
 def surface_hotspots(grid: DataFrame, percentile: str = "lst_percentile", z: str = "gistar_z", most: float = 90.0, least_z: float = 1.96) -> DataFrame:

@@ -77,8 +77,7 @@ def heat_vulnerability(grid: DataFrame, method: str = "pca") -> DataFrame:
     if r["lo"] is None or r["lo"] == r["hi"]:
         return x.withColumn("hvi", F.lit(0.5)).withColumn("hvi_quintile", F.lit(1)).drop("_sum")
     x = x.withColumn("hvi", (F.col("_sum") - r["lo"]) / (r["hi"] - r["lo"])).drop("_sum")
-    edges = x.agg(F.percentile("hvi", F.array(*[F.lit(q) for q in (0.2, 0.4, 0.6, 0.8)]))).first()[0]
-    return x.withColumn("hvi_quintile", F.lit(1) + sum(((F.col("hvi") > e).cast("int") for e in edges), F.lit(0)))
+    return stats.quintiles(x, "hvi", "hvi_quintile")
 
 
 def layered_hotspots(grid: DataFrame, k: int = 1, contiguity: str = "queen", method: str = "pca") -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import formulas as M
 from ..functions.formulas import exact
-from ..operators import portfolio, stats, stencil, tiles, vulnerability
+from ..operators import measures, portfolio, stats, stencil, tiles, vulnerability
 from ..sources.cells import cells, cells_sql
+from . import scenarios
 
 _CELLS = f"cells AS ({cells_sql()})"
 SIGMA, SWEEPS, PATCH, TOP_K = 1.5, 50, 4, 2000
@@ -18,15 +19,11 @@ BUDGET, AREA_CAP = 1e7, 1e6
 _VACANT = f"CASE WHEN {M.feasible('vacant')} THEN 1 ELSE 0 END"
 
 
-def _cooling(layer: str, delta: float, kind: str, slope: float) -> str:
-    """Cooling by the linear surface model when a layer changes where the measure is possible."""
-    return M.clip_cooling(f"({slope}) * ({M.perturbed(layer, str(delta), M.feasible(kind))} - {layer})")
-
-
+_HAVE = ["lst", "population", "ndvi", "albedo", "impervious_frac", "green_frac", "tree_frac", "water_frac", "svf", "soil_moisture", "building_height"]
+#: The catalogue's measures, each with its cooling by the linear surface model where it is possible.
 MEASURES = [
-    portfolio.Measure("urban_trees", M.feasible("plantable"), _cooling("ndvi", 0.3, "plantable", 8.0), 12.0),
-    portfolio.Measure("cool_roofs", M.feasible("roof"), _cooling("albedo", 0.45, "roof", 10.0), 5.0),
-    portfolio.Measure("depaving", M.feasible("paved"), _cooling("impervious_frac", -0.4, "paved", -12.0), 25.0),
+    portfolio.Measure(m.name, "park_possible" if m.place == "vacant" else M.feasible(m.place), measures.surface_delta(measures.linear_model, measures.changed(m.name, "TRUE", _HAVE)), m.cost_per_m2)
+    for m in measures.MEASURES.values()
 ]
 
 
@@ -69,7 +66,8 @@ def layered_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    grid = stats.priority_score(stats.equity_weights(cells(spark, sf_dir).select("row", "col", "lst", "population", "ndvi", "albedo", "impervious_frac", "water_frac")))
+    grid = measures.possible(cells(spark, sf_dir).select("row", "col", *_HAVE), "urban_park", "park_possible")
+    grid = stats.priority_score(stats.equity_weights(grid))
     return grid, portfolio.candidates(grid, MEASURES, top_k=TOP_K)
 
 
@@ -102,9 +100,17 @@ _REACH = int(4 * SIGMA + 0.5)
 _W = [math.exp(-0.5 * (o / SIGMA) ** 2) for o in range(-_REACH, _REACH + 1)]
 _TAPS = ", ".join(f"({o}, {w / sum(_W)!r}e0)" for o, w in zip(range(-_REACH, _REACH + 1), _W, strict=True)).replace("e-05e0", "e-05").replace("e-06e0", "e-06")
 _Z = lambda c: f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()"
-_OPTIONS = " UNION ALL ".join(
-    f"SELECT row, col, priority, {k} AS measure_no, '{m.name}' AS intervention, {m.cost_per_m2 * 10000.0!r}e0 AS cost, CASE WHEN {exact(m.feasible)} THEN CAST({exact(m.cooling)} AS DOUBLE) END AS d FROM p" for k, m in enumerate(MEASURES)
-)
+_COSTS = {"urban_trees": 12, "green_roof": 120, "cool_roof": 5, "cool_pavement": 25, "permeable_pavement": 25, "water_body": 120, "urban_park": 120, "green_wall": 120, "increase_albedo": 12}
+_PARK = scenarios.ORACLE["feasibility_urban_park"]
+
+
+def _option(k: int, name: str) -> str:
+    a = scenarios._after(name, "true")
+    cooling = scenarios._cut(f"(12 * (impervious_frac - {a['impervious_frac']}) - 8 * (ndvi - {a['ndvi']}) - 10 * (albedo - {a['albedo']}))")
+    return f"SELECT row, col, priority, {k} AS measure_no, '{name}' AS intervention, {_COSTS[name]}e4 AS cost, CASE WHEN {scenarios._ON.get(name, 'possible = 1')} THEN CAST({cooling} AS DOUBLE) END AS d FROM p"
+
+
+_OPTIONS = " UNION ALL ".join(_option(k, n) for k, n in enumerate(_COSTS))
 
 ORACLE = {
     "gaussian_blur": f"""WITH {_CELLS}, o(d, w) AS (VALUES {_TAPS}), b AS (SELECT min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM cells),
@@ -123,7 +129,7 @@ ORACLE = {
         h AS (SELECT row, col, (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) AS h FROM s), q AS (SELECT quantile_cont(h, [0.2, 0.4, 0.6, 0.8]) AS e FROM h)
         SELECT row, col, 1 + (h > e[1])::INT + (h > e[2])::INT + (h > e[3])::INT + (h > e[4])::INT AS hvi_quintile, round(h, 5) AS hvi FROM h CROSS JOIN q""",
     "measure_candidates": f"""WITH {_CELLS}, t AS (SELECT avg(greatest(population, 0)) AS m, quantile_cont(lst, [0.05, 0.95]) AS q FROM cells),
-        p AS (SELECT cells.*, CASE WHEN lst IS NOT NULL THEN greatest(0, least(1, (lst - q[1]) / (q[2] - q[1]))) * (greatest(population, 0) / m) END AS priority FROM cells CROSS JOIN t),
+        p AS (SELECT cells.*, CASE WHEN lst IS NOT NULL THEN greatest(0, least(1, (lst - q[1]) / (q[2] - q[1]))) * (greatest(population, 0) / m) END AS priority, possible FROM cells CROSS JOIN t JOIN ({_PARK}) USING (row, col)),
         a AS ({_OPTIONS}), k AS (SELECT *, row_number() OVER (ORDER BY priority * d DESC NULLS LAST, measure_no, row, col) AS k FROM a WHERE d > 1e-3)
         SELECT row, col, intervention, cost, 10000e0 AS area_m2, round(d, 5) AS self_delta_c, round(priority * d, 5) AS rank_key FROM k WHERE k <= {TOP_K}""",
 }
