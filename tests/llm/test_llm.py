@@ -298,19 +298,42 @@ def test_pieces(docs, none):
     assert encode_documents(none, path).count() == 0
 
 
-def test_max_plus_scan_does_not_depend_on_chunks():
-    from thermogrid.llm.piece_codec import Pieces, combine, encode_unigram
+def best_sum(text, pieces):
+    """The largest sum over all segmentations, by plain recursion from the left."""
+    from thermogrid.llm.piece_codec import marked
 
-    pieces = Pieces(P.path("piece_bpe_32k.model"))
-    text = "Thorreou ndernt, ééß the   by\nfor and 日本 threea." * 3
-    whole = encode_unigram(text, pieces, 10**9)
+    text = marked(text)
+    best = [0.0] + [-1e300] * len(text)
+    for j in range(1, len(text) + 1):
+        for i in range(max(0, j - pieces.longest), j):
+            s = pieces.score.get(text[i:j], pieces.unknown if j == i + 1 else -1e300)
+            best[j] = max(best[j], best[i] + s)
+    return best[-1]
+
+
+def test_max_plus_scan_against_all_segmentations(spark):
+    from thermogrid.llm.piece_codec import Pieces, combine, encode_unigram, encode_unigram_documents
+
+    path = P.path("piece_bpe_32k.model")
+    pieces = Pieces(path)
     total = lambda ids: sum(pieces.score.get(pieces.piece[i], 0) for i in ids)
-    assert pieces.decode(whole) == text
-    for chunk in (5, 17, 64):
+    text = "Thorreou ndernt, threa by for and the threea." * 3
+    for chunk in (5, 17, 64, 10**9):  # a piece may span several chunks
         got = encode_unigram(text, pieces, chunk)
-        assert pieces.decode(got) == text and abs(total(got) - total(whole)) < 1e-6
+        assert pieces.decode(got) == text and abs(total(got) - best_sum(text, pieces)) < 1e-6
+    odd = "é\u0142 日本語 🙂 the"
+    assert pieces.decode(encode_unigram(odd, pieces, 4)) == odd
     a, b, c = np.random.default_rng(0).standard_normal((3, 4, 4))
     assert np.allclose(combine(combine(a, b), c), combine(a, combine(b, c)))
+    rows = [(1, text), (2, text * 20), (2, ""), (3, None), (None, "the of"), (4, odd)]
+    got = collections.defaultdict(dict)
+    for r in encode_unigram_documents(spark.createDataFrame(rows, "doc_id long, text string"), path, chunk=40, group=3).collect():
+        got[r["doc_id"]][r["chunk"]] = r["ids"]
+    joined = {i: [x for k in sorted(parts) for x in parts[k]] for i, parts in got.items()}
+    assert set(joined) == {1, 2, 4, None} and len(got[2]) > 60
+    for i, t in ((1, text), (2, text * 20), (None, "the of"), (4, odd)):
+        assert pieces.decode(joined[i]) == t and (i == 4 or abs(total(joined[i]) - best_sum(t, pieces)) < 1e-6)
+    assert encode_unigram_documents(spark.createDataFrame(rows[:0], "doc_id long, text string"), path).count() == 0
 
 
 def test_top_k(spark):
@@ -526,3 +549,38 @@ def test_slices_cover_every_row():
 
     column = pa.array(["a" * n for n in (0, 5, 100, 3)] + [None])
     assert [x for a, b in slices(column, 10, 2) for x in range(a, b)] == list(range(5))
+
+
+def test_label_model_finds_planted_accuracies_and_pairs():
+    from thermogrid.llm.toxicity import label_model
+
+    rng = np.random.default_rng(9)
+    y = rng.random(6000) < 0.3
+    accuracy = [0.9, 0.8, 0.75, 0.7, 0.85]
+    votes = np.stack([np.where(rng.random(len(y)) < 0.7, np.where(rng.random(len(y)) < a, 1, -1) * np.where(y, 1, -1), 0) for a in accuracy], axis=1)
+    copy = np.where(rng.random(len(y)) < 0.9, votes[:, 3], 0)  # a voter that repeats another one
+    votes = np.column_stack([votes, copy])
+    p, right, groups = label_model(votes, np.full(len(y), 0.3), np.where((votes == 1).sum(1) > (votes == -1).sum(1), 0.8, 0.2))
+    assert np.abs(right[:5] - accuracy).max() < 0.05 and (3, 5) in groups
+    exact = np.full(len(y), np.log(0.3 / 0.7))
+    for j, a in enumerate(accuracy):
+        exact += votes[:, j] * np.log(a / (1 - a))
+    assert ((p > 0.5) == (exact > 0)).mean() > 0.97
+
+
+def test_quality_votes_against_all_cosines():
+    from thermogrid.llm.quality import TERMS, Model, counts, unit
+
+    rng = np.random.default_rng(6)
+    made = random.Random(1)
+    texts = pa.array([" ".join(words(made, made.randint(1, 60))) for _ in range(40)] + ["", None, "### !! ##"])
+    model = Model(rng.random(TERMS).astype(np.float32), rng.standard_normal((TERMS, 8)).astype(np.float32), unit(rng.standard_normal((90, 8)).astype(np.float32)), (rng.random(90) < 0.4).astype(np.float32), np.where(rng.random(90) < 0.5, 0.5, 2.0).astype(np.float32))
+    got, x = model.score(texts, 7), counts(texts)
+    for i in range(len(texts)):
+        v = x[i] * model.weights
+        v = v / max(np.linalg.norm(v), 1e-9) @ model.axes
+        v = v / max(np.linalg.norm(v), 1e-9)
+        cosine = [float(v @ u) for u in model.vectors]
+        near = sorted(range(90), key=lambda k: -cosine[k])[:7]
+        weight = [max(cosine[k], 1e-3) ** 4 * model.votes[k] for k in near]
+        assert abs(got[i] - sum(w * model.labels[k] for w, k in zip(weight, near, strict=True)) / sum(weight)) < 1e-3

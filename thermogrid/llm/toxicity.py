@@ -4,9 +4,9 @@
    lexicons, chosen by greedy multi-cover: a term counts only as far as it reaches toxic texts that fewer than
    ``COVER`` chosen terms reach.
 2. Each lexicon and each pattern (shouting, symbol noise, repetition, several hits, no hit) is a voter that says
-   toxic, clean or nothing; the annotator's label is one more voter.
-3. A generative label model estimates by EM how often each voter is right.  Correlations that are left between
-   voters, given the label, lower the weight of voters that repeat each other.
+   toxic, clean or nothing about labelled and unlabelled texts.
+3. A generative label model estimates by EM how often each voter is right, and the joint votes of the pairs of voters
+   that go together given the label.  Annotators' labels are no voters: they start the model, and no more.
 4. A linear classifier (ridge logistic regression) over the terms and patterns is trained on the posterior labels.
 
 Scoring is one pass over the texts without a shuffle; the model it broadcasts holds ``TERMS`` terms at most.
@@ -113,34 +113,42 @@ def by_kind(kind: np.ndarray, h: np.ndarray) -> dict[int, tuple[np.ndarray, np.n
     return out
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of label 1, accuracies and correlations of voters whose votes are 1, -1 or 0 (none).
+def paired(rest: np.ndarray, least: float = 0.25) -> list[tuple[int, ...]]:
+    """Groups of one or two voters: those whose deviations go together most make pairs, each voter in one group."""
+    n, m = rest.shape
+    deviation = np.sqrt((rest**2).mean(0)) + 1e-9
+    corr = np.abs(rest.T @ rest / n) / np.outer(deviation, deviation)
+    free, out = np.ones(m, bool), []
+    for i, j in sorted(((i, j) for i in range(m) for j in range(i) if corr[i, j] >= least), key=lambda x: (-corr[x], x)):
+        if free[i] and free[j]:
+            out.append((j, i))
+            free[[i, j]] = False
+    return out + [(int(i),) for i in np.flatnonzero(free)]
 
-    EM for a mixture of two product-categorical laws, with each voter's evidence divided by one plus the sum
-    of its correlations with others given the label.
+
+def label_model(votes: np.ndarray, prior: np.ndarray, start: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, list[tuple[int, ...]]]:
+    """(posterior of label 1, share of right votes of each voter, groups of voters), by EM from ``start``.
+
+    Votes are 1, -1 or 0 (none).  Given the label, voters are independent but for the pairs whose correlation is left
+    over after a third of the rounds; these have a joint law of their nine outcomes.
     """
     n, m = votes.shape
-    onehot = np.stack([votes == v for v in (-1, 0, 1)]).astype(float)  # 3, n, m
-    start = (votes == 1).sum(1) - 0.5 * (votes == -1).sum(1)
-    p = np.clip(np.where(start > 0, 0.9, prior * 0.3), 1e-3, 1 - 1e-3)
-    weight, corr = np.ones(m), np.eye(m)
-    law = np.zeros((2, 3, m))
+    p = np.clip(start, 0.02, 0.98)
+    groups: list[tuple[int, ...]] = [(j,) for j in range(m)]
+    odds = np.log(prior / (1 - prior))
     for k in range(rounds):
-        for y, q in ((1, p), (0, 1 - p)):
-            law[y] = (np.einsum("n,vnm->vm", q, onehot) + 0.5) / (q.sum() + 1.5)
         if k in (rounds // 3, 2 * rounds // 3):
-            rest = votes - p[:, None] * (law[1][2] - law[1][0]) - (1 - p[:, None]) * (law[0][2] - law[0][0])
-            deviation = np.sqrt((rest**2).mean(0)) + 1e-9
-            corr = (rest.T @ rest / n) / np.outer(deviation, deviation)
-            np.fill_diagonal(corr, 1)
-            off = np.abs(corr) - np.eye(m)
-            weight = 1 / (1 + np.where(off > 0.15, off, 0).sum(1))
-        ratio = np.log(law[1]) - np.log(law[0])
-        new = np.log(prior / (1 - prior)) + np.einsum("vnm,vm,m->n", onehot, ratio, weight)
-        p = np.clip(1 / (1 + np.exp(-np.clip(new, -30, 30))), 1e-4, 1 - 1e-4)
+            mean = [(votes * q[:, None]).sum(0) / q.sum() for q in (p, 1 - p)]
+            groups = paired(votes - p[:, None] * mean[0] - (1 - p[:, None]) * mean[1])
+        evidence = odds.copy()
+        for g in groups:
+            outcome = sum((votes[:, j] + 1) * 3**i for i, j in enumerate(g))
+            law = [(np.bincount(outcome, weights=q, minlength=3 ** len(g)) + 0.5) / (q.sum() + 0.5 * 3 ** len(g)) for q in (p, 1 - p)]
+            evidence += (np.log(law[0]) - np.log(law[1]))[outcome]
+        p = np.clip(1 / (1 + np.exp(-np.clip(evidence, -30, 30))), 1e-4, 1 - 1e-4)
     said = np.maximum((votes != 0).sum(0), 1)
     right = ((votes == 1) * p[:, None] + (votes == -1) * (1 - p[:, None])).sum(0) / said
-    return p, right, corr
+    return p, right, groups
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> tuple[np.ndarray, float]:
@@ -184,6 +192,13 @@ def sampled(docs: DataFrame, labels: DataFrame, target: str, work: Workspace, mo
     return work.keep(rows, "sample")
 
 
+def unlabelled(docs: DataFrame, labels: DataFrame, work: Workspace, most: int) -> DataFrame:
+    """text of at most ``most`` rows without a label that are not held out, by the hash of their ids."""
+    free = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out()).join(labels.select("doc_id"), "doc_id", "left_anti")
+    picked = work.keep(free.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "free")  # ``most`` ids
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("text", F.lit(-1).alias("y"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, work: Workspace, sample: int = SAMPLE) -> Model:
     rows = sampled(docs, labels, "toxic", work, sample)
     prior = labels.filter(F.col("toxic").isin(0, 1) & ~held_out()).agg(F.avg("toxic")).first()[0]
@@ -221,17 +236,20 @@ def fit(docs: DataFrame, labels: DataFrame, work: Workspace, sample: int = SAMPL
                 x, shape = present(words, kinds, n_terms, b - a), patterns(words, b - a)
                 yield pa.RecordBatch.from_arrays([batch.column(1)[a:b], pa.array([np.flatnonzero(r).tolist() for r in x], pa.list_(pa.int32())), pa.array(shape.tolist(), pa.list_(pa.float64()))], names=["y", "hits", "shape"])
 
+    rows = rows.unionByName(unlabelled(docs, labels, work, sample))
     got = rows.mapInArrow(seen, "y int, hits array<int>, shape array<double>").toPandas()
     y, shape = got["y"].to_numpy(), np.array(got["shape"].tolist()).reshape(-1, PATTERNS)
     x = np.zeros((len(got), n_terms), np.float32)
     for i, hits in enumerate(got["hits"]):
         x[i, list(hits)] = 1
-    chosen = multi_cover(x, y, least)
+    chosen = multi_cover(x[y >= 0], y[y >= 0], least)
     x = x[:, chosen]
-    votes = np.column_stack([voters(x, shape), np.where(y == 1, 1, -1)])
+    votes, known = voters(x, shape), y >= 0
     balance = n1 / (n1 + n0)
-    posterior, _, _ = label_model(votes, balance)
-    back = np.where(y == 1, prior / balance, (1 - prior) / (1 - balance))  # from the sample's shares to those of all labels
+    start = np.where(known, np.where(y == 1, 0.95, 0.05), np.where((votes == 1).sum(1) > 0, 0.5, prior))
+    posterior, _, _ = label_model(votes, np.where(known, balance, prior), start)
+    # labelled rows count by their label's share of all labels, not of the sample
+    back = np.where(known, np.where(y == 1, prior / balance, (1 - prior) / (1 - balance)), 1.0)
     weights, bias = logistic(design(x, shape), posterior, back)
     return Model(by_kind(kind[chosen], h[chosen]), len(chosen), weights, bias)
 
@@ -263,8 +281,8 @@ def multi_cover(x: np.ndarray, y: np.ndarray, least: int) -> np.ndarray:
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``docs`` plus score (0 to 1) and predicted (1 from ``threshold``), for every row and whole text.
 
-    At most ``sample`` labelled rows of either label, none held out, are used for fitting; of several labels
-    of a document the largest counts.  Without labels of both kinds the score is the share of label 1 (0.01
+    At most ``sample`` labelled rows of either label and as many unlabelled ones, none held out, are used for fitting;
+    of several labels of a document the largest counts.  Without labels of both kinds the score is the share of label 1 (0.01
     if there are none).  Null and empty texts get the score of a text without words.  A text is scored whole, however
     long it is.  Columns are kept but for those called like the two new ones, which are replaced; ``names`` gives the
     new ones other names.
