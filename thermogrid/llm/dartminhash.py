@@ -12,9 +12,9 @@ bucket's centre, the text with the most company over all its bands, so a group o
 as it has members.  Pairs are verified by their exact similarity, and classes are the connected components.
 Buckets that still hold several classes are then searched whole: texts outside the bucket's largest class
 meet all its other members, in blocks of bounded size, by the bytes of a second, longer signature that only the texts
-of such buckets get; of the pairs of different classes that may reach the similarity, each text's closest with every
-class become rows and are verified, and classes merge.  Where a text had more of them, more of its pairs become rows
-in the next turn, until none is left.
+of such buckets get; of the pairs of different classes that may reach the similarity, each text's closest becomes a
+row and is verified, and classes merge.  Where a text has more of them, more of its pairs become rows in the next
+turn, less those that are in one class by then, until none is left.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ SIMILARITY = 0.8
 FINE, GLANCE = 1024, 128
 #: Signature coordinates of a verified pair that agree, as deviations below their expected number.
 DEVIATIONS = 4.1
-#: Each turn looks at this many times more pairs of a text and a class.
+#: Each turn looks at this many times more pairs of a text.
 WIDER = 16
 #: Texts outside the largest class, and members they meet, in one block of a bucket.
 OUTER, INNER = 512, 1024
@@ -165,7 +165,7 @@ def _across(similarity: float, most: int):
 def _compare(rows: pa.Table, similarity: float, most: int, last: bool) -> tuple[int, pa.Array, pa.Array, pa.Array]:
     """(rows of blocks known to be whole, smaller ids, larger ids, whether more were left out) of the pairs in those blocks.
 
-    Of each text's pairs with a class, the ``most`` that agree best are returned.
+    Of each asking text's pairs, the ``most`` that agree best are returned.
     """
     if not len(rows):
         return 0, pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.bool_())
@@ -193,11 +193,9 @@ def _compare(rows: pa.Table, similarity: float, most: int, last: bool) -> tuple[
                     agree[d] = (part[x[u[d]]] == part[y[v[d]]]).sum(1)
                 u, v, agree = u[agree >= bound], v[agree >= bound], agree[agree >= bound]
             if len(u):
-                group = root[y[v]]
-                order = np.lexsort((v, -agree, group, u))
-                u, v, group = u[order], v[order], group[order]
-                begins = np.concatenate([[True], (np.diff(u) > 0) | (np.diff(group) != 0)])
-                first = np.flatnonzero(begins)
+                order = np.lexsort((v, -agree, u))
+                u, v = u[order], v[order]
+                first = np.flatnonzero(np.diff(u, prepend=-1))
                 size = np.diff(np.append(first, len(u)))
                 rank = np.arange(len(u)) - np.repeat(first, size)
                 keep = rank < most
@@ -218,7 +216,7 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _open_pairs(members: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float, most: int) -> DataFrame:
-    """Pairs (a, b) of different classes that share a bucket and may be similar enough; cut where a text and a class have over ``most``.
+    """Pairs (a, b) of different classes that share a bucket and may be similar enough; cut where a text has over ``most`` of them.
 
     Texts outside a bucket's largest class ask all its members.  Both are dealt to blocks, so a bucket of m members
     of which r are outside makes m * ceil(r / OUTER) + r * ceil(m / INNER) rows, and no task holds a whole bucket.
