@@ -145,5 +145,4 @@ class Geometry:
         cols, rows = max(2, round((x1 - x0) / r)), max(2, round((y1 - y0) / r))
         if config.shape:
             rows, cols = config.shape
-        top = y0 + rows * r
-        return cls(rows, cols, (r, 0.0, x0, 0.0, -r, top), config.crs, (x0, y0, x0 + cols * r, top))
+        return cls(rows, cols, (r, 0.0, x0, 0.0, -r, y1), config.crs, (x0, y1 - rows * r, x0 + cols * r, y1))

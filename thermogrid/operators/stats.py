@@ -92,6 +92,7 @@ def percentile_rank(grid: DataFrame, layer: str, out: str, buckets: int = 128) -
     The counts of distinct values are summed up bucket by bucket, so that no window spans all values: only one row per
     bucket meets in one place.  Buckets follow approximate quantiles, so that outliers do not fill one of them.
     """
+    grid = grid.drop(out)
     counts = grid.filter(F.col(layer).isNotNull())
     edges = counts.agg(F.percentile_approx(F.col(layer).cast("double"), [k / buckets for k in range(1, buckets)], 10 * buckets)).first()[0]
     bucket = F.lit(0)
