@@ -151,7 +151,8 @@ def test_open_buckets_lose_no_pair(spark, monkeypatch):
     root = {i: 0 if i < 25 else 25 if i < 35 else i for i in range(40)}
     bands = {7: range(40), 8: range(20), 9: range(30, 40), 10: [3, 36]}
     members = spark.createDataFrame([(b, i) for b, m in bands.items() for i in m], "band long, rep long")
-    texts = spark.createDataFrame([(i, 100 + i, bytearray(sketch[i].tobytes())) for i in sketch], "rep long, n long, sketch binary")
+    own = lambda i: [b if i in m else -(100 * b + i) for b, m in bands.items()]
+    texts = spark.createDataFrame([(i, 100 + i, bytearray(sketch[i].tobytes()), own(i)) for i in sketch], "rep long, n long, sketch binary, bands array<long>")
     roots = spark.createDataFrame(list(root.items()), "node long, root long")
     least = 96 - D.DEVIATIONS * (120 * 0.16) ** 0.5
     agree = lambda a, b: (sketch[a] == sketch[b]).sum()

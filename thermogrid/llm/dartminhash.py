@@ -165,7 +165,8 @@ def _across(similarity: float, most: int):
 def _compare(rows: pa.Table, similarity: float, most: int, last: bool) -> tuple[int, pa.Array, pa.Array, pa.Array]:
     """(rows of blocks known to be whole, smaller ids, larger ids, whether more were left out) of the pairs in those blocks.
 
-    Of each asking text's pairs, the ``most`` that agree best are returned.
+    Of each asking text's pairs, the ``most`` that agree best are returned; a pair that shares several buckets comes
+    from the first of them only.
     """
     if not len(rows):
         return 0, pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.bool_())
@@ -175,6 +176,7 @@ def _compare(rows: pa.Table, similarity: float, most: int, last: bool) -> tuple[
     edges = np.concatenate([[0], new, [len(rows)] if last else []]).astype(np.int64)
     whole = int(edges[-1])
     sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(rows), -1)
+    bands = np.asarray(rows.column("bands").combine_chunks().flatten()).reshape(len(rows), -1)
     glance = np.ascontiguousarray(sketch[:, :GLANCE])
     low, least = (k * similarity - DEVIATIONS * np.sqrt(k * similarity * (1 - similarity)) for k in (glance.shape[1], sketch.shape[1]))
     left, right, more = [], [], []
@@ -192,6 +194,9 @@ def _compare(rows: pa.Table, similarity: float, most: int, last: bool) -> tuple[
                     d = slice(c, c + 4096)
                     agree[d] = (part[x[u[d]]] == part[y[v[d]]]).sum(1)
                 u, v, agree = u[agree >= bound], v[agree >= bound], agree[agree >= bound]
+            shared = bands[x[u]] == bands[y[v]]
+            once = bands[x[u], shared.argmax(1)] == band[x[u]] if len(u) else np.zeros(0, bool)  # in the first bucket that both are in
+            u, v, agree = u[once], v[once], agree[once]
             if len(u):
                 order = np.lexsort((v, -agree, u))
                 u, v = u[order], v[order]
@@ -221,10 +226,10 @@ def _open_pairs(members: DataFrame, texts: DataFrame, roots: DataFrame, similari
     Texts outside a bucket's largest class ask all its members.  Both are dealt to blocks, so a bucket of m members
     of which r are outside makes m * ceil(r / OUTER) + r * ceil(m / INNER) rows, and no task holds a whole bucket.
     """
-    held = _open(members, roots).join(texts.select("rep", "n", "sketch"), "rep").withColumn("outer", F.col("root") != F.col("largest"))
+    held = _open(members, roots).join(texts.select("rep", "n", "sketch", "bands"), "rep").withColumn("outer", F.col("root") != F.col("largest"))
     deal = lambda parts: F.pmod(F.xxhash64("rep"), F.col(parts)).cast("int")
     each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    columns = ["band", "i", "j", "rep", "root", "n", "sketch", "outer", "asks"]
+    columns = ["band", "i", "j", "rep", "root", "n", "sketch", "bands", "outer", "asks"]
     asking = held.filter("outer").withColumns({"i": deal("outers"), "asks": F.lit(True)}).withColumn("j", each("inners")).select(*columns)
     asked = held.withColumns({"j": deal("inners"), "asks": F.lit(False)}).withColumn("i", each("outers")).select(*columns)
     blocks = asking.unionByName(asked).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
@@ -288,10 +293,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         for batch in batches:
             for x, y in W.slices(batch.column(1), 1 << 20, 128):
                 n, made = sketches(batch.column(1)[x:y])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[x:y], pa.array(n.astype(np.int64)), pa.array([m.tobytes() for m in made], pa.binary())], names=["rep", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[x:y], pa.array(n.astype(np.int64)), pa.array([m.tobytes() for m in made], pa.binary()), batch.column(2)[x:y]], names=["rep", "n", "sketch", "bands"])
 
-    opened = bodies.join(_open(members, roots).select("rep").distinct(), "rep").select("rep", "text")
-    fine = work.keep(opened.mapInArrow(sketch, "rep long, n long, sketch binary"), "fine")
+    opened = bodies.join(_open(members, roots).select("rep").distinct(), "rep").join(texts.select("rep", "bands"), "rep").select("rep", "text", "bands")
+    fine = work.keep(opened.mapInArrow(sketch, "rep long, n long, sketch binary, bands array<long>"), "fine")
     most, turn, cut = 1, 0, True
     while cut:
         turn += 1
