@@ -281,7 +281,7 @@ def shortwave_net(albedo, k):
 
 
 def net_radiation(albedo, k, down, emissivity, lst):
-    return f"({shortwave_net(albedo, k)} + ({down}) - {longwave_up(lst, emissivity)})"
+    return f"({shortwave_net(albedo, k)} + ({down}) - {longwave_up(lst, emissivity, down)})"
 
 
 def aerodynamic_resistance(wind, z0):

@@ -9,7 +9,7 @@ from ..functions import formulas as M
 from ..functions.formulas import column, exact
 from ..operators import fusion, stats, stencil
 from ..sources.cells import cells, cells_sql
-from . import decisions, scenarios, sensing
+from . import byhand, decisions, scenarios, sensing
 
 _IND = ("air_temp", "rel_humidity")
 _DELTA = M.albedo_to_delta("albedo * 0.1")
@@ -231,4 +231,5 @@ ORACLE = decisions.ORACLE | scenarios.ORACLE | sensing.ORACLE | {f"fn_{n}": f"WI
     "deaccumulate": "WITH h AS (SELECT user_id, date_trunc('hour', ts) AS ts, sum(value) AS acc FROM events GROUP BY ALL) SELECT user_id, ts, round(CASE WHEN hour(ts) = 1 THEN acc ELSE acc - lag(acc) OVER (PARTITION BY user_id ORDER BY ts) END / 3600e0, 7) AS rate FROM h",
 }
 
+ORACLE |= {k: v for k, v in byhand.sql(_CELLS, TIE).items() if k in ORACLE}
 ORACLE["all_indices"] = ORACLE["all_indices"].replace("{count}", ORACLE["fn_human_stress_count"])
