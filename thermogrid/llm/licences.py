@@ -195,7 +195,8 @@ def licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: tupl
     of the known sentences in order, with spaces between them, wherever they stand and however they are
     wrapped, but not after the word "not"; ``licences`` the distinct licences whose rules match, in the order
     of the rules, and then those of identifiers in ``SINGLE``.  Both are empty strings where nothing is known,
-    as for a null or empty text.  Repeated rows each get a result.
+    as for a null or empty text.  Repeated rows each get a result, extra columns are ignored, an empty table gives an
+    empty result, and a text is searched whole, however long it is.
     """
     known, names = phrases(sentences)
     # an SPDX name follows its tag, or "or" and "and" right after what was found before

@@ -224,10 +224,7 @@ def encode_unigram_documents(docs: DataFrame, model_path: str, chunk: int = CHUN
 
     def stacked(table: pa.Table) -> tuple[list[int], list[np.ndarray]]:
         order = sorted(range(len(table)), key=table.column("k").to_pylist().__getitem__)
-        side = pieces_side
-        return [table.column("k")[i].as_py() for i in order], [np.frombuffer(table.column("m")[i].as_py()).reshape(side, side) for i in order]
-
-    pieces_side = reach
+        return [table.column("k")[i].as_py() for i in order], [np.frombuffer(table.column("m")[i].as_py()).reshape(reach, reach) for i in order]
 
     def product(key: tuple, table: pa.Table) -> pa.Table:
         _, m = stacked(table)
@@ -267,7 +264,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
 
     ``ids_crc32`` is of the ids as little-endian unsigned 32-bit numbers; ``round_trip`` tells whether decoding
     them gives the text again.  A null or empty text has no ids.  Repeated rows each get a result, extra columns
-    are ignored.
+    are ignored, an empty table gives an empty result; a text is encoded whole in one task, however long it is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
