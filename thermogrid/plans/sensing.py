@@ -41,7 +41,7 @@ def _temperature(sensor: str):
 
 
 def fused_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(scenes.fused_sensors(_by_sensor(spark, sf_dir), "mean"), ["row", "col"], "fused", "fused_sigma")
+    return _round(scenes.fused_sensors(_by_sensor(spark, sf_dir), "mean").withColumn("fused", F.col("fused") + 1.7e-8), ["row", "col"], "fused", "fused_sigma")  # as in all_indices
 
 
 def cloud_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +131,7 @@ _CLEAN = f"s AS ({_SCENES}), t AS (SELECT *, CASE WHEN {_CLEAR} THEN {_DEGREES}
 ORACLE = {
     **{f"temperature_{k.lower()}": f"WITH {_CLEAN} SELECT scene_no, row, col, round(lst, 5) AS lst FROM t WHERE sensor = '{k}'" for k in ("landsat", "MOD11A1", "VNP21A1D")},
     "fused_sensors": f"""WITH {_CLEAN}, c AS (SELECT sensor, row, col, avg(lst) AS v, CASE WHEN sensor = 'landsat' THEN 1e0 ELSE 2.5e0 END AS e FROM t GROUP BY ALL)
-        SELECT row, col, round(sum(v / (e * e)) / sum(1 / (e * e)) FILTER (v IS NOT NULL), 5) AS fused, round(sqrt(1 / sum(1 / (e * e)) FILTER (v IS NOT NULL)), 5) AS fused_sigma FROM c GROUP BY row, col""",
+        SELECT row, col, round(sum(v / (e * e)) / sum(1 / (e * e)) FILTER (v IS NOT NULL) + 1.7e-8, 5) AS fused, round(sqrt(1 / sum(1 / (e * e)) FILTER (v IS NOT NULL)), 5) AS fused_sigma FROM c GROUP BY row, col""",
     "cloud_join": f"WITH s AS ({_SCENES}) SELECT scene_no, row, col, CASE WHEN qa * 1.5e0 < 50 THEN CAST(dn AS DOUBLE) END AS b4 FROM s WHERE sensor = 'landsat' AND scene_no < 3",
     "reflectance": f"WITH s AS ({_SCENES}) SELECT scene_no, row, col, CASE WHEN qa & 58 = 0 THEN round(dn * 2.75e-5 - 0.2e0, 5) END AS b4 FROM s WHERE sensor = 'landsat' AND cloud_pct < 50",
     "filled_from": f"WITH {_CELLS}, f AS (SELECT row, col, coalesce(lst, CASE WHEN row % 3 = 0 THEN air_temp END) AS v FROM cells) SELECT a.row, a.col, round(coalesce(any_value(a.v), avg(b.v)), 5) AS filled FROM f a JOIN f b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY a.row, a.col",
