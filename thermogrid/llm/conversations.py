@@ -56,6 +56,8 @@ GRAMMAR: list[Production] = [
 ]
 #: Nonterminals that make a whole conversation.
 WHOLE = ("start", "assistant")
+#: What it costs at most to go on from one nonterminal as from any other: an inserted row, and a deleted system row or a second inserted one.
+SLACK = COST[INSERT] + max(COST[DELETE], COST[INSERT])
 
 
 class Chart:
@@ -100,7 +102,9 @@ class Chart:
         self._complete(seeds)
 
     def decided(self) -> str:
-        """What all live audits begin with; it is cut off from them."""
+        """What all live audits begin with; it is cut off from them.  Items too dear ever to win are dropped first."""
+        most = min(self.done.values())[0] + SLACK
+        self.done = {n: item for n, item in self.done.items() if item[0] <= most}
         common = os.path.commonprefix([a for _, a in self.done.values()])
         if common:
             self.done = {n: (c, a[len(common) :]) for n, (c, a) in self.done.items()}
