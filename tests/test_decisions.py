@@ -113,3 +113,15 @@ def test_portfolio(spark):
     assert [r["objective"] for r in front] == sorted(r["objective"] for r in front)
     none = portfolio.Portfolio(portfolio.candidates(grid.filter("false"), measures), grid)
     assert none.placements(none.greedy(1e9, 1e9)).count() == 0 and none.objective([]) == 0.0
+
+
+def test_scenario_composes_measures_on_layers_that_the_grid_lacks(spark):
+    from thermogrid.operators import measures
+
+    grid = spark.createDataFrame([(0, c, 40.0, 0.2, 0.15, 0.5) for c in range(4)], "row int, col int, lst double, ndvi double, albedo double, impervious_frac double")
+    model = lambda layer: f"(40.0 - 10.0 * coalesce({layer('tree_frac')}, 0.0))" if layer("tree_frac") != "tree_frac" else "40.0"
+    both, _ = measures.scenario(grid, model, {"urban_trees": "col = 0", "urban_park": "col = 3"}, resolution_m=1e6)
+    got = {r["col"]: r["delta_lst"] for r in both.collect()}
+    assert got[0] > 0 and got[3] > 0 and got[1] == got[2]
+    one, _ = measures.scenario(grid, model, {"urban_trees": "col = 0"}, resolution_m=1e6)
+    assert {r["col"]: r["delta_lst"] for r in one.collect()}[3] < got[3]

@@ -104,3 +104,29 @@ def test_equity_weights_without_a_positive_mean_are_one(spark):
     g = spark.createDataFrame([(0, -1.0, 20.0), (1, 0.0, 20.0), (2, None, None)], "row int, population double, lst double")
     rows = stats.priority_score(stats.equity_weights(g)).orderBy("row").collect()
     assert [r["weight"] for r in rows] == [1.0, 1.0, 1.0] and [r["priority"] for r in rows] == [0.0, 0.0, None]
+
+
+def test_local_moran_on_many_cells(spark):
+    g = spark.range(50_000).selectExpr("CAST(id / 250 AS INT) AS row", "CAST(id % 250 AS INT) AS col", "CAST(CASE WHEN id % 250 < 20 THEN 40.0 ELSE 30.0 END + id % 7 * 0.1 AS DOUBLE) AS lst")
+    codes = {r["moran_local"]: r["count"] for r in stencil.local_moran(g).groupBy("moran_local").count().collect()}
+    assert codes[1] > 3000 and sum(codes.values()) == 50_000
+
+
+def test_ranks_of_many_buckets_equal_one(spark):
+    g = spark.range(3000).selectExpr("CAST(id * 7919 % 503 AS DOUBLE) AS lst", "id")
+    one = {r["id"]: r["p"] for r in stats.percentile_rank(g, "lst", "p").collect()}
+    many = {r["id"]: r["p"] for r in stats.percentile_rank(g, "lst", "p", in_bucket=20).collect()}
+    assert one == many and max(one.values()) == 100.0
+
+
+def test_quantiles_of_several_layers_and_conditions(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=700), np.round(rng.normal(size=700), 1)
+    df = spark.createDataFrame([(float(x), float(y), k % 3) for k, (x, y) in enumerate(zip(a, b, strict=True))] + [(None, None, 0)], "a double, b double, k int")
+    wanted = [stats.Wanted("a", [0.1, 0.5]), stats.Wanted("b", [0.0, 0.33, 1.0], df.k == 1), stats.Wanted("a", [0.5], df.k == 9)]
+    k = np.arange(700) % 3
+    for small in (5, 10_000):
+        got = stats.quantile_sets(df, wanted, small=small, buckets=8)
+        assert got[0] == pytest.approx(np.quantile(a, [0.1, 0.5])) and got[1] == pytest.approx(np.quantile(b[k == 1], [0.0, 0.33, 1.0])) and got[2] == [None]

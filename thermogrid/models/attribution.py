@@ -69,9 +69,10 @@ def accumulated_effects(table: DataFrame, model: Additive, bins: int = 20, wante
     """feature, k, x, effect: the accumulated local effect at the edges of bins of equal numbers of rows, its mean 0."""
     names = [p for p in wanted or model.predictors if p in model.predictors]
     known, rows = _known(table, model), []
-    for p in names:
+    found = stats.quantile_sets(known, [stats.Wanted(p, [k / bins for k in range(bins + 1)]) for p in names])
+    for p, quantiles in zip(names, found, strict=True):
         j = model.predictors.index(p)
-        edges = sorted({float(q) for q in stats.quantiles(known, p, [k / bins for k in range(bins + 1)]) if q is not None})
+        edges = sorted({float(q) for q in quantiles if q is not None})
         if len(edges) < 2:
             rows += [(p, 0, e, 0.0) for e in edges]
             continue
@@ -115,7 +116,7 @@ def sign_audit(importances: DataFrame) -> DataFrame:
     return x.withColumn("ok", (F.col("observed_sign") == F.col("expected_sign")) | (F.col("observed_sign") == 0))
 
 
-def variance_partition(table: DataFrame, predictors: list[str], target: str = "lst", most_exact: int = 12, orders: int = 64, seed: int = 0) -> DataFrame:
+def variance_partition(table: DataFrame, predictors: list[str], target: str = "lst", most_exact: int = 16, orders: int = 64, seed: int = 0) -> DataFrame:
     """feature, importance (share of R2), pct: a predictor's rise of R2 averaged over the orders in which predictors may enter.
 
     All subsets are used up to ``most_exact`` predictors, ``orders`` random orders beyond.  One aggregate gives the

@@ -83,7 +83,12 @@ def block_hash(seed: int, block: str = "block") -> str:
 
 
 def folds(table: DataFrame, splits: int = 5, size: float | None = None, seed: int = 0, x: str = "col", y: str = "row") -> DataFrame:
-    """Adds block and fold: whole blocks are dealt to folds in the order of their hash, so a block is in one fold only."""
+    """Adds block and fold: whole blocks are dealt to folds in the order of their hash, so a block is in one fold only.
+
+    With a ``size`` there is no bound on the number of blocks: each goes to the fold that its hash leaves as a remainder.
+    """
+    if size:
+        return blocks(table, 1, size, x, y).withColumn("fold", (F.expr(block_hash(seed)) % splits).cast("int"))
     marked = blocks(table, max(3 * splits, 6), size, x, y)
     # the number of blocks is that of the tiling, whatever the number of cells
     listed = [r[0] for r in marked.select("block").distinct().orderBy(F.expr(block_hash(seed)), "block").collect() if r[0] is not None]
@@ -92,7 +97,12 @@ def folds(table: DataFrame, splits: int = 5, size: float | None = None, seed: in
 
 
 def spatial_split(table: DataFrame, test_share: float = 0.25, n: int = 10, size: float | None = None, seed: int = 0, x: str = "col", y: str = "row") -> DataFrame:
-    """Adds is_test: about ``test_share`` of the blocks, at least one and not all, are for the test."""
+    """Adds is_test: about ``test_share`` of the blocks, at least one and not all, are for the test.
+
+    With a ``size`` a block is for the test if its hash lies in the lowest ``test_share`` of all hashes.
+    """
+    if size:
+        return blocks(table, 1, size, x, y).withColumn("is_test", F.expr(block_hash(seed)) < F.lit(65521 * test_share))
     marked = blocks(table, n, size, x, y)
     listed = [r[0] for r in marked.select("block").distinct().orderBy(F.expr(block_hash(seed)), "block").collect() if r[0] is not None]
     test = listed[: max(1, min(len(listed) - 1, round(test_share * len(listed))))]

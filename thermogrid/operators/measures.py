@@ -105,9 +105,11 @@ def possible(grid: DataFrame, name: str, out: str = "possible", resolution_m: fl
     return grid.join(large.select("row", "col", (F.col("patch") == 1).alias(out)), ["row", "col"], "left").withColumn(out, F.coalesce(out, F.lit(False)))
 
 
-def changed(name: str, mask: str, have: list[str]) -> dict[str, str]:
+def changed(name: str, mask: str, have: list[str], now: dict[str, str] | None = None) -> dict[str, str]:
     """Layer to SQL for its value after the measure, where ``mask`` (SQL) holds; every changed layer is cut to its range.
 
+    ``now`` has SQL for layers that an earlier measure has changed.
+
     New vegetation also closes the sky by half its share and displaces sealed ground by half; so does water.
     """
     m = measure(name)
@@ -120,7 +122,7 @@ def changed(name: str, mask: str, have: list[str]) -> dict[str, str]:
         deltas["impervious_frac"] = deltas.get("impervious_frac", 0.0) - sealed
     out = {}
     for layer, d in deltas.items():
-        base = layer if layer in have else f"{float(NEUTRAL.get(layer, 0.0))}"
+        base = (now or {}).get(layer) or (layer if layer in have else f"{float(NEUTRAL.get(layer, 0.0))}")
         text = f"{base} + CASE WHEN {mask} THEN ({d!r}) ELSE 0.0 END"
         lo, hi = CLIP.get(layer, (None, None))
         out[layer] = clip(text, f"({lo})", hi) if lo is not None else f"({text})"
@@ -189,7 +191,7 @@ def spread(grid: DataFrame, layer: str, out: str = "delta_lst", resolution_m: fl
     never below its own.  Cells beyond the edge cool by 0.
     """
     d = max(reach_m / max(resolution_m, 1e-6), 1e-6)
-    n = int(min(max(math.ceil(3.0 * d), 1), 25))
+    n = max(math.ceil(3.0 * d), 1)
     weights = {(r, c): math.exp(-math.hypot(r, c) / d) for r in range(-n, n + 1) for c in range(-n, n + 1)}
     total = sum(weights.values())
     o = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(w / total).alias("w"), F.lit(w > 0.05).alias("near")) for (r, c), w in weights.items()]))
@@ -222,10 +224,7 @@ def scenario(grid: DataFrame, model: Model, plan: dict[str, str], resolution_m:
     marks = {f"_on{i}": column(f"coalesce({mask}, FALSE)") for i, mask in enumerate(plan.values())}
     x, after = grid.withColumns(marks), {}
     for i, name in enumerate(plan):
-        now = changed(name, f"_on{i}", grid.columns)
-        for layer, text in now.items():  # a later measure starts from what an earlier one left
-            before = after.get(layer)
-            after[layer] = text.replace(f"{layer} + CASE", f"{before} + CASE") if before else text
+        after |= changed(name, f"_on{i}", grid.columns, after)  # a later measure starts from what an earlier one left
     union = " OR ".join(marks)
     raw = column(surface_delta(model, after))
     x = x.withColumn("_raw", F.when(column(union), raw).otherwise(0.0).cast("double"))

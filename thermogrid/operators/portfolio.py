@@ -26,9 +26,9 @@ class Measure:
     cost_per_m2: float
 
 
-def footprint_offsets(distance_px: float, threshold: float = 0.05, most: int = 20) -> list[tuple[int, int, float]]:
+def footprint_offsets(distance_px: float, threshold: float = 0.05) -> list[tuple[int, int, float]]:
     """Offsets whose weight exp(-r / d) is at least ``threshold``."""
-    n = int(min(max(math.ceil(distance_px * math.log(1.0 / threshold)), 0), most))
+    n = max(math.ceil(distance_px * math.log(1.0 / threshold)), 0)
     if n < 1:
         return [(0, 0, 1.0)]
     weights = {(r, c): math.exp(-math.hypot(r, c) / distance_px) for r in range(-n, n + 1) for c in range(-n, n + 1)}

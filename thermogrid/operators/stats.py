@@ -6,11 +6,14 @@ Global scalars come from one aggregate that is cross-joined as a single row.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formulas import column, eei_class
+from ..sources.shared import kept
 
 
 def with_scalars(grid: DataFrame, *aggregates: Column) -> DataFrame:
@@ -32,78 +35,108 @@ def minmax(grid: DataFrame, layer: str, out: str) -> DataFrame:
     return x.withColumn(out, value).drop("_lo", "_hi")
 
 
-def quantiles(grid: DataFrame, layer: str, shares: list[float], where: Column | None = None, small: int = 100_000, buckets: int = 512) -> list[float | None]:
-    """Exact quantiles by linear interpolation, gaps left out; None without values.
+@dataclass
+class Wanted:
+    """Quantiles of a layer (a name or an expression) over the rows where a condition holds."""
 
-    The values' range is cut into buckets that are counted, and each bucket that holds a wanted rank is cut again,
+    layer: str | Column
+    shares: list[float]
+    where: Column | None = None
+
+    def value(self) -> Column:
+        x = (F.col(self.layer) if isinstance(self.layer, str) else self.layer).cast("double")
+        return x if self.where is None else F.when(self.where, x)
+
+
+def quantile_sets(grid: DataFrame, wanted: list[Wanted], small: int = 20_000, buckets: int = 512) -> list[list[float | None]]:
+    """Exact quantiles by linear interpolation, gaps left out, of several layers and conditions in the same passes; None without values.
+
+    The range of each is cut into buckets that are counted, and every bucket that holds a wanted rank is cut again,
     until it has at most ``small`` values or only one distinct value.  Only the values of such buckets are sorted, so
     no task and no driver ever holds a layer, however its values are spread.
     """
-    x = F.col(layer).cast("double")
-    known = grid.filter(x.isNotNull() & (where if where is not None else F.lit(True))).select(x.alias("v"))
-    s = known.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    if not s["n"]:
-        return [None] * len(shares)
-    ranks = sorted({r for q in shares for r in (math.floor(q * (s["n"] - 1)), math.ceil(q * (s["n"] - 1)))})
-    found: dict[int, float] = {}
-    # (low, high, values below low, values inside) of ranges that still hold wanted ranks
-    ranges = [(s["lo"], s["hi"], 0, s["n"])]
+    if not wanted:
+        return []
+    values = grid.select(*[w.value().alias(f"v{k}") for k, w in enumerate(wanted)])
+    s = values.agg(*[f(f"v{k}").alias(f"{n}{k}") for k in range(len(wanted)) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    long = values.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"v{k}").alias("v")) for k in range(len(wanted))])).alias("o")).select("o.*").filter(F.col("v").isNotNull())
+    ranks = [sorted({r for q in w.shares for r in (math.floor(q * (s[f"n{k}"] - 1)), math.ceil(q * (s[f"n{k}"] - 1)))}) if s[f"n{k}"] else [] for k, w in enumerate(wanted)]
+    found: list[dict[int, float]] = [{} for _ in wanted]
+    # (which, low, high, values below low, values inside) of ranges that still hold wanted ranks
+    ranges = [(k, s[f"lo{k}"], s[f"hi{k}"], 0, s[f"n{k}"]) for k in range(len(wanted)) if s[f"n{k}"]]
     while ranges:
-        done = [g for g in ranges if g[3] <= small or g[0] == g[1]]
-        for lo, hi, before, inside in done:
-            mine = [r for r in ranks if before <= r < before + inside]
+        for k, lo, hi, before, inside in ranges:
             if lo == hi:
-                found |= {r: lo for r in mine}
-            else:
-                values = sorted(r[0] for r in known.filter(F.col("v").between(lo, hi)).collect())  # at most ``small``
-                found |= {r: values[r - before] for r in mine}
-        ranges = [g for g in ranges if g not in done]
+                found[k] |= {r: lo for r in ranks[k] if before <= r < before + inside}
+        few = [g for g in ranges if g[1] < g[2] and g[4] <= small]
+        ranges = [g for g in ranges if g[1] < g[2] and g[4] > small]
+
+        def within(parts: list[tuple]) -> Column:
+            return reduce(lambda x, y: x | y, [(F.col("k") == k) & F.col("v").between(lo, hi) for k, lo, hi, *_ in parts])
+
+        if few:
+            held: dict[int, list[float]] = {}
+            for r in long.filter(within(few)).collect():  # at most ``small`` for each wanted rank
+                held.setdefault(r["k"], []).append(r["v"])
+            for k, lo, hi, before, inside in few:
+                mine = sorted(v for v in held.get(k, []) if lo <= v <= hi)
+                found[k] |= {r: mine[r - before] for r in ranks[k] if before <= r < before + inside}
         if not ranges:
             break
-        cases, place = F.lit(None).cast("int"), F.lit(None).cast("int")
-        for k, (lo, hi, _, _) in enumerate(ranges):
-            inside = F.col("v").between(lo, hi)
-            cases = F.when(inside, k).otherwise(cases)
+        place = F.lit(None).cast("int")
+        for g, (k, lo, hi, _, _) in enumerate(ranges):
             step = F.least(F.lit(buckets - 1), F.floor((F.col("v") / 2 - lo / 2) / (hi / 2 - lo / 2) * buckets).cast("int"))
-            place = F.when(inside, step).otherwise(place)
-        counted = known.select("v", cases.alias("k"), place.alias("b")).filter("k IS NOT NULL").groupBy("k", "b").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            place = F.when((F.col("k") == k) & F.col("v").between(lo, hi), g * buckets + step).otherwise(place)
+        counted = long.withColumn("b", place).filter(F.col("b").isNotNull()).groupBy("b").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         parts: dict[int, list] = {}
-        for r in counted.orderBy("k", "b").collect():  # one row for each bucket
-            parts.setdefault(r["k"], []).append(r)
+        for r in counted.orderBy("b").collect():  # one row for each bucket
+            parts.setdefault(r["b"] // buckets, []).append(r)
         nexts = []
-        for k, (_, _, before, _) in enumerate(ranges):
+        for g, (k, _, _, before, _) in enumerate(ranges):
             at = before
-            for r in parts.get(k, []):
-                if any(at <= q < at + r["n"] for q in ranks):
-                    nexts.append((r["lo"], r["hi"], at, r["n"]))
+            for r in parts.get(g, []):
+                if any(at <= q < at + r["n"] for q in ranks[k]):
+                    nexts.append((k, r["lo"], r["hi"], at, r["n"]))
                 at += r["n"]
         ranges = nexts
-    out = []
-    for q in shares:
-        at = q * (s["n"] - 1)
-        a, b = found[math.floor(at)], found[math.ceil(at)]
-        out.append(a + (b - a) * (at - math.floor(at)))
+    out: list[list[float | None]] = []
+    for k, w in enumerate(wanted):
+        places = [q * (s[f"n{k}"] - 1) for q in w.shares]
+        out.append([found[k][math.floor(p)] + (found[k][math.ceil(p)] - found[k][math.floor(p)]) * (p - math.floor(p)) for p in places] if s[f"n{k}"] else [None] * len(places))
     return out
 
 
-def percentile_rank(grid: DataFrame, layer: str, out: str, buckets: int = 128) -> DataFrame:
+def quantiles(grid: DataFrame, layer: str, shares: list[float], where: Column | None = None, small: int = 20_000, buckets: int = 512) -> list[float | None]:
+    """``quantile_sets`` of one layer."""
+    return quantile_sets(grid, [Wanted(layer, shares, where)], small, buckets)[0]
+
+
+def _bucket(value: Column, edges: list[float]) -> Column:
+    """The number of edges below a value, by halving: as many comparisons as the edges' number has bits."""
+    if not edges:
+        return F.lit(0)
+    mid = len(edges) // 2
+    return F.when(value <= edges[mid], _bucket(value, edges[:mid])).otherwise(mid + 1 + _bucket(value, edges[mid + 1 :]))
+
+
+def percentile_rank(grid: DataFrame, layer: str, out: str, source: DataFrame | None = None, in_bucket: int = 200_000, most: int = 1024) -> DataFrame:
     """100 times the share of values at or below each value; gaps stay gaps.
 
-    The counts of distinct values are summed up bucket by bucket, so that no window spans all values: only one row per
-    bucket meets in one place.  Buckets follow approximate quantiles, so that outliers do not fill one of them.
+    Equal values are counted first, and the counts written, so that the layer is worked out once for them.  They are then
+    summed up bucket by bucket, so that no window spans all values: only one row per bucket meets in one place.  Buckets
+    hold about ``in_bucket`` distinct values, between approximate quantiles, so their number (up to ``most``) follows
+    the size.  ``source`` may be a cheaper table with the same cells and layer, for the counts.
     """
     grid = grid.drop(out)
-    counts = grid.filter(F.col(layer).isNotNull())
-    edges = counts.agg(F.percentile_approx(F.col(layer).cast("double"), [k / buckets for k in range(1, buckets)], 10 * buckets)).first()[0]
-    bucket = F.lit(0)
-    if edges:
-        listed = F.array(*[F.lit(e) for e in sorted(set(edges))])
-        bucket = F.size(F.filter(listed, lambda e: e < F.col(layer)))
-    counts = counts.groupBy(bucket.alias("_b"), F.col(layer).alias("_v")).agg(F.count("*").alias("_n"))
+    counts = (source if source is not None else grid).filter(F.col(layer).isNotNull()).groupBy(F.col(layer).alias("_v")).agg(F.count("*").alias("_n"))
+    counts = kept(counts, "ranks")
+    n = min(most, math.ceil(counts.count() / in_bucket))
+    edges = counts.agg(F.percentile_approx(F.col("_v").cast("double"), [k / n for k in range(1, n)], 10 * n)).first()[0] if n > 1 else []
+    counts = counts.withColumn("_b", _bucket(F.col("_v").cast("double"), sorted(set(edges or []))))
     sums = counts.groupBy("_b").agg(F.sum("_n").alias("_in"))
     before = sums.select("_b", (F.sum("_in").over(Window.orderBy("_b")) - F.col("_in")).alias("_before"), F.sum("_in").over(Window.partitionBy()).alias("_all"))
     inside = counts.withColumn("_up", F.sum("_n").over(Window.partitionBy("_b").orderBy("_v")))
-    ranks = inside.join(F.broadcast(before), "_b").select("_v", (100.0 * (F.col("_up") + F.col("_before")) / F.col("_all")).alias(out))
+    ranks = inside.join(F.broadcast(before), "_b").select("_v", (100.0 * (F.col("_up") + F.col("_before")) / F.col("_all")).alias(out))  # at most ``most`` rows
     return grid.join(ranks, grid[layer] == F.col("_v"), "left").drop("_v")
 
 
@@ -119,16 +152,11 @@ def surface_uhi(grid: DataFrame, layer: str = "lst", lcz: str | None = "lcz", gu
         urban, low, other = F.lit(False), F.lit(False), F.lit(False)
     else:
         urban, low, other = F.col(lcz).between(1, 10), F.col(lcz) == 14, F.col(lcz) >= 11
-    median = lambda where: quantiles(grid, layer, [0.5], where)[0]
-    ref = None
-    for where in (low, other) if lcz is not None else ():
-        ref = median(where) if ref is None else ref
-    if ref is None:
-        ref = median(None)
-    if guard and lcz is not None and ref is not None:
-        high = median(urban)
-        if high is not None and ref > high:
-            ref = min(ref, quantiles(grid, layer, [0.25])[0])
+    sets = [Wanted(layer, [0.5], where) for where in (low, other, urban)] + [Wanted(layer, [0.5, 0.25])]
+    (in_low,), (in_other,), (high,), (all_, first) = quantile_sets(grid, sets)
+    ref = next((v for v in (in_low, in_other, all_) if v is not None), None)
+    if guard and lcz is not None and None not in (ref, high) and ref > high:
+        ref = min(ref, first)
     return grid.withColumn("suhii", x - F.lit(ref).cast("double"))
 
 

@@ -20,9 +20,9 @@ def kernel(k: int = 1, contiguity: str = "queen", include_self: bool = True) ->
     return [(r, c, 1.0) for r in range(-k, k + 1) for c in range(-k, k + 1) if inside(r, c) and (include_self or r or c)]
 
 
-def decay_kernel(distance_px: float, most: int = 30) -> list[tuple[int, int, float]]:
+def decay_kernel(distance_px: float) -> list[tuple[int, int, float]]:
     """exp(-r / d) over a square of three decay lengths."""
-    n = min(max(math.ceil(3 * distance_px), 1), most)
+    n = max(math.ceil(3 * distance_px), 1)
     return [(r, c, math.exp(-math.hypot(r, c) / distance_px)) for r in range(-n, n + 1) for c in range(-n, n + 1)]
 
 
@@ -69,12 +69,15 @@ def square_sums(grid: DataFrame, k: int, **sums) -> DataFrame:
     return x.withColumns({n: F.sum(f"_{n}").over(along_col) for n in sums}).drop(*[f"_{n}" for n in sums])
 
 
-def getis_ord(grid: DataFrame, layer: str = "lst", out: str = "gistar_z", k: int = 1, contiguity: str = "queen") -> DataFrame:
-    """Gi* z-scores, self included; 0 where the layer does not vary, NULL for gaps and fewer than two cells."""
+def getis_ord(grid: DataFrame, layer: str = "lst", out: str = "gistar_z", k: int = 1, contiguity: str = "queen", source: DataFrame | None = None) -> DataFrame:
+    """Gi* z-scores, self included; 0 where the layer does not vary, NULL for gaps and fewer than two cells.
+
+    ``source`` may be a cheaper table with the same cells and layer, for the global scalars.
+    """
     x = F.col(layer)
     sums = {"_wx": x, "_w": F.when(x.isNotNull(), 1.0)}
     s = square_sums(grid, k, **sums) if contiguity == "queen" else neighbour_sums(grid, kernel(k, contiguity), **sums)
-    g = grid.agg(F.count(layer).alias("_n"), F.avg(layer).alias("_m"), F.stddev_pop(layer).alias("_s"))
+    g = (source if source is not None else grid).agg(F.count(layer).alias("_n"), F.avg(layer).alias("_m"), F.stddev_pop(layer).alias("_s"))
     s = s.crossJoin(F.broadcast(g))
     inner = (F.col("_n") * F.col("_w") - F.col("_w") ** 2) / F.nullif(F.col("_n") - 1, F.lit(0))
     below = F.col("_s") * F.sqrt(F.greatest(inner, F.lit(0.0)))
@@ -82,13 +85,14 @@ def getis_ord(grid: DataFrame, layer: str = "lst", out: str = "gistar_z", k: int
     return s.withColumn(out, F.when(x.isNotNull() & (F.col("_n") >= 2), z)).drop("_wx", "_w", "_n", "_m", "_s")
 
 
-def local_moran(grid: DataFrame, layer: str = "lst", k: int = 1, contiguity: str = "queen") -> DataFrame:
-    """Adds moran_i and moran_local: 0 not significant, 1 high-high, 2 low-low, 3 high-low, 4 low-high."""
+def local_moran(grid: DataFrame, layer: str = "lst", k: int = 1, contiguity: str = "queen", source: DataFrame | None = None) -> DataFrame:
+    """Adds moran_i and moran_local: 0 not significant, 1 high-high, 2 low-low, 3 high-low, 4 low-high; ``source`` as in ``getis_ord``."""
     x = F.col(layer)
-    s = grid.agg(F.count(layer), F.avg(layer)).first()
+    told = source if source is not None else grid
+    s = told.agg(F.count(layer), F.avg(layer)).first()
     about = x - F.lit(s[1]).cast("double")
-    m = grid.agg(F.avg(about**2), F.avg(about**4)).first()  # both depend on the layer alone
-    scalars = zip(("_n", "_m2", "_m4"), (F.lit(s[0]), *(F.lit(v).cast("double") for v in m)), strict=True)
+    m = told.agg(F.avg(about**2), F.avg(about**4)).first()  # both depend on the layer alone
+    scalars = zip(("_n", "_m2", "_m4"), (F.lit(float(s[0])), *(F.lit(v).cast("double") for v in m)), strict=True)
     d = grid.withColumn("_d", about).withColumns(dict(scalars))
     sums = {"_lag": F.col("_d"), "_w": F.when(x.isNotNull(), 1.0)}
     if contiguity == "queen":  # a full square less its centre

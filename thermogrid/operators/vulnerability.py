@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formulas import column, human_stress_count, priority_class
+from ..sources.shared import kept
 from . import stats, stencil
 
 #: Indicators of each domain with the sign that makes higher mean more vulnerable.  Fixed values.
@@ -60,6 +61,7 @@ def heat_vulnerability(grid: DataFrame, method: str = "pca") -> DataFrame:
         return grid.withColumn("hvi", F.lit(0.5)).withColumn("hvi_quintile", F.lit(1))
     # scalars go through the driver as literals: nested scalar joins would double the plan at each step
     layers = sorted({c for signs in domains.values() for c in signs})
+    grid = kept(grid, "vulnerability")
     x = grid.withColumns(_standard(grid, {c: F.col(c) for c in layers}, "_z_"))
     scores = {}
     for name, signs in domains.items():
@@ -77,7 +79,7 @@ def heat_vulnerability(grid: DataFrame, method: str = "pca") -> DataFrame:
     if r["lo"] is None or r["lo"] == r["hi"]:
         return x.withColumn("hvi", F.lit(0.5)).withColumn("hvi_quintile", F.lit(1)).drop("_sum")
     x = x.withColumn("hvi", (F.col("_sum") - r["lo"]) / (r["hi"] - r["lo"])).drop("_sum")
-    return stats.quintiles(x, "hvi", "hvi_quintile")
+    return stats.quintiles(kept(x, "hvi"), "hvi", "hvi_quintile")
 
 
 def layered_hotspots(grid: DataFrame, k: int = 1, contiguity: str = "queen", method: str = "pca") -> DataFrame:
@@ -86,10 +88,11 @@ def layered_hotspots(grid: DataFrame, k: int = 1, contiguity: str = "queen", met
     Layer A is the rank of the surface temperature and its significant clusters, layer B the share of five heat-stress
     indices over their limits (0 without air temperature and humidity), layer C half the larger of both and half hvi.
     """
-    base = grid if "hvi" in grid.columns else heat_vulnerability(grid, method)
-    x = stencil.getis_ord(stats.percentile_rank(base, "lst", "lst_percentile"), "lst", k=k, contiguity=contiguity)
+    base = kept(grid if "hvi" in grid.columns else heat_vulnerability(grid, method), "layers")
+    x = stencil.getis_ord(base, "lst", k=k, contiguity=contiguity)
+    x = stencil.local_moran(x, "lst", k=k, contiguity=contiguity, source=base)
+    x = stats.percentile_rank(x, "lst", "lst_percentile", source=base)
     x = stencil.surface_hotspots(x).withColumn("surface_score", F.col("lst_percentile"))
-    x = stencil.local_moran(x, "lst", k=k, contiguity=contiguity)
     if "human_stress_score" not in x.columns:
         met = {"air_temp", "rel_humidity"} <= set(x.columns)
         dew = "dewpoint" if "dewpoint" in x.columns else "air_temp"

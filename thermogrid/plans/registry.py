@@ -9,6 +9,7 @@ from ..functions import formulas as M
 from ..functions.formulas import column, exact
 from ..operators import fusion, stats, stencil
 from ..sources.cells import cells, cells_sql
+from ..sources.shared import kept
 from . import byhand, decisions, scenarios, sensing
 
 _IND = ("air_temp", "rel_humidity")
@@ -121,7 +122,8 @@ def _cells(run):
 
 
 def _hotspots(grid: DataFrame) -> DataFrame:
-    z = stencil.getis_ord(stats.percentile_rank(grid.select("row", "col", "lst"), "lst", "lst_percentile"), "lst")
+    base = kept(grid.select("row", "col", "lst"), "hotspots")
+    z = stats.percentile_rank(stencil.getis_ord(base, "lst"), "lst", "lst_percentile", source=base)
     masked = stencil.surface_hotspots(z)
     return _rounded(masked.select("row", "col", "lst_percentile", "gistar_z", "hotspot_mask"), "lst_percentile", "gistar_z")
 
