@@ -48,6 +48,10 @@ class Additive:
             return self.slopes[j] * x
         return np.asarray(self.values[j])[np.searchsorted(self.edges[j], x, side="left")]
 
+    def array(self, x: np.ndarray) -> np.ndarray:
+        """Predictions for rows of predictors."""
+        return self.base + sum((self.at(j, x[:, j]) for j in range(len(self.predictors))), np.zeros(len(x)))
+
     def expression(self, layer: Callable[[str], str] = lambda k: k) -> str:
         """SQL for the prediction, from names of layers; fits where a surface model is asked for."""
         return "(" + " + ".join([repr(self.base), *[self.term(j, layer(p)) for j, p in enumerate(self.predictors)]]) + ")"
