@@ -253,7 +253,8 @@ def forest_cv(table: DataFrame, predictors: list[str], target: str = "lst", fold
     for f, model in fit_forests(table, predictors, target, fold, **options).items():
         if f is not None:
             arms = F.when(F.col(fold) == f, column(model.expression()).cast("double")).otherwise(arms)
-    panel = stats.metric_panel(table.withColumn("y_pred", arms), target, "y_pred", by=[fold])
+    guessed = kept(table.select(fold, target, arms.alias("y_pred")), "guessed")  # else the models are worked out for every measure
+    panel = stats.metric_panel(guessed, target, "y_pred", by=[fold])
     numbers = [c for c in panel.columns if c != fold]
     return panel.unionByName(panel.agg(*[F.avg(c).cast(panel.schema[c].dataType).alias(c) for c in numbers]).select(F.lit(None).cast("int").alias(fold), *numbers))
 

@@ -35,8 +35,8 @@ def footprint_offsets(distance_px: float, threshold: float = 0.05) -> list[tuple
     return [(r, c, w) for (r, c), w in weights.items() if w >= threshold]
 
 
-def candidates(grid: DataFrame, measures: list[Measure], priority: str = "priority", resolution_m: float = 100.0, top_k: int = 2000, least_c: float = 1e-3) -> DataFrame:
-    """row, col, intervention, cost, area_m2, self_delta_c, rank_key: the ``top_k`` by priority times cooling.
+def candidates(grid: DataFrame, measures: list[Measure], priority: str = "priority", resolution_m: float = 100.0, top_k: int | None = 2000, least_c: float = 1e-3) -> DataFrame:
+    """row, col, intervention, cost, area_m2, self_delta_c, rank_key: the ``top_k`` by priority times cooling; all for None, in no order.
 
     Every cell makes a candidate for each measure that is possible there and cools by more than ``least_c``.
     Ties go to the measure named first, then by row and column; a gap in the priority comes last.
@@ -45,7 +45,9 @@ def candidates(grid: DataFrame, measures: list[Measure], priority: str = "priori
     options = [F.struct(F.lit(k).alias("measure_no"), F.lit(m.name).alias("intervention"), F.lit(m.cost_per_m2 * area).alias("cost"), F.when(column(m.feasible), column(m.cooling).cast("double")).alias("self_delta_c")) for k, m in enumerate(measures)]
     x = grid.select("row", "col", F.col(priority).alias("_p"), F.explode(F.array(*options)).alias("o")).select("row", "col", "_p", "o.*").filter(F.col("self_delta_c") > least_c)
     x = x.withColumn("area_m2", F.lit(area)).withColumn("rank_key", F.col("_p") * F.col("self_delta_c"))
-    return x.orderBy(F.col("rank_key").desc_nulls_last(), "measure_no", "row", "col").limit(top_k).select("row", "col", "intervention", "measure_no", "cost", "area_m2", "self_delta_c", "rank_key")
+    if top_k is not None:
+        x = x.orderBy(F.col("rank_key").desc_nulls_last(), "measure_no", "row", "col").limit(top_k)
+    return x.select("row", "col", "intervention", "measure_no", "cost", "area_m2", "self_delta_c", "rank_key")
 
 
 class Portfolio:

@@ -140,6 +140,22 @@ def percentile_rank(grid: DataFrame, layer: str, out: str, source: DataFrame | N
     return grid.join(ranks, grid[layer] == F.col("_v"), "left").drop("_v")
 
 
+def running_sums(rows: DataFrame, order: str, ties: list[str], in_bucket: int = 200_000, **sums: str) -> DataFrame:
+    """Adds, for each name, the sum of a column up to and with the row, by ``order`` descending and then ``ties``.
+
+    As ``percentile_rank``, it sums bucket by bucket, and only one row per bucket meets in one place.
+    """
+    n = max(1, math.ceil(rows.count() / in_bucket))
+    edges = rows.agg(F.percentile_approx(F.col(order).cast("double"), [k / n for k in range(1, n)], 10 * n)).first()[0] if n > 1 else []
+    x = rows.withColumn("_b", _bucket(F.col(order).cast("double"), sorted(set(edges or []))))
+    totals = x.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{k}") for k, c in sums.items()])
+    later = Window.orderBy(F.desc("_b"))
+    before = totals.select("_b", *[(F.sum(f"_t_{k}").over(later) - F.col(f"_t_{k}")).alias(f"_before_{k}") for k in sums])
+    inside = Window.partitionBy("_b").orderBy(F.desc(order), *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumns({k: F.sum(c).over(inside) for k, c in sums.items()}).join(F.broadcast(before), "_b")  # one row for each bucket
+    return x.withColumns({k: F.col(k) + F.col(f"_before_{k}") for k in sums}).drop("_b", *[f"_before_{k}" for k in sums])
+
+
 def surface_uhi(grid: DataFrame, layer: str = "lst", lcz: str | None = "lcz", guard: bool = True) -> DataFrame:
     """Adds suhii: the layer less a rural reference.
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.formulas import feasible
-from . import measures, stats
+from ..sources.shared import kept
+from . import measures, selection, stats
 from .portfolio import Measure, Portfolio, candidates
 
 METHODS = ("greedy", "ilp", "nsga2")
@@ -82,9 +83,9 @@ def knee(f: np.ndarray, c: np.ndarray) -> int:
 def strategy(grid: DataFrame, model: measures.Model, config: Config, method: str | None = None, resolution_m: float | None = None, names: list[str] | None = None) -> dict:
     """placements and cells as tables, totals and the method as plain values.
 
-    Of all candidates the ``TOP`` best by priority and cooling are chosen from, as a documented bound.  ``greedy`` takes
-    the largest gain each time, ``ilp`` the best value for cost, ``nsga2`` the knee of a front of cooling against cost.
-    Cells get the delivered cooling, which saturates where footprints overlap.
+    ``greedy`` takes the largest gain each time and ``ilp`` the best values taken alone, both among all candidates and as
+    jobs over tables; ``nsga2`` takes the knee of a front of cooling against cost, among the ``TOP`` best by priority
+    and cooling, a documented bound.  Cells get the delivered cooling, which saturates where footprints overlap.
     """
     method = method or config.optimizer
     if method not in METHODS:
@@ -93,43 +94,42 @@ def strategy(grid: DataFrame, model: measures.Model, config: Config, method: str
     have = grid.columns
     x = measures.possible(measures.with_layers(grid, measures.ABSENT | {"albedo": 0.18}), "urban_park", "park_possible", r)
     x = stats.equity_weights(x, "population" if config.equity and "population" in have else None, "hvi" if config.equity and "hvi" in have else None)
-    x = stats.priority_score(x)
-    n = grid.count()
-    area_cap = config.area_cap_frac * n * r * r
-    chosen = candidates(x, options(x.columns, model, names), resolution_m=r, top_k=TOP)
-    p = Portfolio(chosen, x)
-    front = None
+    x = kept(stats.priority_score(x), "strategy")
+    area_cap = config.area_cap_frac * x.count() * r * r
+    all_ = kept(candidates(x, options(x.columns, model, names), resolution_m=r, top_k=TOP if method == "nsga2" else None), "options")
+    sites, front, more = selection.Sites.of(all_, x), None, {}
     if method == "greedy":
-        order = p.greedy(config.budget, area_cap)
+        picked = selection.greedy(sites, config.budget, area_cap)
+        ranked = selection.in_order(picked).select("rank", "row", "col", "intervention")
     elif method == "ilp":
-        order = p.knapsack(config.budget, area_cap)
+        found = selection.exact(sites, config.budget, area_cap)
+        picked, more = found.placements, {"bound": found.bound, "gap": found.gap, "proven": found.proven}
+        ranked = stats.running_sums(picked.withColumn("_one", F.lit(1)), "value", ["id"], rank="_one").select(F.col("rank").cast("int").alias("rank"), "row", "col", "intervention")
     else:
+        p = Portfolio(all_, x)
         choices, f, c = search(p, config.budget, area_cap, seed=config.seed)
         k = knee(f, c)
-        order = [(i, 0.0) for i in choices[k]]
+        told = [(rank, int(t["row"]), int(t["col"]), t["intervention"]) for rank, t in enumerate((p.table.iloc[i] for i in choices[k]), 1)]
+        ranked = grid.sparkSession.createDataFrame(told, "rank int, row int, col int, intervention string")  # at most TOP
+        picked = sites.table.join(ranked.drop("rank"), ["row", "col", "intervention"], "left_semi")
         front = [{"sites": len(choice), "objective": float(a), "cost": float(b)} for choice, a, b in zip(choices, f, c, strict=True)]
-    sites = [i for i, _ in order]
-    left = np.ones(len(p.cells))
-    for i in sites:
-        left[p.place[i]] *= p._left()[i]
-    cooled = p.cap * (1.0 - left)
-    rows = [(int(a), int(b), float(v)) for (a, b), v in zip(p.cells.tolist(), cooled.tolist(), strict=True) if v > 0]
-    spark = grid.sparkSession
-    delivered = spark.createDataFrame(rows, "row int, col int, delivered_c double")  # at most the cells in reach of TOP candidates
-    cells = x.join(F.broadcast(delivered), ["row", "col"], "left").withColumn("delivered_c", F.coalesce("delivered_c", F.lit(0.0)))
+    picked = kept(sites.table.join(picked.select("id"), "id", "left_semi"), "picked")
+    delivered = selection.taken(sites, picked).select("row", "col", (sites.cap * (1.0 - F.col("residual"))).alias("delivered_c"))
+    cells = kept(x.join(delivered, ["row", "col"], "left").withColumn("delivered_c", F.coalesce("delivered_c", F.lit(0.0))), "delivered")
     hot = stats.quantiles(grid, "lst", [0.9])[0]
     people = F.greatest(F.coalesce("population", F.lit(0.0)), F.lit(0.0)) if "population" in have else F.lit(1.0)
-    t = cells.agg(F.avg("delivered_c").alias("mean"), F.max("delivered_c").alias("max"), F.avg(F.when(F.col("lst") >= F.lit(hot), F.col("delivered_c"))).alias("hot"), F.sum(people * F.col("delivered_c")).alias("exposure")).first()
-    placements = []
-    for rank, i in enumerate(sites, 1):
-        c = p.table.iloc[i]
-        m = measures.MEASURES[c["intervention"]]
-        d = float(c["self_delta_c"])
-        air = min(d / m.surface[1], 1.0) * m.air[1] if m.surface[1] else 0.0
-        placements.append((rank, m.name, int(c["row"]), int(c["col"]), float(c["area_m2"]), float(c["cost"]), d, air, bool(m.plausible(d))))
-    table = spark.createDataFrame(placements, "rank int, measure string, row int, col int, area_m2 double, cost double, delta_lst_c double, delta_air_c double, plausible boolean")
+    t = cells.agg(
+        F.avg("delivered_c").alias("mean"), F.max("delivered_c").alias("max"), F.avg(F.when(F.col("lst") >= F.lit(hot), F.col("delivered_c"))).alias("hot"), F.sum(people * F.col("delivered_c")).alias("exposure"),
+        F.sum(F.coalesce("weight", F.lit(0.0)) * F.col("delivered_c")).alias("objective"),
+    ).first()
+    u = picked.agg(F.count("*").alias("n"), F.sum("cost").alias("cost"), F.sum("area_m2").alias("area")).first()
+    of = lambda value: F.create_map(*[F.lit(v) for m in measures.MEASURES.values() for v in (m.name, float(value(m) or 0.0))])[F.col("measure")]
+    most = of(lambda m: m.surface[1])
+    table = picked.join(ranked, ["row", "col", "intervention"]).withColumnsRenamed({"intervention": "measure", "self_delta_c": "delta_lst_c"})
+    air = F.when(most != 0, F.least(F.col("delta_lst_c") / most, F.lit(1.0)) * of(lambda m: m.air[1])).otherwise(0.0)
+    table = table.select("rank", "measure", "row", "col", "area_m2", "cost", "delta_lst_c", air.alias("delta_air_c"), F.col("delta_lst_c").between(-0.25 * most, 1.5 * most).alias("plausible"))
     totals = {
-        "sites": len(sites), "budget": config.budget, "cost": float(p.cost[sites].sum()), "area_m2": float(p.area[sites].sum()), "area_cap_m2": area_cap, "mean_c": t["mean"], "max_c": t["max"], "hottest_c": t["hot"],
-        "exposure": t["exposure"], "objective": p.objective(sites), "greedy_bound": 0.632, "candidates": len(p.table),
+        "sites": u["n"], "budget": config.budget, "cost": float(u["cost"] or 0.0), "area_m2": float(u["area"] or 0.0), "area_cap_m2": area_cap, "mean_c": t["mean"], "max_c": t["max"], "hottest_c": t["hot"],
+        "exposure": t["exposure"], "objective": float(t["objective"] or 0.0), "greedy_bound": 0.632, "candidates": all_.count(), **more,
     }
     return {"method": method, "placements": table, "cells": cells.select("row", "col", "delivered_c"), "totals": totals, "front": front}

@@ -65,9 +65,13 @@ def layered_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(vulnerability.layered_hotspots(grid), ["row", "col", "hotspot_mask", "moran_local", "priority_class"], "surface_score", "human_stress_score", "hvi", "priority_score")
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def ranked_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = measures.possible(cells(spark, sf_dir).select("row", "col", *_HAVE), "urban_park", "park_possible")
-    grid = stats.priority_score(stats.equity_weights(grid))
+    return stats.priority_score(stats.equity_weights(grid))
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    grid = ranked_grid(spark, sf_dir)
     return grid, portfolio.candidates(grid, MEASURES, top_k=TOP_K)
 
 

@@ -10,7 +10,7 @@ from ..functions.formulas import column, exact
 from ..operators import fusion, stats, stencil
 from ..sources.cells import cells, cells_sql
 from ..sources.shared import kept
-from . import byhand, decisions, scenarios, sensing
+from . import byhand, decisions, learning, scenarios, sensing
 
 _IND = ("air_temp", "rel_humidity")
 _DELTA = M.albedo_to_delta("albedo * 0.1")
@@ -148,7 +148,7 @@ _est = lambda g: fusion.long_form(g, list(_LONG), _LONG)
 _pairs = lambda g: g.select("lcz", F.col("lst").alias("y_true"), column("35.0 - 8.0 * ndvi - 10.0 * albedo + 12.0 * impervious_frac").alias("y_pred"))
 _METRICS = ("rmse", "mae", "bias", "ubrmse", "r2", "nse", "ccc", "kge")
 
-QUERIES = decisions.QUERIES | scenarios.QUERIES | sensing.QUERIES | {f"fn_{n}": _scalar(x) for n, x in SCALARS.items()} | {
+QUERIES = decisions.QUERIES | learning.QUERIES | scenarios.QUERIES | sensing.QUERIES | {f"fn_{n}": _scalar(x) for n, x in SCALARS.items()} | {
     "surface_hotspots": _cells(_hotspots),
     "hotspot_stats": _cells(lambda g: _hotspots(g).agg(F.count("*").alias("cells"), F.sum("hotspot_mask").alias("hot"), F.round(F.avg("hotspot_mask") * 100, 5).alias("hot_pct"))),
     "lst_zscore": _cells(lambda g: _rounded(stats.zscore(g, "lst", "z").select("row", "col", "z"), "z")),
