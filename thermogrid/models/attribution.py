@@ -11,11 +11,13 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formulas import column
 from ..operators import stats
+from ..sources.shared import kept
 from . import features
 from .train import Additive, moments
 
@@ -210,6 +212,99 @@ def local_slopes(grid: DataFrame, predictors: list[str], target: str = "lst", n:
     return grid.withColumn("block", place.cast("long")).join(F.broadcast(local), "block", "left").drop("block")  # n * n rows
 
 
+def _local_fits(known: np.ndarray, x: np.ndarray, y: np.ndarray, inner: tuple[slice, slice], halo: int, neighbours: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether the halo was wide enough, coefficients with the intercept first, R2) of the inner cells of a tile with its halo.
+
+    A cell's bandwidth is the distance of its ``neighbours``-th nearest known cell, itself among them; weights are
+    (1 - (d / bandwidth)^2)^2 within it.
+    """
+    offsets = np.array([(r, c) for r in range(-halo, halo + 1) for c in range(-halo, halo + 1)])
+    distance = np.hypot(*offsets.T)
+    order = np.argsort(distance, kind="stable")
+    offsets, distance = offsets[order], distance[order]
+    rows, cols = (g.ravel() for g in np.mgrid[inner])
+    n, p = len(rows), x.shape[2]
+    enough, beta, r2 = np.zeros(n, bool), np.full((n, p + 1), np.nan), np.full(n, np.nan)
+    for a in range(0, n, 256):  # bounds the memory
+        r, c = rows[a : a + 256, None] + offsets[None, :, 0], cols[a : a + 256, None] + offsets[None, :, 1]
+        near = known[r, c]
+        count = near.cumsum(1)
+        reach = (count >= neighbours).argmax(1)
+        bandwidth = np.where(count[:, -1] >= neighbours, distance[reach], np.inf)
+        enough[a : a + 256] = bandwidth <= halo
+        h = np.where(np.isfinite(bandwidth) & (bandwidth > 0), bandwidth, 1.0)[:, None]
+        w = np.where(near & (distance[None] < h), (1.0 - np.minimum(distance[None] / h, 1.0) ** 2) ** 2, 0.0)
+        design = np.concatenate([np.ones((*r.shape, 1)), np.where(near[..., None], x[r, c], 0.0)], axis=2)
+        target = np.where(near, y[r, c], 0.0)
+        left, right = np.einsum("nm,nmi,nmj->nij", w, design, design), np.einsum("nm,nmi,nm->ni", w, design, target)
+        b = np.einsum("nij,nj->ni", np.linalg.pinv(left, rcond=1e-10, hermitian=True), right)
+        total = w.sum(1)
+        mean = (w * target).sum(1) / np.maximum(total, 1e-300)
+        rest = (w * (target - np.einsum("nmi,ni->nm", design, b)) ** 2).sum(1)
+        spread = (w * (target - mean[:, None]) ** 2).sum(1)
+        beta[a : a + 256] = b
+        r2[a : a + 256] = np.where(spread > 0, np.maximum(0.0, 1.0 - rest / np.maximum(spread, 1e-300)), 0.0)
+    return enough, beta, r2
+
+
+def local_regression(grid: DataFrame, predictors: list[str], target: str = "lst", neighbours: int = 60, tile: int = 48, standardise: bool = True) -> DataFrame:
+    """Adds slope_<predictor>, dominant (its number) and local_r2 at every cell: least squares over its nearest known cells.
+
+    The bandwidth follows the data: it reaches to the ``neighbours``-th nearest cell without a gap.  Tiles are fitted with a
+    halo of cells around them; where the halo turns out too narrow, as beside large gaps, the cell is fitted
+    again with one twice as wide, until none is left.  Predictors have mean 0 and deviation 1 over the grid.
+    """
+    names = features.resolve(grid, predictors, target)
+    table = features.feature_table(grid, names, target, standardise=standardise)
+    extent = table.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"), F.count("*").alias("n")).first()
+    if not extent["n"] or not names:
+        return grid
+    neighbours = min(neighbours, extent["n"])
+    widest = int(max(extent["r1"] - extent["r0"], extent["c1"] - extent["c0"])) + 1
+    cells = kept(grid.select("row", "col").join(table.drop("x", "y"), ["row", "col"], "left"), "local")
+    halo, p, done = max(2, int(np.ceil(np.sqrt(neighbours / np.pi) * 1.3)) + 1), len(names), None
+    schema = "row int, col int, enough boolean, " + ", ".join(f"slope_{c} double" for c in names) + ", dominant int, local_r2 double"
+    todo = None
+    while True:
+        # a gap far out can need a halo as wide as the grid is long, and twice that reaches everything
+        last = halo > 2 * widest
+
+        def fit(part):  # runs before halo changes, as its result is written at once
+            tr, tc = int(part["_tr"].iloc[0]), int(part["_tc"].iloc[0])
+            side = tile + 2 * halo
+            known, x, y, ask = np.zeros((side, side), bool), np.zeros((side, side, p)), np.zeros((side, side)), np.zeros((side, side), bool)
+            r, c = part["row"].to_numpy() - tr * tile + halo, part["col"].to_numpy() - tc * tile + halo
+            values = part[[*names, target]].to_numpy(np.float64)
+            full = ~np.isnan(values).any(1)
+            known[r[full], c[full]] = True
+            x[r[full], c[full]], y[r[full], c[full]] = values[full, :p], values[full, p]
+            ask[r, c] = part["_ask"].to_numpy(bool)
+            padded = [np.pad(v, [(halo, halo), (halo, halo), *([(0, 0)] if v.ndim == 3 else [])]) for v in (known, x, y)]
+            inner = (slice(2 * halo, 2 * halo + tile), slice(2 * halo, 2 * halo + tile))
+            enough, beta, r2 = _local_fits(*padded, inner, halo, neighbours)
+            wanted = ask[halo : halo + tile, halo : halo + tile].ravel()
+            rows, cols = (g.ravel() for g in np.mgrid[tr * tile : (tr + 1) * tile, tc * tile : (tc + 1) * tile])
+            out = {"row": rows[wanted].astype("int32"), "col": cols[wanted].astype("int32"), "enough": enough[wanted] | last}
+            out |= {f"slope_{n}": beta[wanted, 1 + j] for j, n in enumerate(names)}
+            out |= {"dominant": np.abs(beta[wanted, 1:]).argmax(1).astype("int32"), "local_r2": r2[wanted]}
+            return pd.DataFrame(out)
+
+        asked = cells.withColumn("_ask", F.lit(True)) if todo is None else cells.join(todo.withColumn("_ask", F.lit(True)), ["row", "col"], "left").fillna(False, ["_ask"])
+        spans = {k: F.sequence(F.floor((F.col(a) - halo) / tile).cast("int"), F.floor((F.col(a) + halo) / tile).cast("int")) for k, a in (("_tr", "row"), ("_tc", "col"))}
+        dealt = asked.withColumn("_tr", F.explode(spans["_tr"])).withColumn("_tc", F.explode(spans["_tc"]))
+        inside = (F.floor(F.col("row") / tile) == F.col("_tr")) & (F.floor(F.col("col") / tile) == F.col("_tc"))
+        dealt = dealt.withColumn("_ask", F.col("_ask") & inside)
+        if todo is not None:  # only tiles that have cells to fit
+            dealt = dealt.join(todo.select(F.floor(F.col("row") / tile).cast("int").alias("_tr"), F.floor(F.col("col") / tile).cast("int").alias("_tc")).distinct(), ["_tr", "_tc"], "left_semi")
+        got = kept(dealt.groupBy("_tr", "_tc").applyInPandas(fit, schema), "fits")
+        fine = got.filter("enough").drop("enough")
+        done = fine if done is None else done.unionByName(fine)
+        todo = got.filter("NOT enough").select("row", "col")
+        if last or todo.isEmpty():
+            return grid.join(done, ["row", "col"], "left")
+        halo *= 2
+
+
 def residual_moran(grid: DataFrame, residual: str) -> DataFrame:
     """moran_i: the global autocorrelation of residuals over the eight neighbours of each cell, weights summing to 1 a cell."""
     from ..operators import stencil

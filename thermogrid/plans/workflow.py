@@ -8,7 +8,6 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +15,12 @@ from pyspark.sql import functions as F
 from ..config import CITIES, Config
 from ..functions import formulas as M
 from ..functions.formulas import column
-from ..models import attribution, features, train
+from ..models import attribution, features, forest, train
 from ..operators import indices, measures, strategy, vulnerability
 from ..sources import synthetic
 from ..sources.grid import clean
 from ..sources.shared import shared_folder
+from . import budget
 
 STEPS = ("grid", "indices", "hotspots", "model", "attribution", "physics", "portfolio")
 LEGEND = ("Low", "Moderate", "High", "Very high", "Extreme")
@@ -71,12 +71,13 @@ def physics(grid: DataFrame) -> dict:
     return {"residual_mean": r["mean"], "residual_rms": r["rms"]}
 
 
-def run(spark: SparkSession, config: Config, path: str | None = None, kind: str = "boosted", steps: tuple[str, ...] = STEPS, **options) -> dict:
+def run(spark: SparkSession, config: Config, path: str | None = None, kind: str = "boosted", steps: tuple[str, ...] = STEPS, seconds: float | None = None, **options) -> dict:
     """Runs the steps and returns tables and plain values by name; their tables, and the report, are written below ``path``.
 
     Without a path the tables go to the shared folder of the session, as later steps read them again and again.
 
-    ``errors`` names the steps that failed; without a grid nothing else runs.
+    A step that takes longer than ``seconds`` is cancelled; a step that fails is tried once more.  ``errors`` names the
+    steps that failed; without a grid nothing else runs.
     """
     out: dict = {"config": config, "errors": {}, "seconds": {}}
     folder = path or shared_folder(spark, "study")
@@ -84,12 +85,10 @@ def run(spark: SparkSession, config: Config, path: str | None = None, kind: str
     def step(name: str, make) -> None:
         if name not in steps:
             return
-        began = datetime.now(UTC)
-        try:
-            make()
-        except Exception as x:  # noqa: BLE001  a step that fails is reported; the others go on
-            out["errors"][name] = f"{type(x).__name__}: {str(x).splitlines()[0] if str(x) else ''}"
-        out["seconds"][name] = (datetime.now(UTC) - began).total_seconds()
+        told = budget.attempt(spark, name, [make], seconds)
+        if told.error:
+            out["errors"][name] = told.error
+        out["seconds"][name] = told.seconds
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
@@ -102,11 +101,11 @@ def run(spark: SparkSession, config: Config, path: str | None = None, kind: str
     def model() -> None:
         names = features.resolve(out["grid"])
         table = keep(features.folds(features.feature_table(out["grid"], names), 5, seed=config.seed), "features")
-        out["cv"] = keep(train.block_cv(table, names, kind=kind), "cv")
-        fit = train.fit_boosted if kind == "boosted" else train.fit_linear
-        out["model"] = fit(table, names)
+        out["cv"] = keep(forest.forest_cv(table, names) if kind == "forest" else train.block_cv(table, names, kind=kind), "cv")
+        out["model"] = {"boosted": train.fit_boosted, "linear": train.fit_linear, "forest": forest.fit_forest}[kind](table, names)
         rmse = out["cv"].filter("fold IS NULL").first()["rmse"]
-        out["predicted"] = keep(out["model"].predict_with_sigma(out["grid"], rmse or 0.0).select("row", "col", "lst", "lst_pred", "lst_pred_uncertainty"), "predicted")
+        sigma = F.when(F.col("lst_pred").isNotNull(), F.lit(float(rmse or 0.0)))
+        out["predicted"] = keep(out["model"].predict(out["grid"]).withColumn("lst_pred_uncertainty", sigma).select("row", "col", "lst", "lst_pred", "lst_pred_uncertainty"), "predicted")
         out["table"] = table
         if path:
             out["model"].save(spark, f"{path}/model")
@@ -115,7 +114,10 @@ def run(spark: SparkSession, config: Config, path: str | None = None, kind: str
 
     def explain() -> None:
         t, m = out["table"], out["model"]
-        shap, shuffled = attribution.shapley_importance(t, m), attribution.permutation_importance(t, m)
+        if kind == "forest":
+            shap, shuffled = keep(forest.shapley_importance(t, m), "shapley"), forest.permutation_by_prediction(t, m)
+        else:
+            shap, shuffled = attribution.shapley_importance(t, m), attribution.permutation_importance(t, m)
         out["importance"] = keep(shap.unionByName(shuffled), "importance")
         out["families"] = keep(attribution.by_family(shap), "families")
         out["signs"] = keep(attribution.sign_audit(shap), "signs")
@@ -185,8 +187,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--budget", type=float), p.add_argument("--area-share", type=float)  # noqa: E702
     p.add_argument("--optimizer", choices=strategy.METHODS, default="greedy")
     p.add_argument("--no-equity", action="store_true")
-    p.add_argument("--model", choices=("linear", "boosted"), default="boosted")
+    p.add_argument("--model", choices=("linear", "boosted", "forest"), default="boosted")
     p.add_argument("--steps", nargs="+", choices=STEPS, default=list(STEPS))
+    p.add_argument("--seconds", type=float, help="the longest that a step may take")
     p.add_argument("--out", help="folder for tables and report; any store that Spark reaches")
     return p
 
@@ -204,7 +207,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(f"error: {x}", file=sys.stderr)
         return 2
     spark = spark or SparkSession.builder.appName("thermogrid").getOrCreate()
-    out = run(spark, config, args.out, args.model, tuple(args.steps), **({"path": args.grid} if args.mode == "scenes" else {}))
+    out = run(spark, config, args.out, args.model, tuple(args.steps), args.seconds, **({"path": args.grid} if args.mode == "scenes" else {}))
     print(out["report"])
     return 1 if out["errors"] else 0
 
