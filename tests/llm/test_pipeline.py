@@ -135,3 +135,38 @@ def test_run_against_plain_python(spark, folder):
         n = len(t.encode(x or "", add_special_tokens=False).ids) + 1
         tokens[i, n] += n
     assert pieces == tokens
+
+
+CLASHING = "doc_id long, text string, n_chars int, toxic_score string, toxic_predicted string, row_number int, _n int, _id string, grp string, text_sha int, lost_id string, text_changed string, score double, predicted int, class_id long, keep_id long"
+
+
+def test_stages_with_empty_tables_long_texts_and_clashing_names(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    words = lambda n: " ".join(f"k{rng.randrange(10**6)}" for _ in range(n))
+    long, passage = words(400_000), words(60)  # longer than any slice
+    texts = [long, long, words(30) + " " + passage, passage + " " + words(30), "", None, words(8), words(50) + " vile nasty"]
+    rows = [(k, t, len(t or ""), "a", "b", 1, 2, "c", "d", 3, "e", "f", 0.5, 1, 7, 8) for k, t in enumerate(texts)]
+    labels = [(k, int(k == 7)) for k in range(8)] + [(900 + k, k % 2) for k in range(4)]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, CLASHING)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        assert none.columns == docs.columns and none.count() == 0, name
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = {r["doc_id"]: r for r in out.collect()}
+        for k, r in got.items():  # what users' columns hold stays
+            assert tuple(r)[3:] == rows[k][3:], (name, k)
+        if name in ("exact_dedup", "near_dedup"):
+            assert len(got) == 6 and (1 if name == "exact_dedup" else 0) in got and len({4, 5} & set(got)) == 1
+        elif name == "substring_dedup":
+            assert got[1]["text"] == "" and got[0]["text"] == long and passage not in got[3]["text"] and got[3]["n_chars"] == len(got[3]["text"])
+        else:
+            assert {0, 1, 2, 3, 4, 5, 6} <= set(got)
+    pack = corpus_pipeline.STAGES[-1][1]
+    assert pack(spark, docs.limit(0), str(tmp_path)).count() == 0
+    pieces = pack(spark, docs, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in pieces} == set(range(8)) and sum(r["length"] for r in pieces if r["doc_id"] == 0) == next(r["doc_tokens"] for r in pieces if r["doc_id"] == 0) > 400_000

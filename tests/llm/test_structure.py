@@ -288,3 +288,129 @@ def test_one_long_conversation_with_long_texts(spark):
     (r,) = conversations.repair_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert r["audit"] == "K" * 1200 and r["cost"] == 0 and r["gaps"] == 0
     assert r["repaired_sha256"] == hashlib.sha256("\n".join(f"{a}:{b}" for _, _, a, b in rows).encode()).hexdigest()
+
+
+def test_queries_travel_only_to_shelves_that_can_hold_better(spark):
+    from thermogrid.llm import topk
+
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((16, 14)) * 3
+    v = np.floor(256 * (centres[np.arange(1600) % 16] + 0.1 * rng.standard_normal((1600, 14)))) / 256
+    df = spark.createDataFrame([(int(i), [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+    sent, plain = [], topk.promising
+
+    def counted(asked, ends, portion):
+        out = plain(asked, ends, portion)
+        sent.append((out.count(), asked.count(), ends.select("dim", "shelf").distinct().count()))
+        return out
+
+    q = np.floor(256 * v).astype(np.int64)
+    scores = q @ q.T
+    want = set()
+    for i in range(0, 1600, 50):
+        best = sorted((-scores[i, j], j) for j in range(1600) if j != i)[:5]
+        want |= {(i, k + 1, j, int(-s)) for k, (s, j) in enumerate(best)}
+    try:
+        for portion in (topk.PORTION, 40):  # all shelves at once, and a few at a time
+            topk.promising = lambda asked, ends, portion=portion: counted(asked, ends, portion)
+            assert {tuple(r) for r in topk.top_k(df, df.filter("vec_id % 50 = 0"), block=16).collect()} == want
+    finally:
+        topk.promising = plain
+    assert sent[0] == sent[1] and sent[0][0] < 0.5 * sent[0][1] * (sent[0][2] - 1)
+    wide = np.array([[2**40, 2**40]])
+    with pytest.raises(OverflowError):
+        topk.products(wide, wide)
+
+
+def _plain_label_model(votes, prior, start, groups, rounds):
+    """EM over the groups' joint outcomes, one row at a time."""
+    p = list(start)
+    for _ in range(rounds):
+        laws = []
+        for g in groups:
+            sums = [{}, {}]
+            for row, q in zip(votes, p, strict=True):
+                key = tuple(row[j] for j in g)
+                for side, w in ((0, q), (1, 1 - q)):
+                    sums[side][key] = sums[side].get(key, 0.0) + w
+            n = 3 ** len(g)
+            totals = [sum(p) + 0.5 * n, sum(1 - q for q in p) + 0.5 * n]
+            laws.append(lambda key, sums=sums, totals=totals: [(s.get(key, 0.0) + 0.5) / t for s, t in zip(sums, totals, strict=True)])
+        fresh = []
+        for row, prior_one in zip(votes, prior, strict=True):
+            yes, no = prior_one, 1 - prior_one
+            for g, law in zip(groups, laws, strict=True):
+                a, b = law(tuple(row[j] for j in g))
+                yes, no = yes * a, no * b
+            fresh.append(min(max(yes / (yes + no), 1e-4), 1 - 1e-4))
+        p = fresh
+    return p
+
+
+def test_label_model_equals_plain_em_over_joint_outcomes():
+    from thermogrid.llm import toxicity
+
+    rng = np.random.default_rng(2)
+    y = rng.random(400) < 0.3
+    votes = np.column_stack([np.where(rng.random(400) < 0.3, 0, np.where(rng.random(400) < 0.85, np.where(y, 1, -1), np.where(y, -1, 1))) for _ in range(4)])
+    votes = np.column_stack([votes, votes[:, 0]])  # a pair that goes together
+    prior, start = np.full(400, 0.3), np.where((votes == 1).sum(1) > 1, 0.8, 0.2)
+
+    def pairs(p):
+        p = np.array(p)
+        mean = [(votes * q[:, None]).sum(0) / q.sum() for q in (p, 1 - p)]
+        return toxicity.paired(votes - p[:, None] * mean[0] - (1 - p[:, None]) * mean[1])
+
+    for rounds in (3, 9):
+        got, right, groups = toxicity.label_model(votes, prior, start, rounds)
+        third = rounds // 3
+        p = _plain_label_model(votes.tolist(), prior, np.clip(start, 0.02, 0.98), [(j,) for j in range(5)], third)
+        for n in (third, rounds - 2 * third):  # pairs are looked for twice
+            told = pairs(p)
+            p = _plain_label_model(votes.tolist(), prior, p, told, n)
+        assert told == groups and (0, 4) in groups and np.allclose(p, got, atol=1e-6)
+        said = (votes != 0).sum(0)
+        assert np.allclose(right, [sum(q if v == 1 else 1 - q for v, q in zip(votes[:, j], got, strict=True) if v) / said[j] for j in range(5)])
+
+
+def test_scores_equal_a_plain_scorer(spark):
+    from thermogrid.llm import toxicity
+    from thermogrid.llm import words as W
+    from thermogrid.llm.store import Workspace
+
+    rng = random.Random(13)
+    mild = [f"w{k}x" for k in range(400)]
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        w = [rng.choice(mild) for _ in range(rng.choice([10, 60, 300]))]
+        for _ in range(rng.randint(2, 5) if toxic else 0):
+            w[rng.randrange(len(w))] = rng.choice(["Nasty", "vile", "grimmer"])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), Workspace(spark, "plain"))
+    asked = [t for _, t in rows[:60]] + ["", "#$% &&", "NASTY VILE!! GRIMMER", "so so so so", "vile " + "word " * 400, "é Élan nastyé", "a" * 9000]
+    got = model.score(pa.array(asked))
+    for text, score in zip(asked, got, strict=True):
+        data = text.encode()
+        plain = [m.group() for m in re.finditer(rb"(?:[0-9A-Za-z]|[\x80-\xff])+", data)]
+        seen = set()
+        for kind, (hashes, column) in model.kinds.items():
+            for w in plain:
+                part = w[:kind] if kind else w
+                if kind and len(w) <= kind:
+                    continue
+                one = W.Words(np.frombuffer(part, np.uint8), np.array([0]), np.array([len(part)]), np.array([0, 1]))
+                h = int(toxicity.terms(W.Words(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]), np.array([0, 1])), kind)[0][0]) if kind else int(one.hashes(toxicity._LOWERED)[0])
+                seen |= {int(c) for x, c in zip(hashes.tolist(), column.tolist(), strict=True) if x == h}
+        n, count = len(seen), len(plain)
+        chance = n == 1 and count > toxicity.CHANCE
+        loud = sum(len(w) > 2 and 65 <= w[0] <= 90 and 65 <= w[-1] <= 90 for w in plain) / max(count, 1)
+        signs = min(sum(b in b"#$%&*|!<>{}" for b in data) / max(count, 1), 3)
+        same = sum(a.lower() == b.lower() for a, b in zip(plain, plain[1:], strict=False)) / max(count, 1)
+        z = 0.0 if chance else sum(model.weights[c] for c in seen)
+        more = [n >= 1 and not chance, n >= 2, chance, 0.0 if chance else min(n / max(count / 100, 1), 3), loud, signs, same, count > 0]
+        z += sum(w * float(v) for w, v in zip(model.weights[model.n_terms :], more, strict=True)) + model.bias
+        assert score == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-6), text[:40]
+    assert got[62] > 0.5 > got[64]  # several terms, and a single one among many words

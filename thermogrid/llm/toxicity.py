@@ -4,7 +4,8 @@
    lexicons, chosen by greedy multi-cover: a term counts only as far as it reaches toxic texts that fewer than
    ``COVER`` chosen terms reach.
 2. Each lexicon and each pattern (shouting, symbol noise, repetition, several hits, no hit) is a voter that says
-   toxic, clean or nothing about labelled and unlabelled texts.
+   toxic, clean or nothing about labelled and unlabelled texts.  Word beginnings also meet harmless words: a single
+   hit in more than ``CHANCE`` words counts as none.
 3. A generative label model estimates by EM how often each voter is right, and the joint votes of the pairs of voters
    that go together given the label.  Annotators' labels are no voters: they start the model, and no more.
 4. A linear classifier (ridge logistic regression) over the terms and patterns is trained on the posterior labels.
@@ -33,7 +34,9 @@ COVER = 3
 LEXICONS = 16
 #: Bytes of the word beginnings that are terms beside the whole word (0).
 KINDS = (0, 4, 5, 6)
-PATTERNS = 4
+PATTERNS = 5
+#: A single term in a text of more words than this may be there by chance, as word beginnings are.
+CHANCE = 150
 THRESHOLD = 0.5
 
 
@@ -51,7 +54,7 @@ _LOWERED = W._BYTE[W.LOWER]
 
 
 def patterns(words: W.Words, texts: int) -> np.ndarray:
-    """Per text: share of words in capitals, symbols to words (or to one), share of words equal to the one before, more than 0 words."""
+    """Per text: share of words in capitals, symbols to words (or to one), share of words equal to the one before, more than 0 words, number of words."""
     owner, n = words.owner(), np.maximum(words.counts, 1)
     out = np.zeros((texts, PATTERNS))
     lead, last = words.data[words.starts], words.data[words.ends - 1]
@@ -65,6 +68,7 @@ def patterns(words: W.Words, texts: int) -> np.ndarray:
     same = np.flatnonzero((h[1:] == h[:-1]) & (owner[1:] == owner[:-1])) + 1
     out[:, 2] = np.bincount(owner[same], minlength=texts) / n
     out[:, 3] = words.counts > 0
+    out[:, 4] = words.counts
     return out
 
 
@@ -98,10 +102,16 @@ def present(words: W.Words, kinds: dict[int, tuple[np.ndarray, np.ndarray]], n:
     return out
 
 
+def by_chance(hits: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    """Whether a text has a single term in many words."""
+    return (hits.sum(1) == 1) & (shape[:, 4] > CHANCE)
+
+
 def design(hits: np.ndarray, shape: np.ndarray) -> np.ndarray:
-    """What the classifier sees: terms, whether any or several occur, and the patterns."""
-    n = hits.sum(1)
-    return np.column_stack([hits, n >= 1, n >= 2, shape])
+    """What the classifier sees: terms, whether any, several or a chance one occur, terms to a hundred words, and the patterns."""
+    n, chance = hits.sum(1), by_chance(hits, shape)
+    dense = np.minimum(n / np.maximum(shape[:, 4] / 100, 1), 3)
+    return np.column_stack([hits * ~chance[:, None], (n >= 1) & ~chance, n >= 2, chance, dense * ~chance, shape[:, :4]])
 
 
 def by_kind(kind: np.ndarray, h: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -170,11 +180,11 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
 
 def voters(hits: np.ndarray, shape: np.ndarray) -> np.ndarray:
     """The votes of the lexicons and patterns."""
-    out, n = [], hits.sum(1)
+    out, n, chance = [], hits.sum(1), by_chance(hits, shape)
     for k in range(min(LEXICONS, hits.shape[1])):
-        out.append((hits[:, k::LEXICONS].sum(1) > 0).astype(int))
+        out.append(((hits[:, k::LEXICONS].sum(1) > 0) & ~chance).astype(int))
     out.append((n >= 2).astype(int))
-    out.append(np.where(n == 0, -1, 0))
+    out.append(np.where((n == 0) | chance, -1, 0))
     out.append(np.where(shape[:, 0] > 0.3, 1, np.where(shape[:, 0] == 0, -1, 0)))
     out.append(np.where(shape[:, 1] > 0.5, 1, np.where(shape[:, 1] == 0, -1, 0)))
     out.append(np.where(shape[:, 2] > 0.3, 1, 0))
@@ -206,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, work: Workspace, sample: int = SAMPL
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
-        return Model({}, 0, np.zeros(2 + PATTERNS), float(np.log(prior / (1 - prior))))
+        return Model({}, 0, np.zeros(design(np.zeros((1, 0)), np.zeros((1, PATTERNS))).shape[1]), float(np.log(prior / (1 - prior))))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
