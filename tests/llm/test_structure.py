@@ -414,3 +414,29 @@ def test_scores_equal_a_plain_scorer(spark):
         z += sum(w * float(v) for w, v in zip(model.weights[model.n_terms :], more, strict=True)) + model.bias
         assert score == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-6), text[:40]
     assert got[62] > 0.5 > got[64]  # several terms, and a single one among many words
+
+
+@pytest.mark.parametrize("size", [2, 3, 7])
+def test_deep_nodes_equal_common_prefixes_of_all_suffixes(size):
+    from thermogrid.llm.subtrees import deep_nodes
+
+    rng = random.Random(size)
+    for _ in range(30):
+        texts = [[rng.choice("ab" if size < 7 else "a") + ("" if rng.random() < 0.95 else "x") for _ in range(rng.randint(0, 40))] for _ in range(rng.randint(0, 5))]
+        flat = [w for t in texts for w in t]
+        h = np.array([hash(w) & 0xFFFFFFFF for w in flat], np.uint64)
+        room = np.array([len(t) - k for t in texts for k in range(len(t))], np.int64)
+        suffix = [t[k:] for t in texts for k in range(len(t))]
+        want = {}
+        for k, s in enumerate(suffix):
+            if len(s) >= size:
+                want.setdefault(tuple(s[:size]), []).append(k)
+        want = {key: v for key, v in want.items() if len(v) > 1}
+        got = deep_nodes(h, room, size)
+        parts = np.split(got.leaves, got.begin[1:]) if len(got.begin) else []
+        assert sorted(sorted(p.tolist()) for p in parts) == sorted(want.values())
+        for part, depth in zip(parts, got.depth.tolist(), strict=True):
+            shared = 0
+            while all(len(suffix[k]) > shared and suffix[k][shared] == suffix[part[0]][shared] for k in part):
+                shared += 1
+            assert depth == shared >= size

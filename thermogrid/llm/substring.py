@@ -1,4 +1,4 @@
-"""Removal of long repeated passages by prefix-partitioned suffix groups.
+"""Removal of long repeated passages by prefix-partitioned suffix trees.
 
 Each window of ``SIZE`` words belongs to one suffix, the one that starts at the window's smallest hashed
 prefix of a given length; a passage that repeats has the same suffixes at the same places in both
@@ -6,8 +6,8 @@ copies, so only these sparse suffixes are kept.  They are partitioned by prefix:
 
 * a prefix that occurs in one document only has no repeated window and goes no further;
 * a prefix of at most ``GROUP`` suffixes, counted with their repeats inside a document, makes a group that fits in
-  memory.  In it the windows are named by prefix doubling over the words: windows that get the same name pass
-  through the same node of depth ``SIZE`` of the group's suffix tree, and each such node keeps its smallest document;
+  memory.  Its subtree is built (``subtrees``): sorted suffixes with the lengths of their common prefixes, and the
+  internal nodes of ``SIZE`` words and more, whose leaves share a repeat.  Each such node keeps its smallest document;
 * a prefix with more suffixes is lengthened (``PREFIXES``), and its windows are dealt anew by their smallest hashed
   prefix of the new length.  What is still too large at the last length goes by whole runs of such windows: equal
   runs are reduced to their smallest document before the shuffle, however many there are, and only the runs of those
@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
 from .store import Workspace, fresh, row_key
+from .subtrees import deep_nodes
 
 SIZE = 50
 PREFIXES = (16, 32)
@@ -61,18 +62,6 @@ def runs(key: np.ndarray, place: np.ndarray, among: np.ndarray | None = None) ->
     return key[at[begin]], at[begin], np.diff(np.append(begin, len(at)))
 
 
-def same_windows(h: np.ndarray, size: int = SIZE) -> np.ndarray:
-    """A rank for the window of ``size`` words at each place: equal where the windows are, by prefix doubling."""
-    rank, width = np.unique(h, return_inverse=True)[1].astype(np.int64), 1
-    while width * 2 <= size:
-        rank = np.unique(rank[: len(rank) - width] * np.int64(len(h) + 1) + rank[width:], return_inverse=True)[1]
-        width *= 2
-    if width < size:
-        m = len(h) - size + 1
-        rank = np.unique(rank[:m] * np.int64(len(h) + 1) + rank[size - width :][:m], return_inverse=True)[1]
-    return rank
-
-
 def digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -215,17 +204,17 @@ def repeated_spans(docs: DataFrame, work: Workspace, size: int = SIZE, prefixes:
         words = W.split(table.column("words").combine_chunks())
         key = np.asarray(table.column("key")).view(np.uint64)
         row = words.owner()
-        rank = same_windows(W.mix(words.hashes() ^ W.mix(key)[row]), size)  # words count only within their group
-        at = np.flatnonzero(row[: len(rank)] == row[size - 1 :][: len(rank)])
-        node, owner = rank[at], row[at]
-        doc = np.asarray(table.column("place"))[owner]
-        least = np.full(int(rank.max()) + 1, _LAST)
-        np.minimum.at(least, node, doc)
-        hit = doc > least[node]
+        room = words.first[1:][row] - np.arange(len(row))
+        nodes = deep_nodes(W.mix(words.hashes() ^ W.mix(key)[row]), room, size)  # words count only within their group
+        if not len(nodes.begin):
+            return
+        doc = np.asarray(table.column("place"))[row[nodes.leaves]]
+        hit = doc > np.repeat(np.minimum.reduceat(doc, nodes.begin), nodes.each())
         if not hit.any():
             return
-        start = at - words.first[owner] + np.asarray(table.column("start"))[owner]
-        o, s = owner[hit], start[hit]
+        at = np.sort(nodes.leaves[hit])
+        o = row[at]
+        s = at - words.first[o] + np.asarray(table.column("start"))[o]
         new = np.ones(len(o), bool)
         new[1:] = (o[1:] != o[:-1]) | (s[1:] != s[:-1] + 1)
         begin = np.flatnonzero(new)
@@ -254,7 +243,9 @@ def repeated_spans(docs: DataFrame, work: Workspace, size: int = SIZE, prefixes:
         big = work.keep(hot.select("rid", "place", "text").join(ahead, "rid").mapInArrow(windows, "rid long, place long, one long, two long, start long"), "windows")
         least = big.groupBy("one", "two").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).filter("lo < hi")
         least = work.keep(least.select("one", "two", "lo"), "least")
-        later = big.join(least, ["one", "two"]).filter("place > lo").select("rid", "start", F.lit(1).cast("long").alias("windows"))
+        later = big.join(least, ["one", "two"]).filter("place > lo").select("rid", "start").distinct()
+        island = F.col("start") - F.row_number().over(Window.partitionBy("rid").orderBy("start"))  # the same along a run of starts
+        later = later.withColumn("_i", island).groupBy("rid", "_i").agg(F.min("start").alias("start"), F.count("*").alias("windows")).drop("_i")
         spans = spans.unionByName(later)
     by_text = spans.groupBy("rid").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
     hit = found.select("rid", "doc_id", "text_sha", "text").join(by_text, "rid").select("doc_id", "text_sha", "text", "spans")
