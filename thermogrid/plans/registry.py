@@ -10,7 +10,7 @@ from ..functions.formulas import column, exact
 from ..operators import fusion, stats, stencil
 from ..sources.cells import cells, cells_sql
 from ..sources.shared import kept
-from . import byhand, decisions, learning, scenarios, sensing, transfers
+from . import byhand, decisions, learning, products, scenarios, sensing, transfers
 
 _IND = ("air_temp", "rel_humidity")
 _DELTA = M.albedo_to_delta("albedo * 0.1")
@@ -148,7 +148,7 @@ _est = lambda g: fusion.long_form(g, list(_LONG), _LONG)
 _pairs = lambda g: g.select("lcz", F.col("lst").alias("y_true"), column("35.0 - 8.0 * ndvi - 10.0 * albedo + 12.0 * impervious_frac").alias("y_pred"))
 _METRICS = ("rmse", "mae", "bias", "ubrmse", "r2", "nse", "ccc", "kge")
 
-QUERIES = decisions.QUERIES | learning.QUERIES | scenarios.QUERIES | sensing.QUERIES | transfers.QUERIES | {f"fn_{n}": _scalar(x) for n, x in SCALARS.items()} | {
+QUERIES = decisions.QUERIES | learning.QUERIES | products.QUERIES | scenarios.QUERIES | sensing.QUERIES | transfers.QUERIES | {f"fn_{n}": _scalar(x) for n, x in SCALARS.items()} | {
     "surface_hotspots": _cells(_hotspots),
     "hotspot_stats": _cells(lambda g: _hotspots(g).agg(F.count("*").alias("cells"), F.sum("hotspot_mask").alias("hot"), F.round(F.avg("hotspot_mask") * 100, 5).alias("hot_pct"))),
     "lst_zscore": _cells(lambda g: _rounded(stats.zscore(g, "lst", "z").select("row", "col", "z"), "z")),
@@ -200,7 +200,7 @@ _WHOLE = "SELECT user_id, event_type, round({f}, 5) AS value FROM events GROUP B
 _REDUCE = {"median": "median(value)", "mean": "avg(value)", "min": "min(value)", "max": "max(value)", "mosaic": "max(value) FILTER (ts = last)"}
 _LAST = "(SELECT *, max(ts) FILTER (value IS NOT NULL) OVER (PARTITION BY user_id, event_type) AS last FROM events)"
 
-ORACLE = decisions.ORACLE | scenarios.ORACLE | sensing.ORACLE | transfers.ORACLE | {f"fn_{n}": f"WITH {_CELLS} SELECT row, col, round(CAST({exact(x)} AS DOUBLE) + {TIE!r}, 5) AS value FROM cells" for n, x in SCALARS.items()} | {
+ORACLE = decisions.ORACLE | products.ORACLE | scenarios.ORACLE | sensing.ORACLE | transfers.ORACLE | {f"fn_{n}": f"WITH {_CELLS} SELECT row, col, round(CAST({exact(x)} AS DOUBLE) + {TIE!r}, 5) AS value FROM cells" for n, x in SCALARS.items()} | {
     "surface_hotspots": f"{_HOT} SELECT * FROM hot",
     "hotspot_stats": f"{_HOT} SELECT count(*) AS cells, CAST(sum(hotspot_mask) AS BIGINT) AS hot, round(avg(hotspot_mask) * 100, 5) AS hot_pct FROM hot",
     "lst_zscore": f"WITH {_CELLS}, {_G} SELECT row, col, round((lst - m) / s, 5) AS z FROM cells CROSS JOIN g",
