@@ -190,16 +190,16 @@ def reduced(observations: DataFrame, bands: dict[str, Band], start: str, end: st
     x = x.select(*CELL, "ts", F.when(~F.isnan(value), value).alias("value"), F.explode(by_band).alias("_k"))
     if timeless:
         x = x.filter(F.col("_k").isin(timeless) | within)
-    gathered = [k for (_, _, how), k in code.items() if how != "mean"]
     rates = [k for (_, _, how), k in code.items() if how == "rate"]
-    rows = x.filter(~F.col("_k").isin(gathered)) if gathered else x
-    if gathered:
-        # one exchange: the moments, their order and (for these rows) the last aggregate all go by the cell
-        moments = x.filter(F.col("_k").isin(gathered)).repartition(*CELL).groupBy(*CELL, "_k", "ts").agg(F.avg("value").alias("value"))
+    rows = x.filter(~F.col("_k").isin(timeless + rates)) if timeless or rates else x
+    # one exchange: the moments, their order and (for these rows) the last aggregate all go by the cell
+    moments = lambda ks: x.filter(F.col("_k").isin(ks)).repartition(*CELL).groupBy(*CELL, "_k", "ts").agg(F.avg("value").alias("value"))
+    if timeless:
+        rows = rows.unionByName(moments(timeless).select(*rows.columns))
+    if rates:
         w = Window.partitionBy(*CELL, "_k").orderBy("ts")
         step = F.when(F.lag("ts").over(w).isNotNull(), F.when(F.hour("ts") == 1, F.col("value")).otherwise(F.col("value") - F.lag("value").over(w))) / 3600.0
-        moments = moments.withColumn("_step", step).withColumn("value", F.when(F.col("_k").isin(rates), F.col("_step")).otherwise(F.col("value"))).drop("_step")
-        rows = rows.unionByName(moments.select(*rows.columns))
+        rows = rows.unionByName(moments(rates).select(*CELL, "ts", step.alias("value"), "_k"))
 
     def one(b: Band) -> Column:
         mine = F.col("_k") == code[b.product, b.band, b.how]
