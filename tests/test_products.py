@@ -3,12 +3,14 @@
 import datetime as dt
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
+from thermogrid.config import Config
 from thermogrid.operators.regrid import Frame
-from thermogrid.sources import products
+from thermogrid.sources import products, synthetic
 from thermogrid.sources.products import Band, Group
 
 SCHEMA = "product string, band string, ts timestamp, row int, col int, value double"
@@ -35,6 +37,9 @@ def _plain(rows, bands, start, end):
             series = sorted((ts, mean(vs)) for ts, vs in moments.items())
             if b.how == "mean":
                 got = mean([v for _, v in seen])
+            elif b.how == "median":
+                some = [v for _, v in seen if v is not None]
+                got = statistics.median(some) if some else None
             elif b.how == "latest":
                 got = series[-1][1]
             elif b.how == "mosaic":
@@ -48,7 +53,7 @@ def _plain(rows, bands, start, end):
 
 def test_reductions_equal_plain_python(spark):
     rng = random.Random(5)
-    bands = {"m": Band("a", "x", scale=0.1, offset=-2.0), "r": Band("a", "acc", "rate"), "l": Band("b", "x", "latest"), "s": Band("b", "x", "mosaic"), "same": Band("b", "x")}
+    bands = {"m": Band("a", "x", scale=0.1, offset=-2.0), "r": Band("a", "acc", "rate"), "l": Band("b", "x", "latest"), "s": Band("b", "x", "mosaic"), "same": Band("b", "x"), "mid": Band("c", "x", "median")}
     rows = []
     for cell in range(12):
         for product, band in (("a", "x"), ("a", "acc"), ("b", "x"), ("b", "unused"), ("c", "x")):
@@ -117,7 +122,7 @@ def test_nothing_observed_and_wrong_requests(spark):
     out = products.build_features(spark.createDataFrame([], SCHEMA), "2024-01-01", "2024-02-01")
     assert out.table.count() == 0 and {"air_temp", "albedo", "svf", "slope", "anthro_heat"} <= set(out.table.columns)
     assert set(out.skipped) == set(products.default_groups(1.0)) and set(out.missing) >= {"air_temp", "population", "slope"}
-    for wrong in (lambda: Band("a", "b", "median"), lambda: Group({"x": Band("a", "b")}, {"x": "1"}), lambda: products.build_features(spark.createDataFrame([], SCHEMA), "2024-01-01", "2024-02-01", {})):
+    for wrong in (lambda: Band("a", "b", "mode"), lambda: Group({"x": Band("a", "b")}, {"x": "1"}), lambda: products.build_features(spark.createDataFrame([], SCHEMA), "2024-01-01", "2024-02-01", {})):
         with pytest.raises(ValueError):
             wrong()
 
@@ -128,3 +133,29 @@ def test_zone_layers_and_parted_evaporation(spark):
     rows = [("pml_v2", b, _at(h), 0, 0, v + h) for b, v in (("ec", 1.0), ("es", 2.0), ("ei", 4.0)) for h in range(3)] + [("mod16a2gf", "et", _at(0), 0, 0, 50.0)]
     out = products.build_features(spark.createDataFrame(rows, SCHEMA), str(_at(0)), str(_at(9)), {"parted": products.PARTED_ET, "surface": products.SURFACE})
     assert out.table.first()["et"] == pytest.approx(10.0)
+
+
+def test_study_grid_from_observations(spark, tmp_path):
+    rows = [("landsat", "st_b10", _at(h), 0, c, 44000.0 + 100 * h) for h in range(3) for c in range(2)] + [("mod11a1", "lst_day_1km", _at(h), 0, c, 15100.0 + 50 * h) for h in range(3) for c in range(1, 3)]
+    rows += [("mod11a1", "lst_night_1km", _at(0), 0, 2, 14700.0), ("black_marble", "gap_filled_ntl", _at(0), 0, 3, 5.0), ("landsat", "st_b10", _at(24 * 400), 0, 0, 60000.0)]
+    spark.createDataFrame(rows, SCHEMA).write.partitionBy("product").parquet(str(tmp_path / "seen"))
+    config = Config(mode="observations", start="2024-06-01", end="2024-06-03", resolution_m=100.0)
+    grid = {r["col"]: r for r in synthetic.load(spark, config, path=str(tmp_path / "seen")).collect()}
+    fine, day = 44100 * 0.00341802 + 149 - 273.15, 15150 * 0.02 - 273.15
+    assert grid[0]["lst"] == pytest.approx(fine) and grid[0]["lst_uncertainty"] == 1.0 and grid[2]["lst"] == pytest.approx(day) and grid[2]["lst_uncertainty"] == pytest.approx(2.5)
+    assert grid[1]["lst"] == pytest.approx((fine + 0.16 * day) / 1.16) and grid[1]["lst_uncertainty"] == pytest.approx(1.16**-0.5)
+    assert grid[2]["lst_night"] == pytest.approx(20.85) and grid[3]["lst"] is None and grid[3]["anthro_heat"] == pytest.approx(75.0)
+    with pytest.raises(ValueError):
+        synthetic.load(spark, config)
+
+
+def test_reach_of_measures(spark):
+    from thermogrid.operators import measures
+
+    cells = [(0, 0, 0.2, 0.3, 0.0, 0.0), (0, 1, 0.2, 0.3, 0.0, 9.0), (5, 5, 0.9, 0.1, 0.0, 3.0), (6, 6, None, 0.1, 0.0, None)]
+    grid = spark.createDataFrame(cells, "row int, col int, impervious_frac double, ndvi double, water_frac double, building_height double")
+    got = {r["measure"]: (r["possible_cells"], r["cost_everywhere"]) for r in measures.reach(grid).collect()}
+    for name in measures.MEASURES:
+        n = measures.possible(grid, name).filter("possible").count()
+        assert got[name] == (n, n * measures.measure(name).cost_per_m2 * 10_000.0), name
+    assert got["urban_park"][0] == 2 and got["green_wall"][0] == 1 and got["cool_roof"][0] == 1

@@ -13,7 +13,7 @@ CITIES = {
     "ahmedabad": ((72.45, 22.92, 72.72, 23.15), "EPSG:32643", "Ahmedabad"),
     "bengaluru": ((77.46, 12.83, 77.78, 13.14), "EPSG:32643", "Bengaluru"),
 }
-MODES = ("synthetic", "scenes")
+MODES = ("synthetic", "scenes", "observations")
 
 
 @dataclass(frozen=True)

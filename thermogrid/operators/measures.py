@@ -105,6 +105,17 @@ def possible(grid: DataFrame, name: str, out: str = "possible", resolution_m: fl
     return grid.join(large.select("row", "col", (F.col("patch") == 1).alias(out)), ["row", "col"], "left").withColumn(out, F.coalesce(out, F.lit(False)))
 
 
+def reach(grid: DataFrame, names: list[str] | None = None, resolution_m: float = 100.0) -> DataFrame:
+    """measure, possible_cells, cost_everywhere: where each measure can be placed, and its cost there, in one aggregate."""
+    names = list(names or MEASURES)
+    x = grid
+    for k, n in enumerate(names):
+        x = possible(x, n, f"_p{k}", resolution_m)
+    counts = x.agg(*[F.count(F.when(F.col(f"_p{k}"), 1)).alias(n) for k, n in enumerate(names)]).unpivot([], names, "measure", "possible_cells")
+    cost = F.create_map(*[F.lit(v) for n in names for v in (n, float(measure(n).cost_per_m2))])
+    return counts.withColumn("cost_everywhere", F.col("possible_cells") * cost[F.col("measure")] * float(resolution_m**2))
+
+
 def changed(name: str, mask: str, have: list[str], now: dict[str, str] | None = None) -> dict[str, str]:
     """Layer to SQL for its value after the measure, where ``mask`` (SQL) holds; every changed layer is cut to its range.
 

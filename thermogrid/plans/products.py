@@ -129,5 +129,5 @@ ORACLE = {
         SELECT row, col, {', '.join(f'round({c} + {_TIE!r}, 5) AS {c}' for c in products.REANALYSIS.layers)} FROM y""",
     "surface_layers": f"WITH {_SEEN} SELECT row, col, CAST(z AS INT) AS lcz, {', '.join(f'round({x} + {_TIE!r}, 5) AS {n}' for n, x in _VALUE.items())} FROM y",
     "missing_layers": f"""WITH {_SEEN} {' UNION ALL '.join(f"SELECT '{n}' AS layer, count({x}) AS known FROM y" for n, x in (_VALUE | {'lcz': 'z'}).items())}"""
-    + "".join(f" UNION ALL SELECT '{n}', 0" for n in products.REANALYSIS.layers),
+    + "".join(f" UNION ALL SELECT '{n}', 0" for n in ("lst", "lst_uncertainty", "lst_day", "lst_night", *products.REANALYSIS.layers)),
 }

@@ -27,7 +27,8 @@ def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measures.catalogue(spark)
+    """The measures with the cells of the grid where each is possible, and its cost on all of them."""
+    return measures.catalogue(spark).join(F.broadcast(measures.reach(_grid(spark, sf_dir))), "measure")  # one row for each measure
 
 
 def _feasible(name: str):
@@ -270,11 +271,13 @@ _RANKED = "SELECT feature, CAST(row_number() OVER (ORDER BY v DESC, feature) AS
 _SHAP = _long_sql("SELECT '{p}' AS feature, avg(abs({w} * {p} - m)) AS v, {w} * (max({p}) - min({p})) AS d FROM t CROSS JOIN (SELECT avg({w} * {p}) AS m FROM t)")
 
 ORACLE = {
-    "catalogue": """SELECT measure, place, band, CAST(cost_per_m2 AS DOUBLE) AS cost_per_m2, a::DOUBLE AS surface_lo, b::DOUBLE AS surface_hi, c::DOUBLE AS air_lo, d::DOUBLE AS air_hi, e::DOUBLE AS radiant_lo, f::DOUBLE AS radiant_hi, (a::DOUBLE + b::DOUBLE) / 2 AS surface_mid, (c::DOUBLE + d::DOUBLE) / 2 AS air_mid, changes FROM (VALUES
+    "catalogue": f"""WITH {_CELLS}, n AS ({' UNION ALL '.join(f"SELECT '{n}' AS measure, count(*) FILTER ({on}) AS possible_cells FROM cells" for n, on in _ON.items())}
+        UNION ALL SELECT 'urban_park', count(*) FROM cells c WHERE {_VACANT} AND EXISTS (SELECT 1 FROM (SELECT row AS r, col AS k FROM cells WHERE {_VACANT}) v WHERE abs(r - c.row) + abs(k - c.col) = 1 AND r BETWEEN c.row - 1 AND c.row + 1)),
+        m AS (SELECT measure, place, band, CAST(cost_per_m2 AS DOUBLE) AS cost_per_m2, a::DOUBLE AS surface_lo, b::DOUBLE AS surface_hi, c::DOUBLE AS air_lo, d::DOUBLE AS air_hi, e::DOUBLE AS radiant_lo, f::DOUBLE AS radiant_hi, (a::DOUBLE + b::DOUBLE) / 2 AS surface_mid, (c::DOUBLE + d::DOUBLE) / 2 AS air_mid, changes FROM (VALUES
         ('urban_trees', 'plantable', 'low-med', 12, 2, 12, 0.3, 2, 2, 8, 'albedo=+0.02,ndvi=+0.20,shade=+0.30,tree_frac=+0.20'), ('green_roof', 'roof', 'high', 120, 15, 45, 2, 5, 1, 3, 'albedo=+0.05,green_frac=+0.10,ndvi=+0.15'),
         ('cool_roof', 'roof', 'low', 5, 10, 30, 0.2, 2.3, 0, 1, 'albedo=+0.30'), ('cool_pavement', 'paved', 'med', 25, 5, 20, 0, 1, -3, 0, 'albedo=+0.25'), ('permeable_pavement', 'paved', 'med', 25, 2, 35, 0, 1, 0, 1, 'albedo=+0.05,soil_moisture=+0.10'),
         ('water_body', 'open', 'high', 120, 1, 3, 0.5, 3, 0, 2, 'ndwi=+0.30,soil_moisture=+0.20,water_frac=+0.50'), ('urban_park', 'vacant', 'high', 120, 1, 4.6, 0.5, 3.7, 1, 5, 'green_frac=+0.40,ndvi=+0.30,shade=+0.20,tree_frac=+0.20'),
-        ('green_wall', 'facade', 'high', 120, 2, 13.7, 1.2, 3.3, 1, 3, 'albedo=+0.03,ndvi=+0.10'), ('increase_albedo', 'any', 'low-med', 12, 5, 25, 0.2, 2, -2, 0.5, 'albedo=+0.20')) t(measure, place, band, cost_per_m2, a, b, c, d, e, f, changes)""",
+        ('green_wall', 'facade', 'high', 120, 2, 13.7, 1.2, 3.3, 1, 3, 'albedo=+0.03,ndvi=+0.10'), ('increase_albedo', 'any', 'low-med', 12, 5, 25, 0.2, 2, -2, 0.5, 'albedo=+0.20')) t(measure, place, band, cost_per_m2, a, b, c, d, e, f, changes)) SELECT m.*, possible_cells, possible_cells * cost_per_m2 * 1e4 AS cost_everywhere FROM m JOIN n USING (measure)""",
     **{f"feasibility_{n}": f"WITH {_CELLS} SELECT row, col, CAST(coalesce({on}, false) AS INT) AS possible FROM cells" for n, on in _ON.items()},
     # two hectares are two cells: vacant, and a neighbour is
     "feasibility_urban_park": f"WITH {_CELLS}, v AS (SELECT row, col FROM cells WHERE {_VACANT}) SELECT row, col, CAST(EXISTS (SELECT 1 FROM v WHERE v.row = c.row AND v.col = c.col) AND EXISTS (SELECT 1 FROM v WHERE abs(v.row - c.row) + abs(v.col - c.col) = 1 AND v.row BETWEEN c.row - 1 AND c.row + 1) AS INT) AS possible FROM cells c",

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import formulas as M
@@ -18,15 +18,15 @@ from ..operators import landcover, regrid, scenes
 from .shared import kept
 
 CELL = ["row", "col"]
-HOW = ("mean", "rate", "latest", "mosaic")
+HOW = ("mean", "median", "rate", "latest", "mosaic")
 
 
 @dataclass(frozen=True)
 class Band:
     """A band and how it is reduced over time.
 
-    ``mean`` and ``rate`` (hourly steps of a band accumulated over a day, per second) look at the window; ``latest`` (the
-    newest moment, gaps included) and ``mosaic`` (the newest known value) look at all moments.
+    ``mean``, ``median`` and ``rate`` (hourly steps of a band accumulated over a day, per second) look at the window;
+    ``latest`` (the newest moment, gaps included) and ``mosaic`` (the newest known value) look at all moments.
     """
 
     product: str
@@ -102,6 +102,23 @@ REANALYSIS = Group(
     },
 )
 
+#: Surface temperature in degC from clear pixels, sensors weighted by the inverse of their variances.
+THERMAL = Group(
+    {
+        "fine": Band("landsat", scenes.SENSORS["landsat"].band, "median", scenes.SENSORS["landsat"].scale, scenes.SENSORS["landsat"].offset - 273.15),
+        "day": Band("mod11a1", "lst_day_1km", "median", scenes.SENSORS["MOD11A1"].scale, -273.15),
+        "night": Band("mod11a1", "lst_night_1km", "median", scenes.SENSORS["MOD11A1"].scale, -273.15),
+    },
+    {
+        "weight_fine": f"CASE WHEN fine IS NOT NULL THEN {scenes.SENSORS['landsat'].sigma ** -2} ELSE 0.0 END",
+        "weight_day": f"CASE WHEN day IS NOT NULL THEN {scenes.SENSORS['MOD11A1'].sigma ** -2} ELSE 0.0 END",
+        "lst": "(coalesce(fine, 0.0) * weight_fine + coalesce(day, 0.0) * weight_day) / nullif(weight_fine + weight_day, 0.0)",
+        "lst_uncertainty": "sqrt(1.0 / nullif(weight_fine + weight_day, 0.0))",
+        "lst_day": "day",
+        "lst_night": "night",
+    },
+)
+
 AIR_QUALITY = Group(
     {"aod_055": Band("maiac_aod", "optical_depth_055", scale=0.001), "no2_column": Band("s5p_no2", "tropospheric_no2_column_number_density")},
     {"aod": "aod_055", "no2": "no2_column"},
@@ -157,11 +174,11 @@ def morphology(cell_m2: float) -> Group:
 
 
 #: Layers of a group that only other layers need.
-HELPERS = ("zone_hw", "object_height")
+HELPERS = ("zone_hw", "object_height", "weight_fine", "weight_day")
 
 
 def default_groups(cell_m2: float) -> dict[str, Group]:
-    return {"reanalysis": REANALYSIS, "air_quality": AIR_QUALITY, "surface": SURFACE, "people": PEOPLE, "morphology": morphology(cell_m2)}
+    return {"thermal": THERMAL, "reanalysis": REANALYSIS, "air_quality": AIR_QUALITY, "surface": SURFACE, "people": PEOPLE, "morphology": morphology(cell_m2)}
 
 
 def reduced(observations: DataFrame, bands: dict[str, Band], start: str, end: str) -> DataFrame:
@@ -205,6 +222,8 @@ def reduced(observations: DataFrame, bands: dict[str, Band], start: str, end: st
         mine = F.col("_k") == code[b.product, b.band, b.how]
         if b.how in ("mean", "rate"):
             return F.avg(F.when(mine, F.col("value")))
+        if b.how == "median":
+            return F.median(F.when(mine, F.col("value")))
         return F.max_by("value", F.when(mine if b.how == "latest" else mine & F.col("value").isNotNull(), F.col("ts")))
 
     wide = rows.groupBy(*CELL).agg(*[one(bands[n]).alias(n) for n in names])
@@ -268,6 +287,15 @@ def build_features(observations: DataFrame, start: str, end: str, groups: dict[s
     return Features(table, [c for c in layers if not known[c]], skipped)
 
 
+def load_observations(spark: SparkSession, config, observations: DataFrame | None = None, path: str | None = None, **options) -> DataFrame:
+    """The grid of a study from a table of observations, given or read from Parquet, over the study's window and cell size."""
+    if observations is None:
+        if path is None:
+            raise ValueError("a study from observations needs their table or its path")
+        observations = spark.read.parquet(path)
+    return build_features(observations, config.start, config.end, size_m=config.resolution_m, **options).table
+
+
 def zone_layers(grid: DataFrame, code: str = "lcz") -> DataFrame:
     """Adds svf, hw and height of each cell's climate zone (``zone_svf``, ``zone_hw``, ``zone_height``); an unknown zone is a gap."""
     return landcover.looked_up(grid, code, {k: {f"zone_{n}": v for n, v in z.items()} for k, z in ZONES.items()})

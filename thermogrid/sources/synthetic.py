@@ -16,6 +16,7 @@ from ..functions import formulas as M
 from ..functions.formulas import clip, exact
 from ..operators.stats import with_scalars
 from .cells import with_coordinates
+from .products import load_observations
 
 _PRIME = 65521
 
@@ -149,7 +150,7 @@ def load_scenes(spark: SparkSession, config: Config, path: str | None = None) ->
 
 
 #: Ways to get a grid, by mode.
-SOURCES: dict[str, Callable[..., DataFrame]] = {"synthetic": load_synthetic, "scenes": load_scenes}
+SOURCES: dict[str, Callable[..., DataFrame]] = {"synthetic": load_synthetic, "scenes": load_scenes, "observations": load_observations}
 
 
 def load(spark: SparkSession, config: Config, **options) -> DataFrame:
