@@ -130,11 +130,10 @@ def downscaled_air(grid: DataFrame, air: str = "air_temp", surface: str = "lst",
 def heat_proxy(grid: DataFrame, out: str = "anthro_heat", parts: dict[str, float] | None = None, top: float = 150.0) -> DataFrame:
     """Adds ``out`` (W/m2): lights, people and built volume, each over its 98th percentile (cut to 0 and 1), weighted."""
     parts = parts or {"nightlights": 0.5, "population": 0.3, "building_volume": 0.2}
+    have = [n for n in parts if n in grid.columns]
     total = F.lit(0.0)
-    for name, w in parts.items():
-        if name in grid.columns:
-            p = stats.quantiles(grid, name, [0.98])[0]
-            total = total + w * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(name, F.lit(0.0)) / F.lit(p if p and p > 0 else 1.0)))
+    for name, (p,) in zip(have, stats.quantile_sets(grid, [stats.Wanted(n, [0.98]) for n in have]), strict=True):
+        total = total + parts[name] * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(name, F.lit(0.0)) / F.lit(p if p and p > 0 else 1.0)))
     return grid.withColumn(out, total * top)
 
 
