@@ -12,9 +12,9 @@ bucket's centre, the text with the most company over all its bands, so a group o
 as it has members.  Pairs are verified by their exact similarity, and classes are the connected components.
 Buckets that still hold several classes are then searched whole: texts outside the bucket's largest class
 meet all its other members, in blocks of bounded size, by the bytes of a second, longer signature that only the texts
-of such buckets get; of the pairs of different classes that may reach the similarity, each text's closest becomes a
-row and is verified, and classes merge.  Where a text has more of them, more of its pairs become rows in the next
-turn, less those that are in one class by then, until none is left.
+of such buckets get.  All pairs of different classes that may reach the similarity are verified inside the block, by
+the hashed shingles that travel with its texts, and classes merge there; only links that merge two classes become
+rows, so a block returns fewer rows than it has texts however many pairs it looks at.
 """
 
 from __future__ import annotations
@@ -35,10 +35,8 @@ SIMILARITY = 0.8
 FINE, GLANCE = 1024, 128
 #: Signature coordinates of a verified pair that agree, as deviations below their expected number.
 DEVIATIONS = 4.1
-#: Each turn looks at this many times more pairs of a text.
-WIDER = 16
-#: Texts outside the largest class, and members they meet, in one block of a bucket.
-OUTER, INNER = 512, 1024
+#: Texts outside the largest class, and members they meet, in one block of a bucket; shingles of either side.
+OUTER, INNER, LOAD = 512, 1024, 1 << 21
 _RANK, _COORDINATE, _WEIGHT = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
@@ -101,12 +99,12 @@ def band_keys(column: pa.Array, bands: int = BANDS, rows: int = ROWS) -> tuple[n
     return W.mix(keys).view(np.int64), np.bincount(owner, minlength=n)
 
 
-def sketches(column: pa.Array, coordinates: int = FINE) -> tuple[np.ndarray, np.ndarray]:
-    """(number of shingles, a byte per coordinate of a longer signature) of each text."""
+def sketches(column: pa.Array, coordinates: int = FINE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of shingles, a byte per coordinate of a longer signature, hashes of the shingles text by text) of each text."""
     n = len(column)
     strip, owner = W.strips(*W.shingles(W.split(column)))
     sign = dart_minhash(strip, owner, n, coordinates)
-    return np.bincount(owner, minlength=n), (sign >> np.uint64(40)).astype(np.uint8)
+    return np.bincount(owner, minlength=n), (sign >> np.uint64(40)).astype(np.uint8), strip[np.argsort(owner, kind="stable")]
 
 
 def similarities(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -145,8 +143,8 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
             return now
 
 
-def _across(similarity: float, most: int):
-    """A function for mapInArrow over rows sorted by block: the closest pairs of different classes that may be similar enough."""
+def _across(similarity: float, most: int | None):
+    """A function for mapInArrow over rows sorted by block: what ``_compare`` finds in each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -162,11 +160,31 @@ def _across(similarity: float, most: int):
     return run
 
 
-def _compare(rows: pa.Table, similarity: float, most: int, last: bool) -> tuple[int, pa.Array, pa.Array, pa.Array]:
+class _Block:
+    """The hashed shingles of a block's texts (rows ``a`` on), for the exact similarity of one of them to many."""
+
+    def __init__(self, shingles: list[bytes], n: np.ndarray, a: int):
+        known, self.ids = np.unique(np.frombuffer(b"".join(shingles), np.uint64), return_inverse=True)
+        self.mark, self.n, self.a = np.zeros(len(known), bool), n, a
+        self.first = np.cumsum(n) - n
+
+    def similar(self, x: int, y: np.ndarray) -> np.ndarray:
+        x, y = x - self.a, y - self.a
+        own, size = self.ids[self.first[x] : self.first[x] + self.n[x]], self.n[y]
+        at = np.cumsum(size) - size
+        others = self.ids[np.arange(int(size.sum())) + np.repeat(self.first[y] - at, size)]
+        self.mark[own] = True
+        shared = np.add.reduceat(self.mark[others], at, dtype=np.int64)
+        self.mark[own] = False
+        return shared / (self.n[x] + size - shared)
+
+
+def _compare(rows: pa.Table, similarity: float, most: int | None, last: bool) -> tuple[int, pa.Array, pa.Array, pa.Array]:
     """(rows of blocks known to be whole, smaller ids, larger ids, whether more were left out) of the pairs in those blocks.
 
-    Of each asking text's pairs, the ``most`` that agree best are returned; a pair that shares several buckets comes
-    from the first of them only.
+    Without ``most`` they are pairs of classes: for every link of two classes that no link before it in the block
+    connects, their roots.  Else they are pairs of texts by signatures alone, of each asking text the ``most`` that agree
+    best.  A pair that shares several buckets is looked at in the first of them only.
     """
     if not len(rows):
         return 0, pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.bool_())
@@ -179,13 +197,13 @@ def _compare(rows: pa.Table, similarity: float, most: int, last: bool) -> tuple[
     bands = np.asarray(rows.column("bands").combine_chunks().flatten()).reshape(len(rows), -1)
     glance = np.ascontiguousarray(sketch[:, :GLANCE])
     low, least = (k * similarity - DEVIATIONS * np.sqrt(k * similarity * (1 - similarity)) for k in (glance.shape[1], sketch.shape[1]))
-    left, right, more = [], [], []
+    left, right, more, label = [], [], [], root.copy()  # label: the classes as the block's links have merged them
     for a, b in zip(edges, edges[1:], strict=False):
-        asking, y = a + np.flatnonzero(asks[a:b]), a + np.flatnonzero(~asks[a:b])
+        asking, y, block = a + np.flatnonzero(asks[a:b]), a + np.flatnonzero(~asks[a:b]), None
         for at in range(0, len(asking) if len(y) else 0, 32):
             x = asking[at : at + 32]
             nx, ny = n[x][:, None], n[y][None, :]
-            good = (root[x][:, None] != root[y][None, :]) & (np.minimum(nx, ny) >= similarity * np.maximum(nx, ny))
+            good = (label[x][:, None] != label[y][None, :]) & (np.minimum(nx, ny) >= similarity * np.maximum(nx, ny))
             good &= ~outer[y][None, :] | (rep[x][:, None] < rep[y][None, :])  # two outer texts meet twice
             u, v = np.nonzero(good)
             for part, bound in ((glance, low), (sketch, least)):
@@ -197,7 +215,20 @@ def _compare(rows: pa.Table, similarity: float, most: int, last: bool) -> tuple[
             shared = bands[x[u]] == bands[y[v]]
             once = bands[x[u], shared.argmax(1)] == band[x[u]] if len(u) else np.zeros(0, bool)  # in the first bucket that both are in
             u, v, agree = u[once], v[once], agree[once]
-            if len(u):
+            if len(u) and most is None:
+                block = block or _Block(rows.column("shingles").slice(a, b - a).to_pylist(), n[a:b], a)
+                for k in np.unique(u):
+                    own, others = x[k], y[v[u == k]]
+                    others = others[label[others] != label[own]]
+                    if not len(others):
+                        continue
+                    others = others[block.similar(own, others) >= similarity]
+                    joined, first = np.unique(label[others], return_index=True)
+                    left.append(np.repeat(root[own], len(first)))
+                    right.append(root[others[first]])
+                    if len(joined):
+                        label[a:b][np.isin(label[a:b], joined)] = label[own]
+            elif len(u):
                 order = np.lexsort((v, -agree, u))
                 u, v = u[order], v[order]
                 first = np.flatnonzero(np.diff(u, prepend=-1))
@@ -208,28 +239,35 @@ def _compare(rows: pa.Table, similarity: float, most: int, last: bool) -> tuple[
                 left.append(rep[x[u[keep]]])
                 right.append(rep[y[v[keep]]])
     p, q = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
-    return whole, pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(np.concatenate(more) if more else np.zeros(0, bool))
+    return whole, pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(np.concatenate(more) if more else np.zeros(len(p), bool))
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     """The members of buckets that hold several classes, with the bucket's largest class and its numbers of blocks."""
-    known = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
-    shares = known.groupBy("band", "root").agg(F.count("*").alias("share"))
-    top = shares.groupBy("band").agg(F.max(F.struct("share", "root")).alias("top"), F.sum("share").alias("all"), F.count("*").alias("classes")).filter("classes > 1")
-    top = top.select("band", F.col("top.root").alias("largest"), F.ceil(F.col("all") / INNER).cast("int").alias("inners"), F.ceil((F.col("all") - F.col("top.share")) / OUTER).cast("int").alias("outers"))
-    return known.join(top, "band")
+    known = members.withColumn("load", F.col("n") if "n" in members.columns else F.lit(1)).join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "load", F.coalesce("root", "rep").alias("root"))
+    shares = known.groupBy("band", "root").agg(F.count("*").alias("share"), F.sum("load").alias("load"))
+    top = shares.groupBy("band").agg(F.max(F.struct("share", "root", "load")).alias("top"), F.sum("share").alias("all"), F.sum("load").alias("load"), F.count("*").alias("classes")).filter("classes > 1")
+    parts = lambda texts, size, load: F.greatest(F.ceil(texts / size), F.ceil(load / LOAD)).cast("int")
+    top = top.select("band", F.col("top.root").alias("largest"), parts(F.col("all"), INNER, F.col("load")).alias("inners"), parts(F.col("all") - F.col("top.share"), OUTER, F.col("load") - F.col("top.load")).alias("outers"))
+    return known.drop("load").join(top, "band")
 
 
-def _open_pairs(members: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float, most: int) -> DataFrame:
-    """Pairs (a, b) of different classes that share a bucket and may be similar enough; cut where a text has over ``most`` of them.
+def _open_pairs(members: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float, most: int | None = None) -> DataFrame:
+    """Pairs (a, b) of different classes that share a bucket, as ``_compare`` finds them.
+
+    Without ``most`` they are the roots of classes that links of ``similarity`` connect, enough of them to connect all;
+    ``texts`` must hold the hashed shingles then.  With it, they are pairs of texts that may be similar enough by their
+    signatures, cut where a text has over ``most`` of them.
 
     Texts outside a bucket's largest class ask all its members.  Both are dealt to blocks, so a bucket of m members
-    of which r are outside makes m * ceil(r / OUTER) + r * ceil(m / INNER) rows, and no task holds a whole bucket.
+    of which r are outside makes m * ceil(r / OUTER) + r * ceil(m / INNER) rows (more where its texts are long), and no
+    task holds a whole bucket.
     """
-    held = _open(members, roots).join(texts.select("rep", "n", "sketch", "bands"), "rep").withColumn("outer", F.col("root") != F.col("largest"))
+    own = ["n", "sketch", "bands", *(["shingles"] if most is None else [])]
+    held = _open(members, roots).join(texts.select("rep", *own), "rep").withColumn("outer", F.col("root") != F.col("largest"))
     deal = lambda parts: F.pmod(F.xxhash64("rep"), F.col(parts)).cast("int")
     each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    columns = ["band", "i", "j", "rep", "root", "n", "sketch", "bands", "outer", "asks"]
+    columns = ["band", "i", "j", "rep", "root", *own, "outer", "asks"]
     asking = held.filter("outer").withColumns({"i": deal("outers"), "asks": F.lit(True)}).withColumn("j", each("inners")).select(*columns)
     asked = held.withColumns({"j": deal("inners"), "asks": F.lit(False)}).withColumn("i", each("outers")).select(*columns)
     blocks = asking.unionByName(asked).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
@@ -260,7 +298,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     # one text of each group of copies goes on, under a number of its own
     texts = signed.groupBy("text_sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("bands").alias("bands"), F.max("n").alias("n"))
     texts = work.keep(texts.withColumn("rep", F.monotonically_increasing_id()), "texts")
-    each = texts.filter("n > 0").select("rep", F.explode("bands").alias("band"))
+    each = texts.filter("n > 0").select("rep", "n", F.explode("bands").alias("band"))
     full = work.keep(each.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1"), "full")
     members = work.keep(each.join(full, "band"), "members")
     company = work.keep(members.groupBy("rep").agg(F.sum("members").alias("company")), "company")
@@ -281,34 +319,26 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
                 good = pa.array(similarities(part.column(2), part.column(3)) >= similarity)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(good), part.column(1).filter(good)], names=["a", "b"])
 
-    def verified(candidates: DataFrame, tag: str) -> DataFrame:
-        first = candidates.join(bodies.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
-        second = first.join(bodies.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-        return work.keep(second.mapInArrow(verify, "a long, b long"), tag)
-
-    edges = verified(pairs, "edges")
+    first = pairs.join(bodies.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
+    second = first.join(bodies.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    edges = work.keep(second.mapInArrow(verify, "a long, b long"), "edges")
     roots = components(edges, Workspace(docs.sparkSession, "near-0"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y in W.slices(batch.column(1), 1 << 20, 128):
-                n, made = sketches(batch.column(1)[x:y])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[x:y], pa.array(n.astype(np.int64)), pa.array([m.tobytes() for m in made], pa.binary()), batch.column(2)[x:y]], names=["rep", "n", "sketch", "bands"])
+                n, made, shingles = sketches(batch.column(1)[x:y])
+                own = [h.tobytes() for h in np.split(shingles, np.cumsum(n)[:-1])]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[x:y], pa.array(n.astype(np.int64)), pa.array([m.tobytes() for m in made], pa.binary()), pa.array(own, pa.binary()), batch.column(2)[x:y]], names=["rep", "n", "sketch", "shingles", "bands"])
 
     opened = bodies.join(_open(members, roots).select("rep").distinct(), "rep").join(texts.select("rep", "bands"), "rep").select("rep", "text", "bands")
-    fine = work.keep(opened.mapInArrow(sketch, "rep long, n long, sketch binary, bands array<long>"), "fine")
-    most, turn, cut = 1, 0, True
-    while cut:
-        turn += 1
-        found = work.keep(_open_pairs(members, fine, roots, similarity, most), f"found-{turn}")
-        cut = found.filter("cut").limit(1).count() > 0
-        more = work.keep(found.select("a", "b").join(pairs, ["a", "b"], "left_anti"), f"pairs-{turn}")
-        pairs = pairs.unionByName(more)
-        edges = edges.unionByName(verified(more, f"edges-{turn}"))
-        roots = components(edges, Workspace(docs.sparkSession, f"near-{turn}"))
-        most *= WIDER
-    work.drop("members", "fine", "bodies")
-    classes = texts.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("text_sha", "copies", "least", F.coalesce("root", "rep").alias("class"))
+    fine = work.keep(opened.mapInArrow(sketch, "rep long, n long, sketch binary, shingles binary, bands array<long>"), "fine")
+    work.drop("bodies")
+    found = work.keep(_open_pairs(members, fine, roots, similarity).select("a", "b"), "found")
+    merged = components(found, Workspace(docs.sparkSession, "near-1"))  # classes only, not their texts again
+    work.drop("members", "fine")
+    classes = texts.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("text_sha", "copies", "least", F.coalesce("root", "rep").alias("first"))
+    classes = classes.join(merged.select(F.col("node").alias("first"), "root"), "first", "left").select("text_sha", "copies", "least", F.coalesce("root", "first").alias("class"))
     classes = work.keep(classes, "classes")
     sizes = work.keep(classes.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size")), "sizes")
     classes = work.keep(classes.join(sizes, "class").select("text_sha", "class_id", "class_size"), "sized")
