@@ -137,6 +137,32 @@ def test_run_against_plain_python(spark, folder):
     assert pieces == tokens
 
 
+def test_near_stage_writes_rows_in_proportion(spark, monkeypatch):
+    """The stage's pairs within a group a little below the similarity are no more rows than its texts, and it keeps what plain Python keeps."""
+    import corpus_pipeline
+    from thermogrid.llm.store import Workspace
+
+    keep, written = Workspace.keep, collections.Counter()
+
+    def counted(self, df, tag):
+        out = keep(self, df, tag)
+        written[tag.split("-")[0]] += out.count() if tag.startswith("found") else 0
+        return out
+
+    monkeypatch.setattr(Workspace, "keep", counted)
+    rng, rows = random.Random(31), []
+    base = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+    for k in range(40):
+        t = list(base)
+        for c in rng.sample(range(0, 600, 5), 8):
+            t[c] = f"new{k}-{c}"
+        rows.append((k, " ".join(t)))
+    want = plain_near(rows)
+    got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, table(spark, rows), "").select("doc_id", "text").collect()]
+    assert sorted(got) == sorted(want) and 20 < len(want) < len(rows)
+    assert "found" in written and written["found"] <= len(rows)
+
+
 CLASHING = "doc_id long, text string, n_chars int, toxic_score string, toxic_predicted string, row_number int, _n int, _id string, grp string, text_sha int, lost_id string, text_changed string, score double, predicted int, class_id long, keep_id long"
 
 
