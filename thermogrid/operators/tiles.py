@@ -7,10 +7,14 @@ whatever the grid's.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .stats import with_scalars
 
@@ -48,6 +52,35 @@ def _labels(mask: np.ndarray) -> np.ndarray:
     return np.where(mask.ravel(), root, -1).reshape(mask.shape)
 
 
+def in_large_patch(r: np.ndarray, c: np.ndarray, width: int, min_cells: int) -> np.ndarray:
+    """Whether the patch of each of the cells has at least ``min_cells`` of them."""
+    cover = np.zeros((width, width), bool)
+    cover[r, c] = True
+    label = _labels(cover)[r, c]
+    return np.bincount(label)[label] >= min_cells
+
+
+def with_surroundings(grid: DataFrame, margin: int, work: Callable[[pa.Table, np.ndarray, np.ndarray, int], dict[str, np.ndarray]], new: str, side: int = SIDE) -> DataFrame:
+    """Adds the columns ``new`` (a schema): what ``work`` makes of each row and of those at most ``margin`` away.
+
+    ``work`` gets the rows of a tile with its margin, their lines and columns in the tile's array, and that array's width.  Rows
+    travel whole, and once beside the margins: nothing is joined to them again.
+    """
+    added = StructType.fromDDL(new)
+    schema = StructType([*grid.schema.fields, *added.fields])
+
+    def run(part: pa.Table) -> pa.Table:
+        r, c, own, width = _frame(part.select(["row", "col", "tile_row", "tile_col"]).to_pandas(), margin, side)
+        told = work(part, r, c, width)
+        kept = part.select(grid_columns).filter(pa.array(own))
+        for name in names:
+            kept = kept.append_column(name, pa.array(told[name][own]))
+        return kept
+
+    grid_columns, names = grid.columns, added.names
+    return with_tiles(grid, margin, side).groupBy("tile_row", "tile_col").applyInArrow(run, schema)
+
+
 def large_patches(grid: DataFrame, mask: str, min_cells: int, out: str = "patch", side: int = SIDE) -> DataFrame:
     """Adds ``out``: 1 on masked cells whose 4-connected patch has at least ``min_cells`` cells, else 0.
 
@@ -61,11 +94,7 @@ def large_patches(grid: DataFrame, mask: str, min_cells: int, out: str = "patch"
 
     def keep(part: pd.DataFrame) -> pd.DataFrame:
         r, c, own, width = _frame(part, margin, side)
-        cover = np.zeros((width, width), bool)
-        cover[r, c] = True
-        label = _labels(cover)[r, c]
-        large = np.bincount(label)[label] >= min_cells
-        return part.loc[own & large, ["row", "col"]]
+        return part.loc[own & in_large_patch(r, c, width, min_cells), ["row", "col"]]
 
     found = with_tiles(grid.filter(on).select("row", "col"), margin, side).groupBy("tile_row", "tile_col").applyInPandas(keep, "row int, col int")
     return grid.join(found.withColumn(out, F.lit(1)), ["row", "col"], "left").withColumn(out, F.coalesce(out, F.lit(0)))

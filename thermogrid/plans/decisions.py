@@ -65,6 +65,10 @@ def layered_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(vulnerability.layered_hotspots(grid), ["row", "col", "hotspot_mask", "moran_local", "priority_class"], "surface_score", "human_stress_score", "hvi", "priority_score")
 
 
+def weighed_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.priority_score(stats.equity_weights(cells(spark, sf_dir).select("row", "col", *_HAVE)))
+
+
 def ranked_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = measures.possible(cells(spark, sf_dir).select("row", "col", *_HAVE), "urban_park", "park_possible")
     return stats.priority_score(stats.equity_weights(grid))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..models import features, forest, hybrid
-from ..operators import portfolio, selection
+from ..operators import selection
 from ..sources.cells import cells
 from ..sources.shared import kept
-from .decisions import AREA_CAP, BUDGET, MEASURES, ranked_grid
+from .decisions import AREA_CAP, BUDGET, MEASURES, weighed_grid
 
 _P = ["ndvi", "albedo", "impervious_frac", "air_temp", "soil_moisture", "building_height"]
 _TREES = {"rounds": 12, "depth": 3, "rate": 0.3}
@@ -63,8 +63,7 @@ def network_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sites(spark: SparkSession, sf_dir: str) -> selection.Sites:
-    grid = kept(ranked_grid(spark, sf_dir), "grid")
-    return selection.Sites.of(portfolio.candidates(grid, MEASURES, top_k=None), grid)
+    return selection.Sites.of_grid(weighed_grid(spark, sf_dir), MEASURES)
 
 
 def portfolio_all(spark: SparkSession, sf_dir: str) -> DataFrame:
