@@ -92,12 +92,20 @@ def strategy(grid: DataFrame, model: measures.Model, config: Config, method: str
         raise ValueError(f"unknown method {method!r}; one of {METHODS}")
     r = resolution_m or config.resolution_m
     have = grid.columns
-    x = measures.possible(measures.with_layers(grid, measures.ABSENT | {"albedo": 0.18}), "urban_park", "park_possible", r)
+    x = measures.with_layers(grid, measures.ABSENT | {"albedo": 0.18})
+    if method == "nsga2":  # else the sites find it out on their way
+        x = measures.possible(x, "urban_park", "park_possible", r)
     x = stats.equity_weights(x, "population" if config.equity and "population" in have else None, "hvi" if config.equity and "hvi" in have else None)
-    x = kept(stats.priority_score(x), "strategy")
-    area_cap = config.area_cap_frac * x.count() * r * r
-    all_ = kept(candidates(x, options(x.columns, model, names), resolution_m=r, top_k=TOP if method == "nsga2" else None), "options")
-    sites, front, more = selection.Sites.of(all_, x), None, {}
+    x, front, more = stats.priority_score(x), None, {}
+    n_cells = grid.count()
+    area_cap = config.area_cap_frac * n_cells * r * r
+    if method == "nsga2":
+        x = kept(x, "strategy")
+        all_ = kept(candidates(x, options(x.columns, model, names), resolution_m=r, top_k=TOP), "options")
+        sites = selection.Sites.of(all_, x)
+    else:
+        sites = selection.Sites.of_grid(x, options(x.columns, model, names), resolution_m=r)
+        all_ = sites.table
     if method == "greedy":
         picked = selection.greedy(sites, config.budget, area_cap)
         ranked = selection.in_order(picked).select("rank", "row", "col", "intervention")
@@ -113,15 +121,19 @@ def strategy(grid: DataFrame, model: measures.Model, config: Config, method: str
         ranked = grid.sparkSession.createDataFrame(told, "rank int, row int, col int, intervention string")  # at most TOP
         picked = sites.table.join(ranked.drop("rank"), ["row", "col", "intervention"], "left_semi")
         front = [{"sites": len(choice), "objective": float(a), "cost": float(b)} for choice, a, b in zip(choices, f, c, strict=True)]
-    picked = kept(sites.table.join(picked.select("id"), "id", "left_semi"), "picked")
-    delivered = selection.taken(sites, picked).select("row", "col", (sites.cap * (1.0 - F.col("residual"))).alias("delivered_c"))
-    cells = kept(x.join(delivered, ["row", "col"], "left").withColumn("delivered_c", F.coalesce("delivered_c", F.lit(0.0))), "delivered")
-    hot = stats.quantiles(grid, "lst", [0.9])[0]
+    picked = kept(picked.select("id", "row", "col", "intervention", "cost", "area_m2", "self_delta_c"), "picked")
+    delivered = kept(selection.taken(sites, picked).select("row", "col", (sites.cap * (1.0 - F.col("residual"))).alias("delivered_c")), "delivered")
+    delivered = F.broadcast(delivered) if delivered.count() <= selection.FEW else delivered
+    cells = grid.select("row", "col").join(delivered, ["row", "col"], "left").select("row", "col", F.coalesce("delivered_c", F.lit(0.0)).alias("delivered_c"))
+    hot = F.col("lst") >= F.lit(stats.quantiles(grid, "lst", [0.9])[0])
     people = F.greatest(F.coalesce("population", F.lit(0.0)), F.lit(0.0)) if "population" in have else F.lit(1.0)
-    t = cells.agg(
-        F.avg("delivered_c").alias("mean"), F.max("delivered_c").alias("max"), F.avg(F.when(F.col("lst") >= F.lit(hot), F.col("delivered_c"))).alias("hot"), F.sum(people * F.col("delivered_c")).alias("exposure"),
+    n_hot = grid.filter(hot).count()
+    # where nothing is delivered, nothing adds to the sums
+    t = x.join(delivered, ["row", "col"]).agg(
+        F.sum("delivered_c").alias("all"), F.max("delivered_c").alias("max"), F.sum(F.when(hot, F.col("delivered_c"))).alias("hot"), F.sum(people * F.col("delivered_c")).alias("exposure"),
         F.sum(F.coalesce("weight", F.lit(0.0)) * F.col("delivered_c")).alias("objective"),
     ).first()
+    of_cells = lambda total, n: (total or 0.0) / n if n else None
     u = picked.agg(F.count("*").alias("n"), F.sum("cost").alias("cost"), F.sum("area_m2").alias("area")).first()
     of = lambda value: F.create_map(*[F.lit(v) for m in measures.MEASURES.values() for v in (m.name, float(value(m) or 0.0))])[F.col("measure")]
     most = of(lambda m: m.surface[1])
@@ -129,7 +141,7 @@ def strategy(grid: DataFrame, model: measures.Model, config: Config, method: str
     air = F.when(most != 0, F.least(F.col("delta_lst_c") / most, F.lit(1.0)) * of(lambda m: m.air[1])).otherwise(0.0)
     table = table.select("rank", "measure", "row", "col", "area_m2", "cost", "delta_lst_c", air.alias("delta_air_c"), F.col("delta_lst_c").between(-0.25 * most, 1.5 * most).alias("plausible"))
     totals = {
-        "sites": u["n"], "budget": config.budget, "cost": float(u["cost"] or 0.0), "area_m2": float(u["area"] or 0.0), "area_cap_m2": area_cap, "mean_c": t["mean"], "max_c": t["max"], "hottest_c": t["hot"],
-        "exposure": t["exposure"], "objective": float(t["objective"] or 0.0), "greedy_bound": 0.632, "candidates": all_.count(), **more,
+        "sites": u["n"], "budget": config.budget, "cost": float(u["cost"] or 0.0), "area_m2": float(u["area"] or 0.0), "area_cap_m2": area_cap, "mean_c": of_cells(t["all"], n_cells), "max_c": of_cells(t["max"], min(n_cells, 1)), "hottest_c": of_cells(t["hot"], n_hot),
+        "exposure": of_cells(t["exposure"], min(n_cells, 1)), "objective": float(t["objective"] or 0.0), "greedy_bound": 0.632, "candidates": all_.count(), **more,
     }
-    return {"method": method, "placements": table, "cells": cells.select("row", "col", "delivered_c"), "totals": totals, "front": front}
+    return {"method": method, "placements": table, "cells": cells, "totals": totals, "front": front}
