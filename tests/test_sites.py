@@ -16,7 +16,7 @@ def shuffled(spark) -> int:
     return sum(told.apply(i).totalShuffleWrite() for i in range(told.size()))
 
 
-@pytest.mark.parametrize("name", ["portfolio_all", "portfolio_exact", "strategy_greedy"])
+@pytest.mark.parametrize("name", ["portfolio_all", "portfolio_exact", "strategy_greedy", "strategy_ilp"])
 def test_candidates_do_not_travel(spark, name):
     cells = spark.read.parquet(f"{SF}/orders.parquet").count()
     before = shuffled(spark)
